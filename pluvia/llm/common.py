@@ -105,18 +105,20 @@ def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(salts)).cast("int")
 
 
-def group_min(df: DataFrame, key: str, value: str, spread: str, out: str) -> DataFrame:
-    """`df` with the least `value` of each `key`, without ever gathering the rows of a key.
+def attach(rows: DataFrame, key: str, values: DataFrame, spread: str) -> DataFrame:
+    """`rows` left-joined to `values`, which is unique by `key`, without ever gathering the rows of a key.
 
-    Rows get a salt from the column `spread`. Minima by (key, salt) are combined to minima by key; those go
-    back to (key, salt), at most SALTS rows a key, and from there to the rows. A key with any share of all
-    rows is so dealt over SALTS tasks at each step.
+    Rows get a salt from the column `spread`; values go to each (key, salt) there is, SALTS for a key at
+    most, and from there to the rows. A key with any share of all rows is so dealt over SALTS tasks.
     """
-    rows = df.withColumn("_s", salt_of(spread))
-    part = rows.groupBy(key, "_s").agg(F.min(value).alias("_m"))
-    whole = part.groupBy(key).agg(F.min("_m").alias(out))
-    back = part.select(key, "_s").join(whole, key)
-    return rows.join(back, [key, "_s"]).drop("_s")
+    salted = rows.withColumn("_s", salt_of(spread))
+    mid = salted.select(key, "_s").distinct().join(values, key)
+    return salted.join(mid, [key, "_s"], "left").drop("_s")
+
+
+def group_min(df: DataFrame, key: str, value: str, spread: str, out: str) -> DataFrame:
+    """`df` with the least `value` of each `key`; minima are combined before they are shuffled."""
+    return attach(df, key, df.groupBy(key).agg(F.min(value).alias(out)), spread)
 
 
 def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, langid, mixing, quality, secrets
+from . import bpe, langid, minhash, mixing, quality, secrets
 from .sql import SQL as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(table(spark, root, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op4_mixing, op6_bpe, op7_quality, op8_secrets)}
+def op10_minhash(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, root, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op4_mixing, op6_bpe, op7_quality, op8_secrets, op10_minhash)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -36,3 +36,42 @@ SELECT doc_id, p.size, c6.source_size, c6.target,
        (times * p.size + greatest(0, least(e, words - times * cell_size) - (e - p.size)))::BIGINT AS taken
 FROM placed p JOIN c6 ON p.shard = c6.shard AND p.source IS NOT DISTINCT FROM c6.source
 """
+
+SQL["op10_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS grams FROM w),
+x AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM s),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs WHERE 100 * i >= 85 * (nu + nv - i)),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS to_id FROM s UNION SELECT reach.doc_id, v FROM reach JOIN both_ways ON u = to_id)
+SELECT s.doc_id, any_value(len(grams))::BIGINT AS n_shingles, min(to_id) AS component_id, s.doc_id = min(to_id) AS kept
+FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id
+"""
+
+SQL["op2_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
+SQL["op3_embedding_dedup"] = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ok AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+   AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS to_id FROM e UNION SELECT reach.vec_id, links.v FROM reach JOIN links ON links.u = to_id),
+deg AS (SELECT u, count(*) AS n FROM links GROUP BY ALL)
+SELECT e.vec_id, any_value(coalesce(deg.n, 0))::BIGINT AS n_links, min(to_id) AS component_id, e.vec_id = min(to_id) AS kept
+FROM e JOIN reach ON e.vec_id = reach.vec_id LEFT JOIN deg ON deg.u = e.vec_id GROUP BY e.vec_id
+"""
