@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, langid, minhash, mixing, quality, secrets
+from . import ann, bpe, embed, langid, minhash, mixing, quality, secrets, warc
 from .sql import SQL as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op1_language(spark: SparkSession, root: str) -> DataFrame:
     return langid.identify(table(spark, root, "documents"))
 
 
+def op2_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.histories(table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, root, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"))
 
@@ -36,10 +44,14 @@ def op8_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(table(spark, root, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return ann.search(table(spark, root, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, root: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, root, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op4_mixing, op6_bpe, op7_quality, op8_secrets, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_warc, op3_embedding_dedup, op4_mixing, op6_bpe, op7_quality, op8_secrets, op9_neighbours, op10_minhash)}
 
 __all__ = ["ORACLE", "QUERIES"]
