@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvia.llm import bpe, mixing, quality, secrets
+from pluvia.llm import bpe, minhash, mixing, quality, secrets
 from pluvia.llm.common import crc_bucket, stored
 from pluvia.llm.queries import TOKENIZER
 from pluvia.sources.tables import table
@@ -26,8 +26,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    from pluvia.llm import minhash
-
     return minhash.deduplicated(docs)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import ann, bpe, embed, langid, minhash, mixing, quality, secrets, warc
+from . import ann, bpe, embed, langid, lm, minhash, mixing, quality, secrets, warc
 from .sql import SQL as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"))
 
 
+def op5_lm(spark: SparkSession, root: str) -> DataFrame:
+    return lm.evaluate(table(spark, root, "documents"))
+
+
 def op6_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.digests(table(spark, root, "documents"), TOKENIZER)
 
@@ -52,6 +56,6 @@ def op10_minhash(spark: SparkSession, root: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, root, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_warc, op3_embedding_dedup, op4_mixing, op6_bpe, op7_quality, op8_secrets, op9_neighbours, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_warc, op3_embedding_dedup, op4_mixing, op5_lm, op6_bpe, op7_quality, op8_secrets, op9_neighbours, op10_minhash)}
 
 __all__ = ["ORACLE", "QUERIES"]
