@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import base, series
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
+
+__all__ = ["ORACLE", "QUERIES", "series"]
