@@ -197,7 +197,8 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
     """(u, v) spanning the confirmed links within clusters (id, component) of candidates."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
     dealt = attach(clusters, "component", sizes, "id").withColumn("piece", F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces")).cast("int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dealt, "id")
+    # texts meet their clusters in the same way at every size: in a shuffle by id
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dealt.hint("merge"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     task = F.concat_ws(":", "component", F.least("piece", "other"), F.greatest("piece", "other"))
     rows = rows.select(task.alias("task"), "id", "piece", "text")
