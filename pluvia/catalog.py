@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, series
+from .plans import base, records, series
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
 
-__all__ = ["ORACLE", "QUERIES", "series"]
+__all__ = ["ORACLE", "QUERIES", "records", "series"]

@@ -67,7 +67,8 @@ def interpolated(anchors: DataFrame) -> DataFrame:
     first = (F.ceil(F.unix_micros("a") / 1_000_000 / hour3) * hour3).cast("long")
     last = (F.floor(F.unix_micros("b") / 1_000_000 / hour3) * hour3).cast("long")
     ticks = life.withColumn("_i", first).withColumn("_j", last).where("_i <= _j")
-    ticks = ticks.select("SID", F.timestamp_seconds(F.explode(F.sequence("_i", "_j", F.lit(hour3).cast("long")))).alias("TIME"), F.lit(True).alias("_tick"))
+    ticks = ticks.select("SID", F.explode(F.sequence("_i", "_j", F.lit(hour3).cast("long"))).alias("_s"))
+    ticks = ticks.select("SID", F.timestamp_seconds("_s").alias("TIME"), F.lit(True).alias("_tick"))
     all_ = rows.join(ticks, ["SID", "TIME"], "full_outer")
     w = W.partitionBy("SID").orderBy("TIME")
     before, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.currentRow, W.unboundedFollowing)
