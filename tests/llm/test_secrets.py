@@ -1,0 +1,74 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pluvia.llm import secrets
+
+ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def plain(text):
+    """Base spans by regular expressions over the text itself."""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+PIECES = st.sampled_from(["token", "Secret", "PASSWORD", "passwd", "api_key", "apikey", "ApiKey", " ", "=", ":", "'", '"', "abcdefgh", "A1/+_.-", "AKIA", "ABCDEF012345", "0123456789abcdef", "é", "\n", "K", "ſecret", "x", "\U0001f600", "tokentoken"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECES, max_size=14).map("".join))
+def test_base_spans_match_regular_expressions(text):
+    assert [s for s in secrets.spans(text.encode()) if s[1] < 3] == plain(text)
+
+
+def github(body="a" * 30):
+    return "ghp_" + body + secrets.checksum62(body.encode()).decode()
+
+
+def test_checksums_decide():
+    good = github()
+    assert secrets._joined(secrets.spans(f"é {good} x".encode())) == f"github:2:{2 + len(good)}"
+    assert secrets.spans((good[:-1] + ("0" if good[-1] != "0" else "1")).encode()) == []
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    assert secrets._joined(secrets.spans(jwt.encode())) == f"jwt:0:{len(jwt)}"
+    assert secrets.spans(b"eyJhbGciOiJIUzI1.eyJ.c2ln") == []
+    assert [s[1] for s in secrets.spans(b"-----BEGIN RSA PRIVATE KEY-----")] == [6]
+    body = "q" * 30
+    assert [s[1] for s in secrets.spans(b"npm_" + body.encode() + secrets.checksum62(body.encode()))] == [4]
+
+
+def test_redaction():
+    t = b"my token = abcdefgh1234 and AKIAABCDEFGHIJKL12"
+    assert secrets.redact(t) == b"my [ASSIGN] and [ACCESS]"
+    assert secrets.redact(b"plain") == b"plain"
+    assert secrets.redact(b"token=" + b"a" * 40 + b"!") == b"[ASSIGN]!"
+    assert plain(secrets.redact(t).decode()) == []
+
+
+def test_query_against_brute_force(spark, data):
+    from pluvia.sources.tables import table
+
+    docs = table(spark, f"{data}/sf0.01", "documents")
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    found = 0
+    for d in docs.collect():
+        want, r = plain(d["text"] or ""), got[d["doc_id"]]
+        found += len(want)
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(w[1] == k for w in want) for k in range(3)]
+    assert found > 10 and len(got) == docs.count()
+
+
+def test_odd_rows(odd, odd_rows, empty):
+    got = secrets.scan(odd).collect()
+    assert len(got) == len(odd_rows) and secrets.scan(empty).count() == 0
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(r["base_sha256"] == nothing and r["spans"] == "" for r in got if r["doc_id"] in (1, 2))
+    out = secrets.redacted(odd)
+    assert out.columns == odd.columns and out.count() == len(odd_rows)
