@@ -87,7 +87,7 @@ def run_analysis(spark: SparkSession, s: Settings) -> None:
         "confidence_band": bootstrap.fit_bands(parts, ["HEMISPHERE"], "ANNUAL_MEAN", joint=False, **how),
         "band_terms": bootstrap.band_intervals(wide, ["domain"], **how),
         "domain_fit": bootstrap.mean_fit_bands(wide, ["domain"], **how),
-        "annual_series": series.join(trend.trends(series, ["domain"], "mean"), "domain"),
+        "annual_series": series.join(trend.trends(series, ["domain"], "mean").drop("n"), "domain"),
         "basin_band_counts": bands.basin_band_counts(ev),
     }
     for name, df in out.items():
