@@ -32,7 +32,7 @@ from .common import map_batches, salt_of, small_batches, stored
 CENTROIDS = 64
 SAMPLE = 8192
 SHARE = 0.5
-MORE = 400
+MORE = 2000
 TOP = 20
 PIECE = 2048
 SHELVES = 16

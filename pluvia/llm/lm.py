@@ -12,7 +12,7 @@ of those matrices give tables of s by context and a normaliser for each pair of
 normalised log-probability is four look-ups. A word inside a class has the probability
 (c + 1) / (N_class + V_class + 1). The model starts from a bounded sample of training texts of ordinary
 length (WARM_ROWS of fewer than WARM_TOKENS tokens), then every task trains on all its training texts, and
-the tasks' parameters are averaged by their tokens, in levels of 64.
+the tasks' parameters are averaged by their tokens, in levels of 16.
 
 Defined results: a null text is empty and has one token, the end. Without any training text N and V are 0,
 base_score is n_tokens * log10(1), and score is finite. Rows are scored one by one, so that repeated rows
@@ -42,6 +42,7 @@ RATE = 0.08
 WARM_ROWS = 1200
 WARM_TOKENS = 20_000
 WARM_EPOCHS = 4
+GROUP = 16
 END = np.uint64(0x1F0E2D3C4B5A6978)
 
 
@@ -260,18 +261,20 @@ def learn(train: DataFrame, lex: Lexicon) -> list[np.ndarray]:
                 own.feed(*contexts(w, n), w)
         own.flush()
         if own.tokens:
-            flat = np.concatenate([x.ravel() for x in own.p]).astype(np.float64) * own.tokens
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([own.tokens], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["part", "n", "x"])
+            flat = np.concatenate([x.ravel() for x in own.p]) * np.float32(own.tokens)
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([own.tokens], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], ["part", "n", "x"])
 
     def add(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
-        x = sum(np.asarray(c.values) for c in t.column("x"))
-        return pa.table({"part": pa.array([t.column("part")[0].as_py() // 64], pa.int64()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "x": pa.array([x], pa.list_(pa.float64()))})
+        x = sum(np.asarray(c.values, np.float64) for c in t.column("x")).astype(np.float32)
+        return pa.table({"part": pa.array([t.column("part")[0].as_py() // GROUP], pa.int64()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "x": pa.array([x], pa.list_(pa.float32()))})
 
-    schema = "part long, n long, x array<double>"
+    schema = "part long, n long, x array<float>"
     level = train.select("text").mapInArrow(local, schema)
-    for _ in range(2):
-        level = level.groupBy(F.floor(F.col("part") / 64).alias("g")).applyInArrow(lambda t: add(t), schema)
+    tasks = train._jdf.queryExecution().toRdd().getNumPartitions()
+    while tasks > GROUP:  # sums of GROUP tasks at a time, until a group's worth is left for the driver
+        level = level.groupBy(F.floor(F.col("part") / GROUP).alias("g")).applyInArrow(lambda t: add(t), schema)
+        tasks = -(-tasks // GROUP)
     total, n = np.zeros(sum(int(np.prod(s)) for s in SHAPES)), 0
     for r in sorted(level.collect(), key=lambda r: r["part"]):
         total += np.array(r["x"])
