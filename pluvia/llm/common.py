@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import ship
 
@@ -121,31 +122,43 @@ def group_min(df: DataFrame, key: str, value: str, spread: str, out: str) -> Dat
     return attach(df, key, df.groupBy(key).agg(F.min(value).alias(out)), spread)
 
 
+#: Rows of one key that a task may hold at once; keys with more are salted.
+PLAIN = 50_000
+
+
+def _least(df: DataFrame, out: str, hot: bool) -> DataFrame:
+    """`df` (u, v) with the least v of each u."""
+    return group_min(df, "u", "v", "v", out) if hot else df.withColumn(out, F.min("v").over(W.partitionBy("u")))
+
+
 def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 60) -> DataFrame:
     """(id, component): for each end of an edge, the least id that it reaches.
 
-    Large-star and small-star steps alternate until no edge changes; each is a salted `group_min`, so that
-    a node with a third of all edges stays spread. Every round is written to the shared folder, and only
-    its row count and a checksum come to the driver. The number of rounds is logarithmic in practice; if
-    `rounds` should not do, it raises and returns nothing wrong.
+    Large-star and small-star steps alternate until no edge changes. While no node has more than PLAIN
+    edges a step is one window; else it is a salted `group_min`, so that a node with a third of all edges
+    stays spread. Every round is written to the shared folder, and only its row count, a checksum and the
+    largest degree come to the driver. The number of rounds is logarithmic in practice; if `rounds` should
+    not do, it raises and returns nothing wrong.
     """
     e = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
     state = _digest(e)
-    if state[0] == 0:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    for _ in range(rounds):
+    for _ in range(rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = group_min(both, "u", "v", "v", "_n").withColumn("_m", F.least("u", "_n"))
-        big = big.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
-        small = group_min(big, "u", "v", "v", "_m")
-        small = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(small.select("u", F.col("_m").alias("v")))
+        hot = (both.groupBy("u").count().agg(F.max("count")).first()[0] or 0) > PLAIN
+        big = _least(both, "_n", hot).withColumn("_m", F.least("u", "_n"))
+        big = big.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v")
+        big = big.distinct() if hot else big
+        small = _least(big, "_m", hot)
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))
+        small = small.select(F.explode(ends).alias("x")).select("x.*")
         e = stored(small.where("u <> v").distinct(), "edges")
         new = _digest(e)
         if new == state:
             break
         state = new
     else:
-        raise RuntimeError(f"connected components did not settle in {rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"connected components did not settle in {rounds} rounds")
     # every node is now a leaf of its component's least id, or is that id
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

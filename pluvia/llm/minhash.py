@@ -9,10 +9,13 @@ minhashes. At a similarity of 0.85 a pair misses every table with a probability
    and represented by its least doc_id. Copies take no part in what follows.
 2. Classes that share a table key are candidates. Within a map task they are linked to a local member
    first, so that a key sends one row for each map task at most; then to the key's least member.
-3. Components of candidates are blocks of work. A large one is dealt into pieces, and each pair of pieces
-   is a task. In a task a class is compared with those that share a table with it, unless links have
-   joined the two already, members that agree with the most others first; a comparison counts the exact
-   intersection. Only a spanning forest of the confirmed links leaves the task.
+3. Components of candidates are blocks of work. In a task a class is compared with those that share a
+   table with it, unless links have joined the two already, members that agree with the most others
+   first; a comparison counts the exact intersection. Only a spanning forest of the confirmed links leaves
+   the task. A large component is dealt into pieces of BLOCK classes. Each piece also gets PIVOTS classes,
+   those that agree with the most others of their own pieces, which as a rule joins copies of one text in
+   a pass over them. What is not in the component's largest part then is compared with all the rest,
+   by pairs of pieces, so that no link is lost where pivots do not do.
 4. Components of confirmed links give component_id.
 
 Defined results: a null text, or one without a word, has an empty set and is linked with nothing. A text
@@ -39,6 +42,7 @@ LINK = 85  # percent
 HALF = 3
 COLLECTIONS = 8
 BLOCK = 512  # classes in a piece of a large component
+PIVOTS = 16
 
 _RNG = np.random.default_rng(1010)
 _XOR = _RNG.integers(0, 1 << 63, 2 * COLLECTIONS * HALF, dtype=np.uint64)
@@ -127,21 +131,29 @@ def candidates(classes: DataFrame) -> DataFrame:
     return far.unionByName(near).distinct()
 
 
-def confirmed(ids: np.ndarray, piece: np.ndarray, sets: list[np.ndarray], link: int = LINK) -> list[tuple[int, int]]:
-    """Spanning (id, least id) of the links among sets that share a table, between pieces if there are two."""
+def popularity(sub: np.ndarray) -> np.ndarray:
+    """How many sub-keys the others share with each row."""
+    out = np.zeros(len(sub), np.int64)
+    for c in range(sub.shape[1]):
+        _, inv, count = np.unique(sub[:, c], return_inverse=True, return_counts=True)
+        out += count[inv]
+    return out
+
+
+def confirmed(ids: np.ndarray, known: np.ndarray, piece: np.ndarray, sets: list[np.ndarray], link: int = LINK) -> list[tuple[int, int]]:
+    """Edges (part, least part) of the links among sets that share a table, between pieces if there are two.
+
+    known: the part that each set is known to belong to; at first its own id.
+    """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     sub = np.concatenate([sub_keys(np.concatenate(sets[a:b]), sizes[a:b]) for a, b in runs(sizes.tolist(), wordscan.PIECE)])
     a, b = sub[:, :COLLECTIONS], sub[:, COLLECTIONS:]
-    popular = np.zeros(n)
-    for c in range(sub.shape[1]):
-        _, inv, count = np.unique(sub[:, c], return_inverse=True, return_counts=True)
-        popular += count[inv]
-    _, comp = np.unique(ids, return_inverse=True)
+    parts, comp = np.unique(known, return_inverse=True)
     later = np.ones(n, bool)
     cross = len(np.unique(piece)) > 1
-    left = len(np.unique(comp))
-    for p in np.lexsort((ids, -popular)).tolist():
+    left = len(parts)
+    for p in np.lexsort((ids, -popularity(sub))).tolist():
         if left == 1:
             break
         later[p] = False
@@ -161,28 +173,30 @@ def confirmed(ids: np.ndarray, piece: np.ndarray, sets: list[np.ndarray], link:
                 comp[comp == comp[x]] = comp[p]
                 left -= 1
     least: dict[int, int] = {}
-    for i, c in zip(ids.tolist(), comp.tolist(), strict=True):
-        least[c] = min(i, least.get(c, i))
-    return [(i, least[c]) for i, c in zip(ids.tolist(), comp.tolist(), strict=True) if i != least[c]]
+    pairs = sorted(set(zip(known.tolist(), comp.tolist(), strict=True)))
+    for k, c in pairs:
+        least.setdefault(c, k)
+    return [(k, least[c]) for k, c in pairs if k != least[c]]
 
 
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, id, piece, text), those of a task together: confirmed links of each task."""
-    now, ids, pieces, sets = None, [], [], []
+    """Rows (task, id, known, piece, text), those of a task together: confirmed links of each task."""
+    now, ids, known, pieces, sets = None, [], [], [], []
 
     def done() -> list[tuple[int, int]]:
-        return confirmed(np.array(ids), np.array(pieces), sets) if len(ids) > 1 else []
+        return confirmed(np.array(ids), np.array(known), np.array(pieces), sets) if len(ids) > 1 else []
 
     for b in batches:
         edges: list[tuple[int, int]] = []
-        tasks, own, part = (b.column(i).to_pylist() for i in range(3))
-        for lo, values, sizes in shingle_sets(texts_of(b.column(3))):
+        tasks, own, of, part = (b.column(i).to_pylist() for i in range(4))
+        for lo, values, sizes in shingle_sets(texts_of(b.column(4))):
             for i, s in enumerate(np.split(values, np.cumsum(sizes)[:-1])):
                 if tasks[lo + i] != now:
                     edges += done()
-                    now, ids, pieces, sets = tasks[lo + i], [], [], []
+                    now, ids, known, pieces, sets = tasks[lo + i], [], [], [], []
                 if len(s):
                     ids.append(own[lo + i])
+                    known.append(of[lo + i])
                     pieces.append(part[lo + i])
                     sets.append(s.copy())
         yield _edges(edges)
@@ -193,25 +207,65 @@ def _edges(e: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64())], ["u", "v"])
 
 
-def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v) spanning the confirmed links within clusters (id, component) of candidates."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
-    dealt = attach(clusters, "component", sizes, "id").withColumn("piece", F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces")).cast("int"))
-    # texts meet their clusters in the same way at every size: in a shuffle by id
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dealt.hint("merge"), "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    task = F.concat_ws(":", "component", F.least("piece", "other"), F.greatest("piece", "other"))
-    rows = rows.select(task.alias("task"), "id", "piece", "text")
+def _compared(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of rows (task, id, known, piece); texts meet them in the same way at every size, in a shuffle by id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = texts.join(rows.hint("merge"), "id").select("task", "id", "known", "piece", "text")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_tasks, "u long, v long")
 
 
+def _elected(t: pa.Table) -> pa.Table:
+    """The class of a piece that agrees with the most others."""
+    ids = t.column("id").to_numpy()
+    score = popularity(np.stack([x.values.to_numpy() for x in t.column("sub")]))
+    k = np.lexsort((ids, -score))[0]
+    return pa.table({"component": t.column("component")[:1], "id": pa.array([ids[k]]), "score": pa.array([score[k]])})
+
+
+def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, component) of the confirmed links within clusters (id, component) of candidates."""
+    piece = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    pieces_of = lambda n: F.ceil(n / block).cast("int")
+    sizes = clusters.groupBy("component").agg(pieces_of(F.count(F.lit(1))).alias("pieces"))
+    dealt = stored(attach(clusters, "component", sizes, "id").withColumn("piece", piece(F.col("pieces"), 3)), "dealt")
+    large = dealt.where("pieces > 1")
+    some = not large.isEmpty()
+    own = dealt.select("component", "id", "piece")
+    if some:
+        best = large.join(classes.select("id", "sub"), "id").groupBy("component", "piece").applyInArrow(_elected, "component long, id long, score long")
+        rank = F.row_number().over(W.partitionBy("component").orderBy(F.desc("score"), "id"))
+        guests = best.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).join(sizes.where("pieces > 1"), "component")
+        guests = guests.select("component", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        own = own.unionByName(guests).distinct()
+    edges = _compared(docs, own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece")))
+    part = components(edges)
+    if not some:
+        return part
+    part = stored(part, "parts").withColumnRenamed("component", "known")
+    rows = large.select("component", "id").join(part, "id", "left").withColumn("known", F.coalesce("known", "id"))
+    counts = rows.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("known")).alias("k"))).alias("m"))
+    whole = whole.select("component", (-F.col("m.k")).alias("main"), pieces_of(F.col("m.n")).alias("many"), pieces_of(F.col("n") - F.col("m.n")).alias("few")).where("few > 0")
+    rows = attach(rows, "component", whole, "id").where("few IS NOT NULL")
+    at = F.when(F.col("known") == F.col("main"), -1 - piece(F.col("many"), 5)).otherwise(piece(F.col("few"), 5))
+    rows = rows.withColumn("piece", at)
+    name = lambda *x: F.concat_ws(":", "component", *x)
+    others = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda o: F.when(F.col("piece") < 0, name(o, "piece")).otherwise(name(F.least("piece", o), F.greatest("piece", o))))
+    with_main = F.when(F.col("piece") >= 0, F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: name("piece", -1 - o))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(F.explode(F.concat(others, with_main)).alias("task"), "id", "known", "piece")
+    more = components(_compared(docs, rows)).withColumnRenamed("id", "known")
+    # what pairs of pieces have joined are parts; a part alone in a cluster is new as such
+    alone = rows.select("known").distinct().select(F.col("known").alias("id"), "known")
+    named = part.unionByName(alone.join(part.select("id"), "id", "left_anti"))
+    return named.join(more, "known", "left").select("id", F.coalesce("component", "known").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     rows = stored(signatures(docs, k), "sets")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("t").agg(F.min("doc_id").alias("id"), F.first("sub").alias("sub")), "classes")
     clusters = stored(components(candidates(classes)), "clusters")
-    edges = links(docs, clusters)
-    found = components(edges).select("id", F.col("component").alias("_c"))
+    found = links(docs, clusters, classes).select("id", F.col("component").alias("_c"))
     of = classes.select("t", "id").join(found, "id", "left").select("t", F.coalesce("_c", "id").alias("_class"))
     out = attach(rows.select("doc_id", "t", "n"), "t", of, "doc_id")
     component = F.when(F.col("n") > 0, F.col("_class")).otherwise(F.col("doc_id"))
