@@ -144,7 +144,7 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 6
     state = _digest(e)
     for _ in range(rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = (both.groupBy("u").count().agg(F.max("count")).first()[0] or 0) > PLAIN
+        hot = 2 * state[0] > PLAIN and both.groupBy("u").count().agg(F.max("count")).first()[0] > PLAIN
         big = _least(both, "_n", hot).withColumn("_m", F.least("u", "_n"))
         big = big.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v")
         big = big.distinct() if hot else big

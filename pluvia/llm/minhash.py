@@ -208,9 +208,9 @@ def _edges(e: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _compared(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links of rows (task, id, known, piece); texts meet them in the same way at every size, in a shuffle by id."""
+    """Links of rows (task, id, known, piece)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.join(rows.hint("merge"), "id").select("task", "id", "known", "piece", "text")
+    rows = texts.join(rows, "id").select("task", "id", "known", "piece", "text")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_tasks, "u long, v long")
 
 
@@ -237,7 +237,9 @@ def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, block: int =
         guests = best.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).join(sizes.where("pieces > 1"), "component")
         guests = guests.select("component", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         own = own.unionByName(guests).distinct()
-    edges = _compared(docs, own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece")))
+    own = own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece"))
+    # texts meet their clusters in the same way at every size, in a shuffle by id
+    edges = _compared(docs, own.hint("merge"))
     part = components(edges)
     if not some:
         return part
@@ -253,6 +255,7 @@ def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, block: int =
     others = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda o: F.when(F.col("piece") < 0, name(o, "piece")).otherwise(name(F.least("piece", o), F.greatest("piece", o))))
     with_main = F.when(F.col("piece") >= 0, F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: name("piece", -1 - o))).otherwise(F.array().cast("array<string>"))
     rows = rows.select(F.explode(F.concat(others, with_main)).alias("task"), "id", "known", "piece")
+    rows = stored(rows, "rest")  # as a rule few: by the table's size Spark decides whether texts need a shuffle
     more = components(_compared(docs, rows)).withColumnRenamed("id", "known")
     # what pairs of pieces have joined are parts; a part alone in a cluster is new as such
     alone = rows.select("known").distinct().select(F.col("known").alias("id"), "known")
