@@ -73,12 +73,12 @@ def exact(cells: DataFrame, value: str, key: str = "ROW") -> DataFrame:
     return r.where(F.col("r") == F.ceil(F.lit(QUANTILE) * F.col("N_WET"))).select(key, "N_WET", F.col("v").alias("POT99"))
 
 
-def refined(cells: DataFrame, value: str, key: str = "ROW") -> DataFrame:
-    """key, N_WET, POT99, THRESHOLD_METHOD: by histogram, and exactly for the cells it leaves unresolved.
+def refined(cells: DataFrame, value: str, key: str = "ROW", hist: DataFrame | None = None) -> DataFrame:
+    """key, N_WET, POT99, THRESHOLD_METHOD: by histogram (`hist` if it is kept), and exactly for the cells it leaves unresolved.
 
     Only cells left unresolved are read again, by a semi-join; their counts must agree with the histogram.
     """
-    first = from_histogram(histogram(cells, value, key), key)
+    first = from_histogram(histogram(cells, value, key) if hist is None else hist, key)
     rest = first.where("THRESHOLD_METHOD = 'unresolved'").select(key, F.col("N_WET").alias("_n"))
     again = exact(cells.join(rest, key, "left_semi"), value, key).join(rest, key)
     again = again.withColumn("POT99", F.when(F.col("_n") == F.col("N_WET"), F.col("POT99")).otherwise(F.raise_error(F.lit("counts of an exact cell differ from the histogram")).cast("float")))

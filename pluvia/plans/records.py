@@ -292,7 +292,16 @@ def feature_centroid_filter(spark: SparkSession, root: str) -> DataFrame:
     return features.centred(features.labelled(blobs(spark, root)), 200.0).select("k", "ROW", "FEATURE")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {STORMS}, we AS (SELECT *, ROW // 3600 AS i, round_even((dl + LON) * 10 - 0.5, 0)::BIGINT AS j FROM ca WHERE p > 0.3::FLOAT AND km <= 1000),
+ad AS (SELECT a.SID, a.k, a.ROW AS u, b.ROW AS v, b.i, b.j FROM we a JOIN we b ON a.SID = b.SID AND a.k = b.k AND abs(a.i - b.i) + abs(a.j - b.j) = 1),
+rc AS (SELECT SID, k, ROW, ROW AS g, i, j FROM we UNION SELECT rc.SID, rc.k, rc.ROW, ad.v, ad.i, ad.j FROM rc JOIN ad ON ad.SID = rc.SID AND ad.k = rc.k AND ad.u = rc.g),
+lb AS (SELECT SID, k, ROW, first(g ORDER BY i, j) AS f FROM rc GROUP BY ALL),
+ce AS (SELECT SID, k, f, any_value(LAT) AS LAT, avg(gla) AS la, avg(dl) AS dl FROM we JOIN lb USING (SID, k, ROW) GROUP BY ALL),
+ok AS (SELECT SID, k, f FROM ce WHERE 2 * 6371.0 * asin(sqrt(pow(sin(radians(la - LAT) / 2), 2) + cos(radians(LAT)) * cos(radians(la)) * pow(sin(radians(dl) / 2), 2))) <= 500)
+SELECT SID, strftime(TIMESTAMP '2024-01-01' + INTERVAL 3 HOURS * k, '%Y-%m-%d %H:%M:%S') AS TIME, 2024 AS YEAR, ROW, round(p::DOUBLE, 4) AS p, round((p / 3)::FLOAT::DOUBLE, 4) AS rate, false AS IS_INTERPOLATED_TIMESTEP
+FROM we JOIN lb USING (SID, k, ROW) JOIN ok USING (SID, k, f)"""
+)
 def attributed_cells(spark: SparkSession, root: str) -> DataFrame:
     a = features.attributed(*storm_fields(spark, root))
     return a.select("SID", stamp(), F.col("YEAR").cast("int").alias("YEAR"), "ROW", F.round(F.col("PRECIP_3H_MM").cast("double"), 4).alias("p"), F.round(F.col("PRECIP_MMHR").cast("double"), 4).alias("rate"), "IS_INTERPOLATED_TIMESTEP")
@@ -466,6 +475,26 @@ def audit_cells(spark: SparkSession, root: str) -> DataFrame:
     return audit.cells(features.attributed(*storm_fields(spark, root)))
 
 
+@query(
+    f"""WITH {CELLS} SELECT year(TIME)::INT AS YEAR, count(*)::BIGINT AS rows, count(DISTINCT SID)::BIGINT AS storms, count(DISTINCT TIME)::BIGINT AS times, 'WP' AS basins, min(PRECIP_3H_MM) AS least, max(PRECIP_3H_MM) AS most, sum(IS_INTERPOLATED_TIMESTEP::INT)::BIGINT AS interpolated FROM ce GROUP BY ALL"""
+)
+def audit_summary(spark: SparkSession, root: str) -> DataFrame:
+    c = wet_samples(spark, root).withColumn("YEAR", F.year("TIME"))
+    return audit.cell_summary(c).withColumn("basins", F.concat_ws(",", "basins"))
+
+
+@query("SELECT 'monotonic axis' AS \"check\", count(*)::BIGINT AS failures FROM (SELECT s_acctbal - lag(s_acctbal) OVER (ORDER BY s_suppkey) AS d FROM supplier) WHERE d >= 0")
+def audit_axis(spark: SparkSession, root: str) -> DataFrame:
+    return audit.monotonic(table(spark, root, "supplier"), "s_suppkey", "s_acctbal")
+
+
+@query("SELECT p_brand, round(avg(p_retailprice), 6) AS value, round(avg(p_retailprice), 6) + 1 AS anchor FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 0) GROUP BY p_brand")
+def audit_release(spark: SparkSession, root: str) -> DataFrame:
+    got = table(spark, root, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 6).alias("value"), F.min("p_partkey").alias("k"))
+    anchors = got.select("p_brand", F.when(F.col("k") % 2 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    return audit.release(got.select("p_brand", "value"), anchors, ["p_brand"])
+
+
 @query()
 def audit_boundary(spark: SparkSession, root: str) -> DataFrame:
     b = audit.boundary(features.attributed(*storm_fields(spark, root)))

@@ -272,13 +272,56 @@ def bootstrap_fit_band(spark: SparkSession, root: str) -> DataFrame:
     return b.select("HEMISPHERE", "YEAR", *r("fit", "fit_lower", "fit_upper"))
 
 
-@query()
+def _slope_sql(source: str, keys: str, y: str) -> str:
+    """A query for (keys, s): Sen slopes by year, 0 with fewer than three points."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    ak = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""SELECT {ak}, CASE WHEN count(*) >= 3 THEN quantile_cont((b.{y} - a.{y}) / (b.YEAR - a.YEAR), 0.5) ELSE 0 END AS s
+  FROM {source} a JOIN {source} b ON {on} AND a.YEAR < b.YEAR WHERE a.{y} IS NOT NULL AND b.{y} IS NOT NULL GROUP BY ALL"""
+
+
+def _terms_sql(source: str, keys: str, tag: str) -> str:
+    """CTEs ending in {tag}z (keys, BAND, migration, intensity, residual, total) from a band table (n, v)."""
+    kb = f"{keys}, BAND"
+    return f"""{tag}a AS (SELECT {kb}, YEAR, coalesce(n / nullif(sum(n) OVER w, 0), 0) AS share, v / nullif(n, 0) AS mean, coalesce(v / nullif(sum(n) OVER w, 0), 0) AS part FROM {source} WINDOW w AS (PARTITION BY {keys}, YEAR)),
+{tag}b AS (SELECT {kb}, avg(share) AS share, coalesce(avg(mean), 0) AS mean FROM {tag}a GROUP BY ALL),
+{tag}s AS ({_slope_sql(tag + "a", kb, "share")}), {tag}m AS ({_slope_sql(tag + "a", kb, "mean")}), {tag}p AS ({_slope_sql(tag + "a", kb, "part")}),
+{tag}y AS (SELECT {kb}, 10 * coalesce({tag}s.s, 0) * mean AS migration, share * 10 * coalesce({tag}m.s, 0) AS intensity, 10 * coalesce({tag}p.s, 0) AS total
+  FROM {tag}b LEFT JOIN {tag}s USING ({kb}) LEFT JOIN {tag}m USING ({kb}) LEFT JOIN {tag}p USING ({kb})),
+{tag}z AS (SELECT {kb}, migration, intensity, total - migration - intensity AS residual, total FROM {tag}y)"""
+
+
+TERMS = ("migration", "intensity", "residual", "total")
+BAND_BOOT = f"""{_terms_sql("db", "domain", "o")},
+bl AS (SELECT domain, BAND, 'n' AS kind, YEAR, n::DOUBLE AS y FROM db UNION ALL SELECT domain, BAND, 'v', YEAR, v FROM db),
+b0 AS ({_slope_sql("bl", "domain, BAND, kind", "y")}),
+b1 AS (SELECT domain, BAND, kind, any_value(s) AS s, quantile_cont(y - s * YEAR, 0.5) AS ic FROM bl JOIN b0 USING (domain, BAND, kind) GROUP BY ALL),
+b2 AS (SELECT domain, BAND, kind, YEAR, YEAR - 1995 AS pos, ic + s * YEAR AS fit, y - (ic + s * YEAR) AS res FROM bl JOIN b1 USING (domain, BAND, kind)),
+{_draws_sql(7)},
+b3 AS (SELECT f.domain, f.BAND, f.kind, REP, f.YEAR, greatest(f.fit + g.res, 0) AS y FROM bi JOIN b2 f ON f.pos = bi.POS JOIN b2 g ON g.domain = f.domain AND g.BAND = f.BAND AND g.kind = f.kind AND g.pos = bi.SRC),
+b4 AS (SELECT domain, REP, BAND, YEAR, max(y) FILTER (kind = 'n') AS n, max(y) FILTER (kind = 'v') AS v FROM b3 GROUP BY ALL),
+{_terms_sql("b4", "domain, REP", "r")}"""
+
+
+@query(
+    f"""WITH {DOMAINS}, {BAND_BOOT}
+SELECT domain, BAND, {", ".join(f"round(any_value(oz.{c}), 6) AS {c}_point, round(quantile_cont(rz.{c}, 0.025), 6) AS {c}_ci_low, round(quantile_cont(rz.{c}, 0.975), 6) AS {c}_ci_high" for c in TERMS)}
+FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND"""
+)
 def bootstrap_band_intervals(spark: SparkSession, root: str) -> DataFrame:
     b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], block=BLOCK, repetitions=REPS, seed=SEED)
     return b.select("domain", "BAND", *r(*(c for c in b.columns if c not in ("domain", "BAND"))))
 
 
-@query()
+def _cell_sql() -> str:
+    one = lambda c: f"replace(printf('%.2f', round(any_value(oz.{c}), 2) + 0.0), '-', '−') || CASE WHEN quantile_cont(rz.{c}, 0.025) > 0 OR quantile_cont(rz.{c}, 0.975) < 0 THEN '*' ELSE '' END"
+    return " || ' / ' || ".join(one(c) for c in TERMS[:3])
+
+
+@query(
+    f"""WITH {DOMAINS}, {BAND_BOOT}, ce AS (SELECT domain, BAND, {_cell_sql()} AS cell FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND)
+SELECT domain, {", ".join(f"max(cell) FILTER (BAND = {k}) AS band_{k}" for k in range(4))} FROM ce GROUP BY domain"""
+)
 def compact_table(spark: SparkSession, root: str) -> DataFrame:
     b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], block=BLOCK, repetitions=REPS, seed=SEED)
     return report.compact(b, ["domain"])

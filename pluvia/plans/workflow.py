@@ -1,4 +1,4 @@
-"""The workflow: tracks, cells, thresholds, events, analysis. Stages read and write tables below one folder.
+"""The workflow: tracks, cells, histograms, thresholds, events, analysis. Stages read and write tables below one folder.
 
 Each stage is one lazily composed plan over all its years; YEAR is a partition column, so a range of years
 reads and replaces just its own folders.
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import row_lat, row_lon
+from ..functions.scalars import is_wet
 from ..operators import bands, bootstrap, decompose, events, features, fields, thresholds, tracks, trend
 from ..sources import files
 
-STAGES = ("tracks", "cells", "thresholds", "events", "analysis")
+STAGES = ("tracks", "cells", "histograms", "thresholds", "events", "analysis")
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,16 @@ def run_cells(spark: SparkSession, s: Settings) -> None:
     files.write_annual(features.attributed(t, field_table(spark, s), s.outer_km, s.centre_km), f"{s.work}/cells", s.overwrite)
 
 
+def run_histograms(spark: SparkSession, s: Settings) -> None:
+    """A year's histogram is its own partition: years can be added or made anew one by one."""
+    f = field_table(spark, s).withColumn("YEAR", F.year("TIME"))
+    h = f.where(is_wet("PRECIP_3H_MM")).groupBy("YEAR", "ROW", thresholds.bin_of(F.col("PRECIP_3H_MM")).alias("BIN")).agg(F.count(F.lit(1)).alias("N"))
+    files.write_annual(h, f"{s.work}/histograms", s.overwrite)
+
+
 def run_thresholds(spark: SparkSession, s: Settings) -> None:
-    t = thresholds.refined(field_table(spark, s), "PRECIP_3H_MM")
+    hist = thresholds.merged(files.annual(spark, f"{s.work}/histograms", s.first, s.last))
+    t = thresholds.refined(field_table(spark, s), "PRECIP_3H_MM", hist=hist)
     t = t.select(
         "ROW", row_lat("ROW").cast("float").alias("GRID_LAT"), row_lon("ROW").cast("float").alias("GRID_LON"), "N_WET", F.col("POT99").alias("POT99_MM_3H"), "THRESHOLD_METHOD",
         (F.col("THRESHOLD_METHOD") == "exact").alias("IS_EXACT_TAIL_REFINEMENT"), F.lit("> 0.3 mm in 3 h").alias("WET_SAMPLE_RULE"),
@@ -99,4 +108,4 @@ def run(spark: SparkSession, s: Settings, stage: str = "all") -> None:
     if stage not in (*STAGES, "all"):
         raise ValueError(f"no stage {stage}")
     for name in STAGES if stage == "all" else (stage,):
-        {"tracks": run_tracks, "cells": run_cells, "thresholds": run_thresholds, "events": run_events, "analysis": run_analysis}[name](spark, s)
+        {"tracks": run_tracks, "cells": run_cells, "histograms": run_histograms, "thresholds": run_thresholds, "events": run_events, "analysis": run_analysis}[name](spark, s)

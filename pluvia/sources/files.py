@@ -87,6 +87,30 @@ def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
     return m.groupBy(F.col("file_path").alias("PATH"), F.col("file_size").alias("SIZE")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def parquet_footers(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """PATH, SIZE, rows, row_groups, columns of Parquet files, from their footers, read where the files are.
+
+    Only names and lengths come from Spark; each task opens its files by pyarrow, so the path must be one
+    that pyarrow's file systems reach.
+    """
+    names = listing(spark, path, pattern).select("PATH", "SIZE")
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs, parquet
+
+        for b in batches:
+            meta = []
+            for p in b.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(p)
+                with system.open_input_file(inner) as f:
+                    meta.append(parquet.ParquetFile(f).metadata)
+            cols = [[m.num_rows for m in meta], [m.num_row_groups for m in meta], [m.schema.names for m in meta]]
+            yield pa.record_batch([*b.columns, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string()))], ["PATH", "SIZE", "rows", "row_groups", "columns"])
+
+    return names.mapInArrow(read, "PATH string, SIZE long, rows long, row_groups long, columns array<string>")
+
+
 FIELD_SCHEMA = "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean"
 
 

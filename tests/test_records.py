@@ -196,6 +196,8 @@ def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.annual(spark, out, 2000, 2002)
     assert sum(x["rows"] for x in files.parquet_metadata(spark, out).collect()) == 2
+    foot = files.parquet_footers(spark, out).collect()
+    assert sum(f["rows"] for f in foot) == 2 and all(f["row_groups"] == 1 and f["columns"] == ["v"] for f in foot)
     x = spark.createDataFrame([(0.1 + 0.2, "NA")], "x double, b string")
     files.write_csv(x, str(tmp_path / "out"))
     assert files.csv_table(spark, str(tmp_path / "out"), "x double, b string").first()[0] == 0.1 + 0.2
@@ -238,7 +240,7 @@ def test_workflow_and_streaming(spark, tmp_path):
     f = spark.createDataFrame(rows, "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean")
     f.write.parquet(str(tmp_path / "fields"))
     s = Settings(work=str(tmp_path / "w"), tracks_csv=str(tmp_path / "tracks.csv"), fields=str(tmp_path / "fields"), first=2000, last=2002, repetitions=5, block_years=2)
-    for stage in ("tracks", "cells", "thresholds"):
+    for stage in ("tracks", "cells", "histograms", "thresholds"):
         run(spark, s, stage)
     t = spark.read.parquet(f"{s.work}/thresholds")
     assert audit.passed(audit.thresholds(t)) and t.count() == 8 * 16
