@@ -32,7 +32,7 @@ from .common import attach, components, map_batches, small_batches, stored
 from .wordscan import mix
 
 LINK = 0.93
-TABLES = 16
+TABLES = 20
 HASHES = 8
 WIDTH = 1.9
 BLOCK = 512

@@ -75,7 +75,7 @@ def test_collision_probability():
     o /= np.linalg.norm(o, axis=1)[:, None]
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * o
     lab = np.zeros(len(a), np.int64)
-    assert (embed.keys_of(a, lab) == embed.keys_of(b, lab)).any(axis=1).mean() > 0.985
+    assert (embed.keys_of(a, lab) == embed.keys_of(b, lab)).any(axis=1).mean() > 0.993
 
 
 def exact(rows, every=20, top=20):
