@@ -43,11 +43,11 @@ def monotonic(df: DataFrame, order: str, value: str, down: bool = True) -> DataF
     return df.select(step.alias("s")).agg(F.lit("monotonic axis").alias("check"), F.coalesce(F.sum(F.when((F.col("s") >= 0) if down else (F.col("s") <= 0), 1)), F.lit(0)).cast("long").alias("failures"))
 
 
-def cells(tcpf: DataFrame, interpolated_times: list[str] = ()) -> DataFrame:
+def cells(attributed: DataFrame, interpolated_times: list[str] = ()) -> DataFrame:
     """The cell table: no nulls, wet strictly, rates, coordinates of the rows, provenance flags, one year."""
     names = [F.lit(t).cast("timestamp") for t in interpolated_times]
     flagged = F.col("TIME").isin(*names) if names else F.lit(False)
-    checks = {f"null {c}": F.col(c).isNotNull() for c in tcpf.columns}
+    checks = {f"null {c}": F.col(c).isNotNull() for c in attributed.columns}
     checks |= {
         "wet": F.col("PRECIP_3H_MM") > F.lit(WET_MM_3H).cast("float"),
         "rate": F.abs(F.col("PRECIP_MMHR") * 3 - F.col("PRECIP_3H_MM")) <= 1e-5 * F.greatest(F.lit(1.0), F.col("PRECIP_3H_MM").cast("double")),
@@ -57,20 +57,20 @@ def cells(tcpf: DataFrame, interpolated_times: list[str] = ()) -> DataFrame:
         "flag": F.col("IS_INTERPOLATED_TIMESTEP") == flagged,
         "year": F.year("TIME") == F.col("YEAR"),
     }
-    return counted(tcpf, checks)
+    return counted(attributed, checks)
 
 
-def cell_summary(tcpf: DataFrame) -> DataFrame:
+def cell_summary(attributed: DataFrame) -> DataFrame:
     """One row a year: rows, distinct storms, times and basins, extremes of precipitation."""
-    return tcpf.groupBy("YEAR").agg(
+    return attributed.groupBy("YEAR").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("SID").alias("storms"), F.countDistinct("TIME").alias("times"), F.array_sort(F.collect_set("BASIN")).alias("basins"),
         F.min("PRECIP_3H_MM").alias("least"), F.max("PRECIP_3H_MM").alias("most"), F.sum(F.col("IS_INTERPOLATED_TIMESTEP").cast("long")).alias("interpolated"),
     )
 
 
-def boundary(tcpf: DataFrame) -> DataFrame:
+def boundary(attributed: DataFrame) -> DataFrame:
     """One row a time step: cells, greatest distance and relative longitude, row round trips, seams crossed, and the step from the last."""
-    t = tcpf.withColumn("_d", haversine_km("TC_LAT", "TC_LON_360", "GRID_LAT", "GRID_LON")).withColumn("_r", wrapped_delta("GRID_LON", "TC_LON_360"))
+    t = attributed.withColumn("_d", haversine_km("TC_LAT", "TC_LON_360", "GRID_LAT", "GRID_LON")).withColumn("_r", wrapped_delta("GRID_LON", "TC_LON_360"))
     g = t.groupBy("SID", "TIME").agg(
         F.count(F.lit(1)).alias("cells"), F.max("_d").alias("max_km"), F.max(F.abs("_r")).alias("max_dlon"),
         F.sum((grid_row("GRID_LAT", "GRID_LON") != F.col("ROW")).cast("long")).alias("bad_rows"),
@@ -107,9 +107,9 @@ def reaggregated(events: DataFrame, extreme: DataFrame, tolerance: float = 1e-10
 
     Sides: missing, extra; else a different count, flag, or mean beyond the tolerance (relative and absolute).
     """
-    new = build_events(extreme).select("SID", "TIME", F.col("TCEP_INTENSITY_MM_3H").alias("_m"), F.col("N_EXTREME_CELLS").alias("_n"), F.col("IS_INTERPOLATED_TIMESTEP").alias("_f"))
+    new = build_events(extreme).select("SID", "TIME", F.col("EVENT_INTENSITY_MM_3H").alias("_m"), F.col("N_EXTREME_CELLS").alias("_n"), F.col("IS_INTERPOLATED_TIMESTEP").alias("_f"))
     j = events.join(new, ["SID", "TIME"], "full_outer")
-    m = F.col("TCEP_INTENSITY_MM_3H")
+    m = F.col("EVENT_INTENSITY_MM_3H")
     far = F.abs(m - F.col("_m")) > tolerance + tolerance * F.abs(F.col("_m"))
     problem = F.when(m.isNull(), "missing").when(F.col("_m").isNull(), "extra").when(F.col("N_EXTREME_CELLS") != F.col("_n"), "count").when(far, "mean").when(F.col("IS_INTERPOLATED_TIMESTEP") != F.col("_f"), "flag")
     return j.select("SID", "TIME", problem.alias("problem")).where("problem IS NOT NULL")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from ..functions.scalars import BASIN_HEMISPHERE, band, band_label, hemisphere, ratio
 
 N_BANDS = 4
-VALUE = "TCEP_INTENSITY_MM_3H"
+VALUE = "EVENT_INTENSITY_MM_3H"
 
 
 def densified(table: DataFrame, keys: Sequence[str], years: tuple[int, int], fill: dict[str, Column], bands: bool = True, domains: DataFrame | None = None) -> DataFrame:

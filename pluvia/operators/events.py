@@ -32,11 +32,11 @@ def build_events(extreme: DataFrame, precip: str = "PRECIP_3H_MM", flag: str = "
     e = extreme.groupBy("SID", "TIME").agg(
         F.min("BASIN").alias("BASIN"),
         F.min("TC_LAT").alias("TC_LAT"),
-        F.avg(F.col(precip).cast("double")).alias("TCEP_INTENSITY_MM_3H"),
+        F.avg(F.col(precip).cast("double")).alias("EVENT_INTENSITY_MM_3H"),
         F.count(F.lit(1)).alias("N_EXTREME_CELLS"),
         F.max(flag).alias(flag),
     )
-    return e.select("SID", "TIME", F.year("TIME").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", "TCEP_INTENSITY_MM_3H", "N_EXTREME_CELLS", flag)
+    return e.select("SID", "TIME", F.year("TIME").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", "EVENT_INTENSITY_MM_3H", "N_EXTREME_CELLS", flag)
 
 
 def partial_events(extreme: DataFrame, precip: str = "PRECIP_3H_MM", flag: str = "IS_INTERPOLATED_TIMESTEP") -> DataFrame:
@@ -50,4 +50,4 @@ def merged_events(*parts: DataFrame, flag: str = "IS_INTERPOLATED_TIMESTEP") ->
     for x in parts[1:]:
         p = p.unionByName(x)
     p = p.groupBy("SID", "TIME").agg(F.min("BASIN").alias("BASIN"), F.min("TC_LAT").alias("TC_LAT"), F.sum("S").alias("S"), F.sum("N").alias("N"), F.max(flag).alias(flag))
-    return p.select("SID", "TIME", F.year("TIME").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", (F.col("S") / F.col("N")).alias("TCEP_INTENSITY_MM_3H"), F.col("N").alias("N_EXTREME_CELLS"), flag)
+    return p.select("SID", "TIME", F.year("TIME").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", (F.col("S") / F.col("N")).alias("EVENT_INTENSITY_MM_3H"), F.col("N").alias("N_EXTREME_CELLS"), flag)

@@ -37,7 +37,7 @@ def storm_events(spark: SparkSession, root: str) -> DataFrame:
     return o.select(
         "o_orderkey", F.concat(F.lit("S"), F.col("o_custkey") % 40).alias("SID"), F.col("o_orderdate").alias("TIME"), F.year("o_orderdate").alias("YEAR"),
         F.when(south, "SH").otherwise("NH").alias("HEMISPHERE"), F.get(F.array(*map(F.lit, BASINS)), (F.col("o_custkey") % 7).cast("int")).alias("BASIN"),
-        lat.alias("TC_LAT"), (F.col("o_totalprice") / 1000).alias("TCEP_INTENSITY_MM_3H"),
+        lat.alias("TC_LAT"), (F.col("o_totalprice") / 1000).alias("EVENT_INTENSITY_MM_3H"),
     )
 
 
@@ -46,7 +46,7 @@ EVENTS = """ev AS (
          CASE WHEN o_custkey % 2 = 1 THEN 'SH' ELSE 'NH' END AS HEMISPHERE,
          ['WP', 'EP', 'NA', 'NI', 'SI', 'SP', 'SA'][o_custkey % 7 + 1] AS BASIN,
          (CASE WHEN o_custkey % 2 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE * (o_orderkey * 7 % 600) / 10 AS TC_LAT,
-         o_totalprice / 1000 AS TCEP_INTENSITY_MM_3H
+         o_totalprice / 1000 AS EVENT_INTENSITY_MM_3H
   FROM orders)"""
 
 
@@ -78,7 +78,7 @@ def band_sql(lat: str, hemi: str) -> str:
 BAND_TABLE = (
     EVENTS
     + f""",
-sums AS (SELECT HEMISPHERE, YEAR, {band_sql("TC_LAT", "HEMISPHERE")} AS BAND, count(*)::BIGINT AS n, sum(TCEP_INTENSITY_MM_3H) AS v FROM ev GROUP BY ALL),
+sums AS (SELECT HEMISPHERE, YEAR, {band_sql("TC_LAT", "HEMISPHERE")} AS BAND, count(*)::BIGINT AS n, sum(EVENT_INTENSITY_MM_3H) AS v FROM ev GROUP BY ALL),
 grid AS (SELECT h AS HEMISPHERE, y::INT AS YEAR, b::INT AS BAND FROM (SELECT DISTINCT HEMISPHERE AS h FROM ev), generate_series(1995, 2001) t(y), generate_series(0, 3) u(b)),
 ab AS (SELECT HEMISPHERE, YEAR, BAND, coalesce(n, 0)::BIGINT AS n, coalesce(v, 0.0) AS v FROM grid LEFT JOIN sums USING (HEMISPHERE, YEAR, BAND))"""
 )

@@ -378,11 +378,11 @@ def exceedance_cells(spark: SparkSession, root: str) -> DataFrame:
     return extreme(spark, root).select("event_id", "ROW", stamp(), rounded("POT99_MM_3H", 3))
 
 
-EVENT_SQL = f"""WITH {CELLS}, {LOCAL} SELECT SID, {STAMP}, year(TIME)::INT AS YEAR, CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS HEMISPHERE, BASIN, TC_LAT, round(m, 6) AS TCEP_INTENSITY_MM_3H, N_EXTREME_CELLS, IS_INTERPOLATED_TIMESTEP FROM ne"""
+EVENT_SQL = f"""WITH {CELLS}, {LOCAL} SELECT SID, {STAMP}, year(TIME)::INT AS YEAR, CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS HEMISPHERE, BASIN, TC_LAT, round(m, 6) AS EVENT_INTENSITY_MM_3H, N_EXTREME_CELLS, IS_INTERPOLATED_TIMESTEP FROM ne"""
 
 
 def event_columns(e: DataFrame) -> DataFrame:
-    return e.select("SID", stamp(), "YEAR", "HEMISPHERE", "BASIN", "TC_LAT", *r("TCEP_INTENSITY_MM_3H"), "N_EXTREME_CELLS", "IS_INTERPOLATED_TIMESTEP")
+    return e.select("SID", stamp(), "YEAR", "HEMISPHERE", "BASIN", "TC_LAT", *r("EVENT_INTENSITY_MM_3H"), "N_EXTREME_CELLS", "IS_INTERPOLATED_TIMESTEP")
 
 
 @query(EVENT_SQL)
@@ -443,7 +443,7 @@ FROM old FULL JOIN ne ON old.SID = ne.SID AND old.TIME = ne.TIME WHERE old.SID I
 def audit_event_reaggregation(spark: SparkSession, root: str) -> DataFrame:
     x = extreme(spark, root)
     old = events.build_events(x).where(F.dayofmonth("TIME") % 6 > 0)
-    old = old.withColumn("TCEP_INTENSITY_MM_3H", F.when(F.col("N_EXTREME_CELLS") % 5 == 1, F.col("TCEP_INTENSITY_MM_3H") + 1).otherwise(F.col("TCEP_INTENSITY_MM_3H")))
+    old = old.withColumn("EVENT_INTENSITY_MM_3H", F.when(F.col("N_EXTREME_CELLS") % 5 == 1, F.col("EVENT_INTENSITY_MM_3H") + 1).otherwise(F.col("EVENT_INTENSITY_MM_3H")))
     return audit.reaggregated(old, x).select("SID", stamp(), "problem")
 
 

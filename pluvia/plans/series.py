@@ -47,11 +47,11 @@ def component_trends(spark: SparkSession, root: str) -> DataFrame:
     return decompose.component_trends(parts(spark, root), ["HEMISPHERE"]).select("HEMISPHERE", "COMPONENT", *r("slope", "p_value"), "n")
 
 
-MONTHLY = f"{EVENTS}, mo AS (SELECT BASIN, year(TIME) * 12 + month(TIME) AS t, avg(TCEP_INTENSITY_MM_3H) AS y FROM ev GROUP BY ALL)"
+MONTHLY = f"{EVENTS}, mo AS (SELECT BASIN, year(TIME) * 12 + month(TIME) AS t, avg(EVENT_INTENSITY_MM_3H) AS y FROM ev GROUP BY ALL)"
 
 
 def monthly(spark: SparkSession, root: str) -> DataFrame:
-    return storm_events(spark, root).groupBy("BASIN", (F.year("TIME") * 12 + F.month("TIME")).cast("long").alias("t")).agg(F.avg("TCEP_INTENSITY_MM_3H").alias("y"))
+    return storm_events(spark, root).groupBy("BASIN", (F.year("TIME") * 12 + F.month("TIME")).cast("long").alias("t")).agg(F.avg("EVENT_INTENSITY_MM_3H").alias("y"))
 
 
 @query(f"WITH {MONTHLY}, {trend_sql('mo', 'BASIN', 'y', 't', '120')} SELECT BASIN, round(slope, 6) AS slope FROM sl")
@@ -102,7 +102,7 @@ def sen_line_separate(spark: SparkSession, root: str) -> DataFrame:
 DOMAINS = f"""{EVENTS},
 dm AS (SELECT *, HEMISPHERE AS domain, HEMISPHERE AS dh FROM ev UNION ALL
        SELECT *, BASIN AS domain, CASE WHEN BASIN IN ('SI', 'SP') THEN 'SH' ELSE 'NH' END AS dh FROM ev WHERE BASIN <> 'SA'),
-ds AS (SELECT domain, YEAR, {band_sql("TC_LAT", "dh")} AS BAND, count(*)::BIGINT AS n, sum(TCEP_INTENSITY_MM_3H) AS v FROM dm GROUP BY ALL),
+ds AS (SELECT domain, YEAR, {band_sql("TC_LAT", "dh")} AS BAND, count(*)::BIGINT AS n, sum(EVENT_INTENSITY_MM_3H) AS v FROM dm GROUP BY ALL),
 dg AS (SELECT domain, y::INT AS YEAR, b::INT AS BAND FROM (SELECT DISTINCT domain FROM dm), generate_series(1995, 2001) t(y), generate_series(0, 3) u(b)),
 db AS (SELECT domain, YEAR, BAND, coalesce(n, 0)::BIGINT AS n, coalesce(v, 0.0) AS v FROM dg LEFT JOIN ds USING (domain, YEAR, BAND)),
 dt AS (SELECT domain, YEAR, BAND, coalesce(n / nullif(sum(n) OVER w, 0), 0) AS share, v / nullif(n, 0) AS mean, coalesce(v / nullif(sum(n) OVER w, 0), 0) AS part FROM db WINDOW w AS (PARTITION BY domain, YEAR)),
@@ -134,7 +134,7 @@ def domain_annual_series(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, g AS (SELECT coalesce(HEMISPHERE, 'GLOBAL') AS domain, YEAR, count(*)::BIGINT AS n, avg(TCEP_INTENSITY_MM_3H) AS mean FROM ev GROUP BY GROUPING SETS ((YEAR), (HEMISPHERE, YEAR))),
+    f"""WITH {EVENTS}, g AS (SELECT coalesce(HEMISPHERE, 'GLOBAL') AS domain, YEAR, count(*)::BIGINT AS n, avg(EVENT_INTENSITY_MM_3H) AS mean FROM ev GROUP BY GROUPING SETS ((YEAR), (HEMISPHERE, YEAR))),
 grid AS (SELECT DISTINCT domain, y::INT AS YEAR FROM g, generate_series(1994, 2002) t(y))
 SELECT domain, YEAR, coalesce(n, 0)::BIGINT AS n, round(mean, 6) AS mean FROM grid LEFT JOIN g USING (domain, YEAR)"""
 )
@@ -172,8 +172,8 @@ def masked_estimates(spark: SparkSession, root: str) -> DataFrame:
     return decompose.masked(grid, bands.basin_band_counts(ev), ["BASIN", "BAND"], ["estimate"])
 
 
-SURFACE = f"""su AS (SELECT CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS HEMISPHERE, CASE WHEN o_orderkey % 50 < 15 THEN 'land' ELSE 'ocean' END AS SURFACE, YEAR, TC_LAT, TCEP_INTENSITY_MM_3H FROM ev),
-ss AS (SELECT HEMISPHERE, SURFACE, YEAR, {band_sql("TC_LAT", "HEMISPHERE")} AS BAND, count(*)::BIGINT AS n_j, sum(TCEP_INTENSITY_MM_3H) AS vol_j FROM su GROUP BY ALL),
+SURFACE = f"""su AS (SELECT CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS HEMISPHERE, CASE WHEN o_orderkey % 50 < 15 THEN 'land' ELSE 'ocean' END AS SURFACE, YEAR, TC_LAT, EVENT_INTENSITY_MM_3H FROM ev),
+ss AS (SELECT HEMISPHERE, SURFACE, YEAR, {band_sql("TC_LAT", "HEMISPHERE")} AS BAND, count(*)::BIGINT AS n_j, sum(EVENT_INTENSITY_MM_3H) AS vol_j FROM su GROUP BY ALL),
 sg AS (SELECT HEMISPHERE, SURFACE, y::INT AS YEAR, b::INT AS BAND FROM (SELECT DISTINCT HEMISPHERE, SURFACE FROM ss), generate_series(1995, 2001) t(y), generate_series(0, 3) u(b)),
 sb AS (SELECT HEMISPHERE, SURFACE, YEAR, BAND, coalesce(n_j, 0)::BIGINT AS n_j, coalesce(vol_j, 0.0) AS vol_j FROM sg LEFT JOIN ss USING (HEMISPHERE, SURFACE, YEAR, BAND))"""
 
@@ -181,7 +181,7 @@ sb AS (SELECT HEMISPHERE, SURFACE, YEAR, BAND, coalesce(n_j, 0)::BIGINT AS n_j,
 def surface_bands(spark: SparkSession, root: str) -> DataFrame:
     ev = storm_events(spark, root).withColumn("ROW", F.col("o_orderkey") % 50)
     land = spark.range(15).select(F.col("id").alias("ROW"))
-    return bands.surface_bands(bands.with_surface(ev, land), YEARS, "TCEP_INTENSITY_MM_3H")
+    return bands.surface_bands(bands.with_surface(ev, land), YEARS, "EVENT_INTENSITY_MM_3H")
 
 
 @query(f"WITH {EVENTS}, {SURFACE} SELECT HEMISPHERE, SURFACE, YEAR, BAND, n_j, round(vol_j, 6) AS vol_j FROM sb")
@@ -203,7 +203,7 @@ def surface_decomposition(spark: SparkSession, root: str) -> DataFrame:
     return decompose.component_trends(p, ["HEMISPHERE", "SURFACE"]).select("HEMISPHERE", "SURFACE", "COMPONENT", *r("slope", "p_value"), "n")
 
 
-DEGREE = """dc AS (SELECT floor((o_custkey % 40) / 4.0) + 0.5 AS lat, floor(fmod(((o_custkey % 30) / 3.0 - 2)::DOUBLE + 360, 360)) + 0.5 AS lon, YEAR, TCEP_INTENSITY_MM_3H AS v
+DEGREE = """dc AS (SELECT floor((o_custkey % 40) / 4.0) + 0.5 AS lat, floor(fmod(((o_custkey % 30) / 3.0 - 2)::DOUBLE + 360, 360)) + 0.5 AS lon, YEAR, EVENT_INTENSITY_MM_3H AS v
   FROM ev JOIN orders USING (o_orderkey)),
 da AS (SELECT lat, lon, YEAR, avg(v) AS mean FROM dc GROUP BY ALL),
 dv AS (SELECT *, count(*) OVER (PARTITION BY lat, lon) AS valid_years FROM da QUALIFY valid_years >= 5)"""
@@ -213,7 +213,7 @@ def degree_means(spark: SparkSession, root: str) -> DataFrame:
     from ..sources.tables import table
 
     o = table(spark, root, "orders").select("o_orderkey", ((F.col("o_custkey") % 40) / 4).alias("la"), ((F.col("o_custkey") % 30) / 3 - 2).alias("lo"))
-    return bands.degree_cell_means(storm_events(spark, root).join(o, "o_orderkey"), "TCEP_INTENSITY_MM_3H", "la", "lo", 5)
+    return bands.degree_cell_means(storm_events(spark, root).join(o, "o_orderkey"), "EVENT_INTENSITY_MM_3H", "la", "lo", 5)
 
 
 @query(f"WITH {EVENTS}, {DEGREE}, {trend_sql('dv', 'lat, lon', 'mean')} SELECT lat, lon, round(slope, 6) AS trend, round(p_value, 6) AS p_value, n AS valid_years FROM sl JOIN mk USING (lat, lon)")

@@ -18,8 +18,8 @@ from ..operators.thresholds import from_histogram, histogram
 def event_stream(extreme: DataFrame, lateness: str = "6 hours", precip: str = "PRECIP_3H_MM", flag: str = "IS_INTERPOLATED_TIMESTEP") -> DataFrame:
     """A stream of events from a stream of extreme cells (TIME a timestamp); append or update mode."""
     steps = extreme.withWatermark("TIME", lateness).groupBy("SID", F.window("TIME", "3 hours").alias("w"))
-    e = steps.agg(F.min("BASIN").alias("BASIN"), F.min("TC_LAT").alias("TC_LAT"), F.avg(F.col(precip).cast("double")).alias("TCEP_INTENSITY_MM_3H"), F.count(F.lit(1)).alias("N_EXTREME_CELLS"), F.max(flag).alias(flag))
-    return e.select("SID", F.col("w.start").alias("TIME"), F.year("w.start").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", "TCEP_INTENSITY_MM_3H", "N_EXTREME_CELLS", flag)
+    e = steps.agg(F.min("BASIN").alias("BASIN"), F.min("TC_LAT").alias("TC_LAT"), F.avg(F.col(precip).cast("double")).alias("EVENT_INTENSITY_MM_3H"), F.count(F.lit(1)).alias("N_EXTREME_CELLS"), F.max(flag).alias(flag))
+    return e.select("SID", F.col("w.start").alias("TIME"), F.year("w.start").alias("YEAR"), hemisphere("TC_LAT").alias("HEMISPHERE"), "BASIN", "TC_LAT", "EVENT_INTENSITY_MM_3H", "N_EXTREME_CELLS", flag)
 
 
 def histogram_stream(cells: DataFrame, path: str, checkpoint: str, value: str = "PRECIP_3H_MM", **trigger) -> StreamingQuery:

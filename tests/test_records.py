@@ -21,7 +21,7 @@ def test_events_are_strict_exceedances(spark):
     t = spark.createDataFrame([(1, 10.0), (2, 11.0), (3, 13.0), (4, float("nan"))], "ROW int, POT99_MM_3H float")
     x = events.extreme_cells(cells(spark, [(1, 10.0, False), (2, 12.0, False), (3, 14.0, False), (4, 99.0, False), (5, 99.0, False)]), events.checked_thresholds(t))
     e = events.build_events(x).collect()
-    assert len(e) == 1 and (e[0]["N_EXTREME_CELLS"], e[0]["TCEP_INTENSITY_MM_3H"], e[0]["HEMISPHERE"], e[0]["BASIN"]) == (2, 13.0, "NH", "NA")
+    assert len(e) == 1 and (e[0]["N_EXTREME_CELLS"], e[0]["EVENT_INTENSITY_MM_3H"], e[0]["HEMISPHERE"], e[0]["BASIN"]) == (2, 13.0, "NH", "NA")
     for bad in ([(1, 1.0), (1, 2.0)], [(6_480_000, 1.0)]):
         with pytest.raises(Exception, match="duplicate or invalid"):
             events.checked_thresholds(spark.createDataFrame(bad, "ROW int, POT99_MM_3H float")).collect()
@@ -31,7 +31,7 @@ def test_batches_add_up(spark):
     a, b = cells(spark, [(1, 10.0, False)]), cells(spark, [(2, 20.0, True), (3, 30.0, True)])
     m = events.merged_events(events.partial_events(a), events.partial_events(b)).collect()[0]
     w = events.build_events(a.unionByName(b)).collect()[0]
-    assert (m["N_EXTREME_CELLS"], m["TCEP_INTENSITY_MM_3H"], m["IS_INTERPOLATED_TIMESTEP"]) == (3, 20.0, True) == (w["N_EXTREME_CELLS"], w["TCEP_INTENSITY_MM_3H"], w["IS_INTERPOLATED_TIMESTEP"])
+    assert (m["N_EXTREME_CELLS"], m["EVENT_INTENSITY_MM_3H"], m["IS_INTERPOLATED_TIMESTEP"]) == (3, 20.0, True) == (w["N_EXTREME_CELLS"], w["EVENT_INTENSITY_MM_3H"], w["IS_INTERPOLATED_TIMESTEP"])
 
 
 def test_bins_on_edges(spark):

@@ -61,7 +61,7 @@ def decade(spark, gap=False, hemi="NH"):
     rng = np.random.default_rng(1)
     lats = {"NH": (5.0, 20.0, 30.0, 40.0), "SH": (-5.0, -12.0, -17.0, -40.0)}[hemi]
     rows = [(y, hemi, lat, "NA", float(10 + k + 0.1 * (y - 2000) + rng.random())) for y in range(2000, 2010) for k, lat in enumerate(lats) for _ in range(10 + 2 * k) if not (gap and y == 2002 and k == 1)]
-    return spark.createDataFrame(rows, "YEAR int, HEMISPHERE string, TC_LAT double, BASIN string, TCEP_INTENSITY_MM_3H double")
+    return spark.createDataFrame(rows, "YEAR int, HEMISPHERE string, TC_LAT double, BASIN string, EVENT_INTENSITY_MM_3H double")
 
 
 @pytest.mark.parametrize("gap", [False, True])
@@ -70,7 +70,7 @@ def test_decomposition_closes(spark, gap):
     b = bands.annual_bands(ev, ["HEMISPHERE"], (2000, 2009))
     assert b.count() == 40
     parts = decompose.components(b, ["HEMISPHERE"]).orderBy("YEAR").collect()
-    plain = {r["YEAR"]: r["m"] for r in ev.groupBy("YEAR").agg(F.avg("TCEP_INTENSITY_MM_3H").alias("m")).collect()}
+    plain = {r["YEAR"]: r["m"] for r in ev.groupBy("YEAR").agg(F.avg("EVENT_INTENSITY_MM_3H").alias("m")).collect()}
     assert all(abs(r["CLOSURE_ERROR"]) < 1e-10 and r["ANNUAL_MEAN"] == pytest.approx(plain[r["YEAR"]]) for r in parts)
 
 
@@ -96,7 +96,7 @@ def test_empty_band_has_no_terms(spark):
 def test_events_weigh_alike(spark):
     """An event is one, however many cells it has."""
     rows = [(2000, "NH", 5.0, "WP", 10.0), (2000, "NH", 6.0, "WP", 30.0)]
-    ev = spark.createDataFrame(rows, "YEAR int, HEMISPHERE string, TC_LAT double, BASIN string, TCEP_INTENSITY_MM_3H double")
+    ev = spark.createDataFrame(rows, "YEAR int, HEMISPHERE string, TC_LAT double, BASIN string, EVENT_INTENSITY_MM_3H double")
     got = {r["domain"]: r["mean"] for r in bands.annual_means(ev).collect()}
     assert got == {"GLOBAL": 20.0, "NH": 20.0}
 
