@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches, small_batches
 
 SHORT = 48  # parts; longer words go one at a time
-CACHE = 500_000  # pieces
+CACHE = 400_000  # pieces
 NONE = np.int32(2**31 - 1)
 
 

@@ -8,6 +8,7 @@ executor costs the tasks it ran and no more.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..session import ship
@@ -70,7 +72,16 @@ def crc_bucket(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, since workers are kept between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
     """fn applied to every Arrow batch of `df`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +92,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                     yield from out.to_batches()
                 elif out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import wordscan
-from .common import attach, components, map_batches, runs, small_batches, stored, texts_of
+from .common import attach, components, give_back, map_batches, runs, small_batches, stored, texts_of
 
 WORDS = 5
 LINK = 85  # percent
@@ -201,6 +201,7 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets.append(s.copy())
         yield _edges(edges)
     yield _edges(done())
+    give_back()
 
 
 def _edges(e: list[tuple[int, int]]) -> pa.RecordBatch:

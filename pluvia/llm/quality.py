@@ -179,7 +179,7 @@ def passing(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return b.filter(pa.array(scores(texts_of(b.column(at)), shared.value) >= threshold))
 
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

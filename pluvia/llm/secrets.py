@@ -173,7 +173,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return pa.record_batch([new if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
     small_batches(docs.sparkSession)
-    out = docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), docs.schema)
+    out = map_batches(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
