@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, normal, scalars
 from ..operators import audit, dist, events, features, fields, report, thresholds, tracks
 from ..sources.tables import table
-from .base import CELLS, EVENTS, band_sql, erfc_sql, query, storm_events, wet_samples
+from .base import CELLS, EVENTS, ORACLE, band_sql, erfc_sql, query, storm_events, wet_samples
 
 
 def r(*cols: str, digits: int = 6) -> list:
@@ -224,9 +224,13 @@ def track_prepare(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT SID, {STAMP}, u, abs(st) > 10 AS jump FROM un")
 def track_unwrap(spark: SparkSession, root: str) -> DataFrame:
-    rows = tracks.one_per_time(tracks.cleaned(raw_rows(spark, root))).where(scalars.on_hours("TIME", 6))
+    return unwrapped_steps(raw_rows(spark, root))
+
+
+def unwrapped_steps(raw: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
+    rows = tracks.one_per_time(tracks.cleaned(raw)).where(scalars.on_hours("TIME", 6))
     step = geo.wrapped_delta("LON", F.lag("LON").over(Window.partitionBy("SID").orderBy("TIME")))
     return tracks.unwrapped(rows, "u").withColumn("jump", F.coalesce(F.abs(step) > 10, F.lit(False))).select("SID", stamp(), "u", "jump")
 
@@ -237,6 +241,49 @@ def tracks_within(spark: SparkSession, root: str) -> DataFrame:
     return tracks.within(tracks.within(rows, first_times=40), storms=["T1", "T2", "T3", "T7"]).select("SID", stamp(), "LAT")
 
 
+# The queries above read one month, as their SQL does. Those below read all orders; batch and month in SID keep
+# tracks short at every size.
+
+ALL_RAW = (
+    RAW.replace("'T' || (o_custkey % 60) AS SID", "'T' || (o_custkey % 60) || '-' || strftime(o_orderdate, '%Y%m') || '-' || (o_orderkey // 150000) AS SID")
+    .replace("\n  FROM orders WHERE year(o_orderdate) = 1998 AND month(o_orderdate) = 3)", "\n  FROM orders)")
+)
+
+
+def all_raw_rows(spark: SparkSession, root: str) -> DataFrame:
+    from .base import BASINS
+
+    sid, key = F.col("o_custkey") % 60, F.col("o_orderkey")
+    start = F.unix_timestamp(F.date_trunc("month", "o_orderdate"))
+    t = F.timestamp_seconds(start + 21600 * (key % 30) + F.when(sid == 7, 10800).otherwise(0))
+    return table(spark, root, "orders").select(
+        F.concat(F.lit("T"), sid, F.lit("-"), F.date_format("o_orderdate", "yyyyMM"), F.lit("-"), F.floor(key / 150000)).alias("SID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("ISO_TIME"), ((key % 80 - 40).cast("double") / 2).cast("string").alias("LAT"),
+        (F.lit(340) + key % 40).cast("string").alias("LON"), F.when(key % 4 > 0, (key % 150).cast("string")).otherwise(" ").alias("USA_WIND"),
+        F.lit("").alias("USA_PRES"), F.get(F.array(*map(F.lit, BASINS)), (sid % 7).cast("int")).alias("BASIN"), F.lit("main").alias("TRACK_TYPE"),
+    )
+
+
+def prepared_all(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
+    t = tracks.prepare(all_raw_rows(spark, root), first, last)
+    return t.select("SID", stamp(), *r("LAT", "LON", "USA_WIND"), "BASIN", F.col("YEAR").cast("int").alias("Y"), F.col("MONTH").cast("int").alias("M"), "INTENSITY_CAT")
+
+
+@query(ORACLE["track_prepare"].replace(RAW, ALL_RAW))
+def track_prepare_all(spark: SparkSession, root: str) -> DataFrame:
+    return prepared_all(spark, root, 1900, 2100)
+
+
+@query(ORACLE["track_unwrap"].replace(RAW, ALL_RAW))
+def track_unwrap_all(spark: SparkSession, root: str) -> DataFrame:
+    return unwrapped_steps(all_raw_rows(spark, root))
+
+
+@query(f"WITH {ALL_RAW} SELECT SID, {STAMP}, LAT FROM d1 WHERE TIME IN (SELECT DISTINCT TIME FROM d1 ORDER BY TIME LIMIT 40) AND SID IN ('T1-199501-0', 'T2-199501-0', 'T3-199501-0', 'T7-199501-0')")
+def tracks_within_all(spark: SparkSession, root: str) -> DataFrame:
+    rows = tracks.one_per_time(tracks.cleaned(all_raw_rows(spark, root)))
+    return tracks.within(tracks.within(rows, first_times=40), storms=[f"T{k}-199501-0" for k in (1, 2, 3, 7)]).select("SID", stamp(), "LAT")
+
+
 # --- features ---------------------------------------------------------------------------------------------
 
 STORMS = """sf AS (SELECT DISTINCT (s_suppkey % 4)::INT AS k, 'F' || (s_suppkey % 6) AS SID, ((s_suppkey % 6) * 9 - 20)::DOUBLE AS LAT, (s_suppkey % 6 * 2 + 355)::DOUBLE - CASE WHEN s_suppkey % 6 * 2 + 355 >= 360 THEN 360 ELSE 0 END AS LON FROM supplier),
