@@ -318,8 +318,12 @@ fe AS (SELECT k, ROW, first(g ORDER BY i, j) AS FEATURE FROM re GROUP BY ALL)"""
 
 def blobs(spark: SparkSession, root: str) -> DataFrame:
     li = table(spark, root, "lineitem").where("l_orderkey % 5 < 3 AND l_orderkey < 2400")
+    return blob_cells(li, F.col("l_linenumber") % 3)
+
+
+def blob_cells(li: DataFrame, k) -> DataFrame:
     row = ((900 + F.col("l_partkey") % 24) * 3600 + (3588 + F.col("l_suppkey") * 5 % 24 + F.col("l_quantity").cast("int") % 2) % 3600).cast("int")
-    b = li.select((F.col("l_linenumber") % 3).cast("int").alias("k"), row.alias("ROW")).distinct()
+    b = li.select(k.cast("int").alias("k"), row.alias("ROW")).distinct()
     b = b.select("k", F.lit("S").alias("SID"), F.timestamp_seconds(F.col("k") * 10800).alias("TIME"), F.lit(0.0).alias("LAT"), F.lit(0.0).alias("LON"), "ROW", geo.row_lat("ROW").alias("GRID_LAT"), geo.wrapped_delta(geo.row_lon("ROW"), 0.0).alias("DLON"))
     return b
 
@@ -339,6 +343,26 @@ def feature_centroid_filter(spark: SparkSession, root: str) -> DataFrame:
     return features.centred(features.labelled(blobs(spark, root)), 200.0).select("k", "ROW", "FEATURE")
 
 
+# Those two read some orders in three time steps, as their SQL does. These read all, a hundred order keys to a
+# time step, so that regions do not fill the grid at any size.
+
+ALL_BLOBS = BLOBS.replace("(l_linenumber % 3)::INT AS k", "(l_orderkey // 100)::INT AS k").replace(" FROM lineitem WHERE l_orderkey % 5 < 3 AND l_orderkey < 2400)", " FROM lineitem)")
+
+
+def all_blobs(spark: SparkSession, root: str) -> DataFrame:
+    return blob_cells(table(spark, root, "lineitem"), F.floor(F.col("l_orderkey") / 100))
+
+
+@query(ORACLE["connected_components"].replace(BLOBS, ALL_BLOBS))
+def connected_components_all(spark: SparkSession, root: str) -> DataFrame:
+    return features.labelled(all_blobs(spark, root)).select("k", "ROW", "FEATURE")
+
+
+@query(ORACLE["feature_centroid_filter"].replace(BLOBS, ALL_BLOBS))
+def feature_centroid_filter_all(spark: SparkSession, root: str) -> DataFrame:
+    return features.centred(features.labelled(all_blobs(spark, root)), 200.0).select("k", "ROW", "FEATURE")
+
+
 @query(
     f"""WITH RECURSIVE {STORMS}, we AS (SELECT *, ROW // 3600 AS i, round_even((dl + LON) * 10 - 0.5, 0)::BIGINT AS j FROM ca WHERE p > 0.3::FLOAT AND km <= 1000),
 ad AS (SELECT a.SID, a.k, a.ROW AS u, b.ROW AS v, b.i, b.j FROM we a JOIN we b ON a.SID = b.SID AND a.k = b.k AND abs(a.i - b.i) + abs(a.j - b.j) = 1),

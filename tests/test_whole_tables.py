@@ -1,5 +1,6 @@
 """Queries that read whole tables, against plain Python over all rows."""
 
+import math
 from datetime import timedelta
 
 import duckdb
@@ -42,3 +43,36 @@ def test_tracks_of_all_orders(spark, data):
     assert some == {k for k in ticks if "1996" <= k[1][:4] <= "1998"} and 0 < len(some) < len(ticks)
     six = {(s, f"{t:%Y-%m-%d %H:%M:%S}") for s, at in want.items() for t in at if t.hour % 6 == 0}
     assert {(r["SID"], r["TIME"]) for r in records.track_unwrap_all(spark, root).collect()} == six
+
+
+def test_regions_of_all_rows(spark, data):
+    """Union-find over the cells of every row."""
+    root, parent = f"{data}/sf0.001", {}
+
+    def find(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for key, part, supp, quantity in read(data, "l_orderkey, l_partkey, l_suppkey, l_quantity", "lineitem"):
+        c = key // 100, 900 + part % 24, -12 + supp * 5 % 24 + int(quantity) % 2  # columns from longitude 0
+        parent.setdefault(c, c)
+    for k, i, j in list(parent):
+        for other in ((k, i + 1, j), (k, i, j + 1)):
+            if other in parent:
+                a, b = sorted((find((k, i, j)), find(other)))
+                parent[b] = a
+    row = lambda c: c[1] * 3600 + c[2] % 3600
+    regions = {}
+    for c in parent:
+        regions.setdefault(find(c), []).append(c)
+    got = records.connected_components_all(spark, root).collect()
+    assert {(r["k"], r["ROW"]): r["FEATURE"] for r in got} == {(c[0], row(c)): row(find(c)) for c in parent} and len(got) == len(parent)
+    assert {c[0] for c in parent} == set(range(15)) and len(regions) > 100
+
+    def near(cells):
+        la, lo = (sum(x) / len(cells) for x in ([89.95 - c[1] * 0.1 for c in cells], [c[2] * 0.1 + 0.05 for c in cells]))
+        return 6371 * math.acos(math.cos(math.radians(la)) * math.cos(math.radians(lo))) <= 200
+
+    want = {(c[0], row(c)) for cells in regions.values() if near(cells) for c in cells}
+    assert {(r["k"], r["ROW"]) for r in records.feature_centroid_filter_all(spark, root).collect()} == want and 0 < len(want) < len(parent)
