@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bands, bootstrap, decompose, dist, report, trend
-from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, YEARS, band_sql, query, storm_events, trend_sql
+from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, ORACLE, YEARS, band_sql, query, storm_events, trend_sql
 
 REPS, BLOCK, SEED = 50, 3, 42
 
@@ -81,6 +81,18 @@ def mann_kendall_ties(spark: SparkSession, root: str) -> DataFrame:
     return trend.mann_kendall(t, ["k"], "y", "t", full=True).select("k", "n", "s", *r("var", "p_value"))
 
 
+# That one reads orders below 40, as its SQL does. This reads all rows; a remainder of sums has ties at every size.
+ALL_TIED = "td AS (SELECT l_returnflag AS k, l_linenumber * 100 + l_quantity::INT AS t, (sum(l_partkey) % 5)::DOUBLE AS y FROM lineitem GROUP BY ALL)"
+
+
+@query(ORACLE["mann_kendall_ties"].replace(TIED, ALL_TIED))
+def mann_kendall_ties_all(spark: SparkSession, root: str) -> DataFrame:
+    from ..sources.tables import table
+
+    t = table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("k"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).alias("t")).agg((F.sum("l_partkey") % 5).cast("double").alias("y"))
+    return trend.mann_kendall(t, ["k"], "y", "t", full=True).select("k", "n", "s", *r("var", "p_value"))
+
+
 @query(
     f"""WITH {MONTHLY}, {trend_sql("mo", "BASIN", "y", "t", "1")},
 li AS (SELECT BASIN, any_value(slope) AS slope, quantile_cont(y - slope * t, 0.5) AS intercept FROM mo JOIN sl USING (BASIN) GROUP BY BASIN)

@@ -1,11 +1,13 @@
 """Queries that read whole tables, against plain Python over all rows."""
 
 import math
+from collections import Counter
 from datetime import timedelta
 
 import duckdb
+import pytest
 
-from pluvia.plans import records
+from pluvia.plans import records, series
 
 
 def read(data, columns, name):
@@ -76,3 +78,18 @@ def test_regions_of_all_rows(spark, data):
 
     want = {(c[0], row(c)) for cells in regions.values() if near(cells) for c in cells}
     assert {(r["k"], r["ROW"]) for r in records.feature_centroid_filter_all(spark, root).collect()} == want and 0 < len(want) < len(parent)
+
+
+def test_ties_of_all_rows(spark, data):
+    sums = Counter()
+    for flag, line, quantity, part in read(data, "l_returnflag, l_linenumber, l_quantity, l_partkey", "lineitem"):
+        sums[flag, line * 100 + int(quantity)] += part
+    got = {r["k"]: r for r in series.mann_kendall_ties_all(spark, f"{data}/sf0.001").collect()}
+    assert got.keys() == {k for k, _ in sums}
+    for k, r in got.items():
+        y = [v % 5 for (_, _), v in sorted(x for x in sums.items() if x[0][0] == k)]
+        n = len(y)
+        s = sum((b > a) - (b < a) for i, a in enumerate(y) for b in y[i:])
+        var = (n * (n - 1) * (2 * n + 5) - sum(c * (c - 1) * (2 * c + 5) for c in Counter(y).values())) / 18
+        p = math.erfc(abs((s - (s > 0) + (s < 0)) / var**0.5) / 2**0.5)
+        assert (r["n"], r["s"], r["var"], r["p_value"]) == (n, s, pytest.approx(var, abs=1e-5), pytest.approx(p, abs=1e-5)) and n > 250
