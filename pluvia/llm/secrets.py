@@ -6,8 +6,10 @@ only where its keyword ends up. Kinds:
 * assign, access and hex are the base: assignments to a secret's name, cloud access ids, long runs of
   hexadecimal digits (those are found from a mask, since no keyword leads to them);
 * github and npm tokens count only if their last six characters are the CRC-32 of what stands before
-  them, in base 62; jwt only if its first part decodes to a JSON object with ``alg``; key for the first
-  line of a private key in PEM.
+  them, in base 62; jwt only if its first part decodes to a JSON object with ``alg``; key for a private
+  key in PEM, from its BEGIN line over the body to the END line with the same label. Without one before
+  the next BEGIN line, the key is what follows in PEM's form: header lines, lines of base64 alone, and runs
+  of 24 such characters or more wherever they stand.
 
 Defined results: a null text is empty and has no spans. Offsets count code points; ends are exclusive.
 Base kinds are leftmost and do not overlap among their own kind; a match that is too short is dropped
@@ -48,8 +50,12 @@ PATTERNS = {
     "github": re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
-    "key": re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    "key": re.compile(rb"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----"),
 }
+# Line ends may be written as in a string; a line may be quoted or indented.
+_EOL = rb"(?:\r\n?|\n|\\r\\n|\\n)"
+_LINE = rb"(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*|[A-Za-z0-9+/]+={0,2})"
+KEY_LINES = re.compile(rb"(?:(?:[\x20\t>]|" + _EOL + rb")*+[A-Za-z0-9+/]{24,}+={0,2}|(?:[\x20\t]*+" + _EOL + rb"[\x20\t>]*+)++" + _LINE + rb"(?=[\x20\t]*+(?:" + _EOL + rb"|\Z)))*+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -92,6 +98,16 @@ def _holds(kind: str, m: re.Match[bytes]) -> bool:
     return True
 
 
+def _end(kind: str, text: bytes, m: re.Match[bytes]) -> int:
+    """Where the secret ends that `m` is, or begins."""
+    if kind != "key":
+        return m.end()
+    last = b"-----END " + m[1] + b"-----"
+    after = text.find(b"-----BEGIN", m.end())
+    at = text.find(last, m.end(), after if after >= 0 else len(text))
+    return at + len(last) if at >= 0 else KEY_LINES.match(text, m.end()).end()
+
+
 def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) in bytes, sorted."""
     found: list[tuple[int, int, int]] = []
@@ -103,9 +119,9 @@ def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
             continue
         m = PATTERNS[kind].match(text, start)
         if m:
-            covered[kind] = m.end()
+            covered[kind] = end = _end(kind, text, m)
             if _holds(kind, m):
-                found.append((start, KINDS.index(kind), m.end()))
+                found.append((start, KINDS.index(kind), end))
     digits = text.translate(_HEX)
     at = digits.find(_HEX_RUN)
     while at >= 0:

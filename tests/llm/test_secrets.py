@@ -1,6 +1,10 @@
 import hashlib
+import random
 import re
+import string
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +54,47 @@ def test_redaction():
     assert plain(secrets.redact(t).decode()) == []
 
 
+def pem(label="RSA PRIVATE KEY", head="", eol="\n"):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) for n in (64, 64, 64, 17)]
+    lines[-1] += "=="
+    return eol.join([f"-----BEGIN {label}-----", *([head, ""] if head else []), *lines, f"-----END {label}-----"]), lines
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\\n"])
+@pytest.mark.parametrize("head", ["", "Proc-Type: 4,ENCRYPTED"])
+def test_whole_private_keys(eol, head):
+    key, lines = pem(head=head, eol=eol)
+    assert secrets.redact(f"é {key} after".encode()).decode() == "é [KEY] after"
+    assert secrets._joined([s for s in secrets.spans(f"é {key} after".encode()) if s[1] == 6]) == f"key:2:{2 + len(key)}"
+    start = key[: key.index("-----END")].removesuffix(eol)
+    for cut in (start, start[:-10], start[: start.index(lines[1]) + 30]):  # no END line
+        assert secrets.redact(f"a {cut}".encode()) == b"a [KEY]"
+        assert secrets.redact(f"a {cut}{eol}more words".encode()).decode() == f"a [KEY]{eol}more words"
+    other, _ = pem("EC PRIVATE KEY", eol=eol)
+    assert secrets.redact(f"{start}{eol}{other}{eol}x y".encode()).decode() == f"[KEY]{eol}[KEY]{eol}x y"
+    wrong = key.replace("END RSA", "END EC")
+    assert not any(x.encode() in secrets.redact(wrong.encode()) for x in lines)
+    flat = " ".join(start.split(eol)) if not head else key
+    assert not any(x.encode() in secrets.redact(flat.encode()) for x in lines[:3])
+
+
+def test_stage_hides_private_keys(spark):
+    import corpus_pipeline
+
+    key, lines = pem("PRIVATE KEY")
+    docs = spark.createDataFrame([(1, f"my key\n{key}\nkeep it"), (2, "-----BEGIN PRIVATE KEY----- is a line of prose")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.hide_secrets(spark, docs, "").collect()}
+    assert got == {1: "my key\n[KEY]\nkeep it", 2: "[KEY] is a line of prose"}
+
+
+def test_many_first_lines_take_linear_time():
+    t = b"-----BEGIN PRIVATE KEY-----\n" * 20_000
+    began = time.perf_counter()
+    assert len(secrets.spans(t)) == 20_000 and secrets.redact(b"-----BEGIN PRIVATE KEY-----" + b"\n >" * 500_000 + b"!").startswith(b"[KEY]\n >")
+    assert time.perf_counter() - began < 10
+
+
 def test_query_against_brute_force(spark, data):
     from pluvia.sources.tables import table
 
