@@ -20,8 +20,9 @@ minhashes. At a similarity of 0.85 a pair misses every table with a probability
 
 Defined results: a null text, or one without a word, has an empty set and is linked with nothing. A text
 of fewer than k words is one shingle. Rows that repeat a doc_id are taken one by one, each with its own
-text; classes with the same least doc_id are one. A row without doc_id has its set's size, belongs to the
-component of its copies' least doc_id (else null), and is not kept.
+text: if there are any, rows are numbered by doc_id and text, and those numbers are compared and linked. A
+row without doc_id has its set's size, belongs to the component of its copies' least doc_id (else null), and
+is not kept.
 """
 
 from __future__ import annotations
@@ -264,8 +265,32 @@ def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, block: int =
     return named.join(more, "known", "left").select("id", F.coalesce("component", "known").alias("component"))
 
 
+def repeated(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
+    return not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with _n, the place of each row in order of doc_id, text and the rest; null without doc_id."""
+    order = docs.orderBy(F.col("doc_id").cast("long"), "text", F.xxhash64(*docs.columns))
+    return stored(order.withColumn("_n", F.when(F.col("doc_id").cast("long").isNotNull(), F.monotonically_increasing_id())), "numbered")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
+    if not repeated(docs):
+        return _grouped(docs, k)
+    rows = numbered(docs.select("doc_id", "text"))
+    names = rows.where("_n IS NOT NULL").select("_n", F.col("doc_id").cast("long").alias("_id"))
+    out = _grouped(rows.select(F.col("_n").alias("doc_id"), "text"), k).drop("kept")
+    for c in ("doc_id", "component_id"):
+        out = out.join(names.withColumnRenamed("_n", c), c, "left").drop(c).withColumnRenamed("_id", c)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """`near_duplicates` of rows that do not share a doc_id."""
     rows = stored(signatures(docs, k), "sets")
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("t").agg(F.min("doc_id").alias("id"), F.first("sub").alias("sub")), "classes")
     clusters = stored(components(candidates(classes)), "clusters")
@@ -278,10 +303,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, whole: one document of each group. Rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not ids.isEmpty():  # rows that repeat a doc_id: one of them
-        out = out.dropDuplicates(["doc_id"])
+    """The rows of `docs` that are kept, whole: one document of each group. Rows without doc_id stay.
+
+    Of rows that share a doc_id, those go whose sets are equal or linked, and the first in order stays.
+    """
+    if not repeated(docs):
+        kept = _grouped(docs).where("kept").select(F.col("doc_id").alias("_id"))
+        out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    else:
+        rows = numbered(docs)
+        kept = stored(_grouped(rows.select(F.col("_n").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_n"), "n_shingles"), "kept")
+        without = rows.join(kept.where("n_shingles = 0"), "_n", "left_semi").groupBy("doc_id").agg(F.min("_n").alias("_n"))
+        kept = kept.where("n_shingles > 0").select("_n").unionByName(without.select("_n"))
+        out = rows.join(kept, "_n", "left_semi").select(*docs.columns)
     return out.unionByName(docs.where("doc_id IS NULL"))

@@ -110,3 +110,20 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(got[got.kept].doc_id)) and ids.count(None) == 2
     assert minhash.deduplicated(empty).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Unrelated texts with one doc_id are two documents; copies with one doc_id are one."""
+    rng = random.Random(5)
+    a, b, c, d = (text(rng, 80) for _ in range(4))
+    rows = [(4, a), (4, b), (2, a + " end"), (9, b + " end"), (9, c), (9, c), (7, d), (7, d + " end"), (8, ""), (8, None), (8, d + " last"), (None, c), (None, None)]
+    check(spark, rows)
+    docs = [(*r, f"s{i}") for i, r in enumerate(rows)]
+    for n in (1, 5):
+        df = spark.createDataFrame(docs[::-1], "doc_id long, text string, source string").repartition(n)
+        got = [tuple(r) for r in minhash.deduplicated(df).select("doc_id", "text", "source").collect()]
+        assert sorted(((i, t) for i, t, _ in got if i is not None), key=str) == sorted([(2, a + " end"), (4, b), (7, d), (8, None), (9, c)], key=str)
+        assert [i for i, _, _ in got].count(None) == 2
+        ours = {s for i, _, s in got if i == 9}
+        assert n == 1 or ours == first
+        first = ours
