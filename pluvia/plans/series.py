@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bands, bootstrap, decompose, dist, report, trend
-from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, ORACLE, YEARS, band_sql, query, storm_events, trend_sql
+from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, ORACLE, QUERIES, YEARS, band_sql, query, storm_events, trend_sql
 
 REPS, BLOCK, SEED = 50, 3, 42
+HOW = {"block": BLOCK, "repetitions": REPS, "seed": SEED}
+WHOLE = {"block": bootstrap.BLOCK_YEARS, "repetitions": bootstrap.REPETITIONS, "seed": SEED}
 
 
 def r(*cols: str, digits: int = 6) -> list:
@@ -253,8 +255,8 @@ def box_means(spark: SparkSession, root: str) -> DataFrame:
     return dist.box_means(t, boxes).select("box", "name", *r("mean"), "n")
 
 
-def _draws_sql(n: int) -> str:
-    rows = bootstrap.block_draws(n, BLOCK, REPS, SEED)
+def _draws_sql(n: int, how: dict = HOW) -> str:
+    rows = bootstrap.block_draws(n, **how)
     return "bi(REP, POS, SRC) AS (VALUES " + ", ".join(f"({k}, {p}, {s})" for k, row in enumerate(rows.tolist()) for p, s in enumerate(row)) + ")"
 
 
@@ -268,8 +270,8 @@ s2 AS (SELECT a.HEMISPHERE, a.COMPONENT, a.REP, 10 * quantile_cont((b.y - a.y) /
 
 
 @query(f"WITH {LONG_COMPONENTS}, {BOOT} SELECT HEMISPHERE, COMPONENT, round(quantile_cont(slope, 0.025), 6) AS ci_low, round(quantile_cont(slope, 0.975), 6) AS ci_high FROM s2 GROUP BY ALL")
-def bootstrap_trend_ci(spark: SparkSession, root: str) -> DataFrame:
-    return bootstrap.component_intervals(parts(spark, root), ["HEMISPHERE"], block=BLOCK, repetitions=REPS, seed=SEED).select("HEMISPHERE", "COMPONENT", *r("ci_low", "ci_high"))
+def bootstrap_trend_ci(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
+    return bootstrap.component_intervals(parts(spark, root), ["HEMISPHERE"], **how).select("HEMISPHERE", "COMPONENT", *r("ci_low", "ci_high"))
 
 
 @query(
@@ -279,8 +281,8 @@ s4 AS (SELECT HEMISPHERE, y AS YEAR, ic + slope * y AS f FROM s3, generate_serie
 SELECT s4.HEMISPHERE, s4.YEAR::INT AS YEAR, round(any_value(fit), 6) AS fit, round(quantile_cont(f, 0.025), 6) AS fit_lower, round(quantile_cont(f, 0.975), 6) AS fit_upper
 FROM s4 JOIN l2 ON l2.HEMISPHERE = s4.HEMISPHERE AND l2.YEAR = s4.YEAR AND COMPONENT = 'TOTAL' GROUP BY s4.HEMISPHERE, s4.YEAR"""
 )
-def bootstrap_fit_band(spark: SparkSession, root: str) -> DataFrame:
-    b = bootstrap.fit_bands(parts(spark, root), ["HEMISPHERE"], "ANNUAL_MEAN", joint=False, block=BLOCK, repetitions=REPS, seed=SEED)
+def bootstrap_fit_band(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
+    b = bootstrap.fit_bands(parts(spark, root), ["HEMISPHERE"], "ANNUAL_MEAN", joint=False, **how)
     return b.select("HEMISPHERE", "YEAR", *r("fit", "fit_lower", "fit_upper"))
 
 
@@ -320,8 +322,8 @@ b4 AS (SELECT domain, REP, BAND, YEAR, max(y) FILTER (kind = 'n') AS n, max(y) F
 SELECT domain, BAND, {", ".join(f"round(any_value(oz.{c}), 6) AS {c}_point, round(quantile_cont(rz.{c}, 0.025), 6) AS {c}_ci_low, round(quantile_cont(rz.{c}, 0.975), 6) AS {c}_ci_high" for c in TERMS)}
 FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND"""
 )
-def bootstrap_band_intervals(spark: SparkSession, root: str) -> DataFrame:
-    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], block=BLOCK, repetitions=REPS, seed=SEED)
+def bootstrap_band_intervals(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
+    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **how)
     return b.select("domain", "BAND", *r(*(c for c in b.columns if c not in ("domain", "BAND"))))
 
 
@@ -334,8 +336,8 @@ def _cell_sql() -> str:
     f"""WITH {DOMAINS}, {BAND_BOOT}, ce AS (SELECT domain, BAND, {_cell_sql()} AS cell FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND)
 SELECT domain, {", ".join(f"max(cell) FILTER (BAND = {k}) AS band_{k}" for k in range(4))} FROM ce GROUP BY domain"""
 )
-def compact_table(spark: SparkSession, root: str) -> DataFrame:
-    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], block=BLOCK, repetitions=REPS, seed=SEED)
+def compact_table(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
+    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **how)
     return report.compact(b, ["domain"])
 
 
@@ -344,7 +346,22 @@ def compact_table(spark: SparkSession, root: str) -> DataFrame:
 ci AS (SELECT HEMISPHERE, COMPONENT, quantile_cont(slope, 0.025) AS lo, quantile_cont(slope, 0.975) AS hi FROM s2 GROUP BY ALL)
 SELECT HEMISPHERE, COMPONENT, round(slope, 6) AS slope, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, lo > 0 OR hi < 0 AS significant FROM sl JOIN ci USING (HEMISPHERE, COMPONENT)"""
 )
-def trend_significance(spark: SparkSession, root: str) -> DataFrame:
+def trend_significance(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
     p = parts(spark, root)
-    ci = bootstrap.component_intervals(p, ["HEMISPHERE"], block=BLOCK, repetitions=REPS, seed=SEED)
+    ci = bootstrap.component_intervals(p, ["HEMISPHERE"], **how)
     return decompose.significance(decompose.component_trends(p, ["HEMISPHERE"]), ci, ["HEMISPHERE", "COMPONENT"]).select("HEMISPHERE", "COMPONENT", *r("slope", "ci_low", "ci_high"), "significant")
+
+
+# The queries that resample make 50 replicates, as their SQL does; these make as many as the operator's default.
+
+
+def _with_all_replicates(name: str) -> None:
+    def whole(spark: SparkSession, root: str) -> DataFrame:
+        return QUERIES[name](spark, root, WHOLE)
+
+    whole.__name__ = f"{name}_1000"
+    query(ORACLE[name].replace(_draws_sql(7), _draws_sql(7, WHOLE)))(whole)
+
+
+for _name in ("bootstrap_trend_ci", "bootstrap_fit_band", "bootstrap_band_intervals", "compact_table", "trend_significance"):
+    _with_all_replicates(_name)

@@ -5,9 +5,11 @@ from collections import Counter
 from datetime import timedelta
 
 import duckdb
+import numpy as np
 import pytest
 
-from pluvia.plans import records, series
+from pluvia.operators import bootstrap
+from pluvia.plans import base, records, series
 
 
 def read(data, columns, name):
@@ -93,3 +95,17 @@ def test_ties_of_all_rows(spark, data):
         var = (n * (n - 1) * (2 * n + 5) - sum(c * (c - 1) * (2 * c + 5) for c in Counter(y).values())) / 18
         p = math.erfc(abs((s - (s > 0) + (s < 0)) / var**0.5) / 2**0.5)
         assert (r["n"], r["s"], r["var"], r["p_value"]) == (n, s, pytest.approx(var, abs=1e-5), pytest.approx(p, abs=1e-5)) and n > 250
+
+
+def test_a_thousand_replicates(spark, data):
+    root = f"{data}/sf0.001"
+    got = {r["HEMISPHERE"]: r for r in base.QUERIES["bootstrap_trend_ci_1000"](spark, root).where("COMPONENT = 'TOTAL'").collect()}
+    rows = sorted((r["HEMISPHERE"], r["YEAR"], r["ANNUAL_MEAN"]) for r in series.parts(spark, root).collect())
+    i, j = np.triu_indices(7, 1)
+    for h, r in got.items():
+        t, y = (np.array([x[c] for x in rows if x[0] == h], float) for c in (1, 2))
+        sen = lambda v: np.median((v[j] - v[i]) / (t[j] - t[i]))  # noqa: E731, B023
+        fit = np.median(y) - sen(y) * np.median(t) + sen(y) * t
+        s = [10 * sen(fit + (y - fit)[d]) for d in bootstrap.block_draws(7, 4, 1000, 42)]
+        assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.quantile(s, [0.025, 0.975])), abs=2e-6)
+    assert len(got) == 2
