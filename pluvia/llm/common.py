@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
 from ..session import ship
 
@@ -28,23 +27,36 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The application's folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder stands in if the application is one local process; on a cluster,
+    whose executors would not share it, that is an error.
+    """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pluvia-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="pluvia-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def keep_until_end(spark: SparkSession, path: str) -> str:
+    """`path`, noted to be deleted when the driver ends."""
+    if not _written:
+        atexit.register(discard_stored)
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """`df`, written once to the shared folder and read back. Deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(discard_stored)
-    _written.append((spark, path))
+    keep_until_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,11 +71,33 @@ def discard_stored() -> None:
             pass
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker gets at once, by rows and by bytes for long texts; sends it the package."""
+#: What a Python worker gets at once, at most: rows, and bytes for long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends the package to the executors, and lowers the session's bounds of Arrow batches to the above.
+
+    Bounds are read when a plan runs, which may be after an operator has returned, so they stay; a smaller
+    bound that the session has is kept.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = (spark.conf.get(key) or "").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of `df` has them, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
@@ -134,33 +168,21 @@ def group_min(df: DataFrame, key: str, value: str, spread: str, out: str) -> Dat
     return attach(df, key, df.groupBy(key).agg(F.min(value).alias(out)), spread)
 
 
-#: Rows of one key that a task may hold at once; keys with more are salted.
-PLAIN = 50_000
-
-
-def _least(df: DataFrame, out: str, hot: bool) -> DataFrame:
-    """`df` (u, v) with the least v of each u."""
-    return group_min(df, "u", "v", "v", out) if hot else df.withColumn(out, F.min("v").over(W.partitionBy("u")))
-
-
 def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 60) -> DataFrame:
     """(id, component): for each end of an edge, the least id that it reaches.
 
-    Large-star and small-star steps alternate until no edge changes. While no node has more than PLAIN
-    edges a step is one window; else it is a salted `group_min`, so that a node with a third of all edges
-    stays spread. Every round is written to the shared folder, and only its row count, a checksum and the
-    largest degree come to the driver. The number of rounds is logarithmic in practice; if `rounds` should
-    not do, it raises and returns nothing wrong.
+    Large-star and small-star steps alternate until no edge changes. A step is a salted `group_min`, so that
+    a node with a third of all edges stays spread. Every round is written to the shared folder, and only its
+    row count and a checksum come to the driver. The number of rounds is logarithmic in practice; if
+    `rounds` should not do, it raises and returns nothing wrong.
     """
     e = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
     state = _digest(e)
     for _ in range(rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = 2 * state[0] > PLAIN and both.groupBy("u").count().agg(F.max("count")).first()[0] > PLAIN
-        big = _least(both, "_n", hot).withColumn("_m", F.least("u", "_n"))
-        big = big.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v")
-        big = big.distinct() if hot else big
-        small = _least(big, "_m", hot)
+        big = group_min(both, "u", "v", "v", "_n").where("v > u")
+        big = big.select(F.col("v").alias("u"), F.least("u", "_n").alias("v")).where("u <> v").distinct()
+        small = group_min(big, "u", "v", "v", "_m")
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))
         small = small.select(F.explode(ends).alias("x")).select("x.*")
         e = stored(small.where("u <> v").distinct(), "edges")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, kept int, `rank` int, t binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, kept int, `rank` int, t binary, _id long, _d string, _times int, _copy int, _row string, _key int, h long, n int, root long, component_id long"
 
 
 def words(rng, n):
@@ -19,7 +19,7 @@ def odd_rows():
     rows = [(1, "", "en", "a"), (2, None, "en", "a"), (3, "a", None, "b"), (4, long, "fr", None), (4, long, "fr", None), (5, no_space, "de", "b"), (None, "one two three four five six", "en", "a"), (None, None, None, None)]
     rows += [(10 + i, same, "en", "c") for i in range(5)] + [(20, same + " end", "en", "c"), (21, "  \t\n ", "en", "c"), (22, "été à la plage " * 20, "fr", "d"), (23, same.upper(), "en", "d"), (24, "9 8 7 !!", "en", "d")]
     rows += [(100 + i, words(rng, rng.randint(1, 90)), rng.choice(["en", "fr"]), rng.choice("abcd")) for i in range(40)]
-    return [(*r, None if i % 3 else 5, 0.5, "x", 1, 2, b"t") for i, r in enumerate(rows)]
+    return [(*r, None if i % 3 else 5, 0.5, "x", 1, 2, b"t", i, None, 3, 4, "r", 5, None, 1, 2, 3) for i, r in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")

@@ -36,10 +36,10 @@ def plain(rows, link=85):
     return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def check(spark, rows, n=4):
+def check(spark, rows, n=4, link=85):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()), key=str)
-    assert got == sorted(plain(rows), key=str)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, link=link).collect()), key=str)
+    assert got == sorted(plain(rows, link), key=str)
 
 
 def text(rng, n):
@@ -68,7 +68,8 @@ def test_long_texts_in_pieces(monkeypatch):
 
 def test_sub_keys_use_a_square_root_of_the_hashes():
     v = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    sub = minhash.sub_keys(v, np.array([20, 19]))
+    assert [minhash.collections_for(link) for link in (85, 80)] == [8, 11]
+    sub = minhash.sub_keys(v, np.array([20, 19]), 8)
     assert sub.shape == (2, 16) and minhash.table_keys(sub).shape == (2, 64)
     assert len(np.unique(minhash.table_keys(sub))) == 128
 
@@ -99,8 +100,7 @@ def test_groups_of_copies(spark, monkeypatch, block):
 
 
 def test_odd_rows(spark, odd, odd_rows, empty):
-    rows = [(r[0], r[1]) for r in odd_rows if r[0] not in (4, 5)]
-    check(spark, rows)
+    check(spark, [(r[0], r[1]) for r in odd_rows])
     got = minhash.near_duplicates(odd).toPandas()
     assert len(got) == len(odd_rows)
     assert (got[got.doc_id == 5].n_shingles == 1).all() and got[got.doc_id == 4].kept.all()
@@ -109,6 +109,7 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(got[got.kept].doc_id)) and ids.count(None) == 2
+    assert sorted(map(str, kept.collect())) == sorted(map(str, minhash.deduplicated(odd.repartition(5)).collect()))
     assert minhash.deduplicated(empty).count() == 0
 
 
@@ -127,3 +128,29 @@ def test_rows_that_share_a_doc_id(spark):
         ours = {s for i, _, s in got if i == 9}
         assert n == 1 or ours == first
         first = ours
+
+
+def near(text, n, tag):
+    """The text with its last n words replaced."""
+    return " ".join([*text.split()[:-n], *(f"{tag}{i}" for i in range(n))])
+
+
+@pytest.mark.parametrize("link", [85, 80])
+def test_an_id_with_two_texts_links_neither(spark, link):
+    """Rows with one doc_id and different texts, one of them a copy of another document's."""
+    rng = random.Random(6)
+    x, unique = text(rng, 100), text(rng, 90)
+    y = near(x, 9, "q")  # 87 of 105 shingles: 0.829
+    rows = [(3, y), (5, y), (5, x), (1, unique + " a"), (2, unique + " a"), (2, text(rng, 50)), (7, x)]
+    check(spark, rows, link=link)
+    check(spark, [r for r in rows if r != (5, y)], link=link)
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _id int")
+    kept = {r["_id"] for r in minhash.deduplicated(docs, link=link).collect()}
+    assert kept == ({0, 2, 3, 5} if link == 85 else {0, 3, 5})
+
+
+def test_rows_equal_in_every_column(spark):
+    rng = random.Random(7)
+    a = text(rng, 60)
+    docs = spark.createDataFrame([(1, a, "s")] * 6 + [(2, a, "s")] * 3 + [(3, "", "s")] * 2, "doc_id long, text string, source string").repartition(3)
+    assert sorted(map(tuple, minhash.deduplicated(docs).collect())) == [(1, a, "s"), (3, "", "s")]
