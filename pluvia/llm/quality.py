@@ -37,38 +37,59 @@ for _c in range(33, 256):
 _TAGS = np.random.default_rng(5).integers(0, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def feature_streams(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of feature: bucket numbers in order of the texts, and how many each text has."""
+Streams = list[tuple[np.ndarray, np.ndarray]]
+
+
+def words_and_shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of words, hashes of their shapes, words of each text) of texts together of about wordscan.PIECE bytes."""
     w = wordscan.scan(texts)
     if not len(w.starts):
-        return [(np.zeros(0, np.int64), w.counts)] * 5
+        return w.hashes, np.zeros(0, np.uint64), w.counts
     shape = np.bitwise_or.reduceat(_KINDS[w.buf], w.starts)
-    shape = wordscan.mix(shape * _TAGS[6] + np.minimum((w.ends - w.starts) // 3, 7).astype(np.uint64))
-    last = np.cumsum(w.counts)
-    left = np.repeat(last, w.counts) - np.arange(len(shape))  # words from here to the text's end
+    return w.hashes, wordscan.mix(shape * _TAGS[6] + np.minimum((w.ends - w.starts) // 3, 7).astype(np.uint64)), w.counts
+
+
+def grams(hashes: np.ndarray, shape: np.ndarray, counts: np.ndarray, bits: int, before: int = 0) -> Streams:
+    """For each kind of feature: bucket numbers in order of the texts, and how many each text has.
+
+    before: so many words at the start of a single text were seen already, and n-grams of these alone don't count.
+    """
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(shape))  # words from here to the text's end
     out = []
-    for k, (base, n) in enumerate(((w.hashes, 1), (w.hashes, 2), (shape, 1), (shape, 2), (shape, 3))):
+    for k, (base, n) in enumerate(((hashes, 1), (hashes, 2), (shape, 1), (shape, 2), (shape, 3))):
         h = base * _TAGS[k]
         for j in range(1, n):
             h[:-j] += base[j:] * _TAGS[j + k]
-        h = h[left >= n] if n > 1 else h
-        out.append(((wordscan.mix(h) >> np.uint64(64 - bits)).astype(np.int64), np.maximum(w.counts - n + 1, 0)))
+        seen = max(before - n + 1, 0)
+        h = h[left >= n][seen:]
+        out.append(((wordscan.mix(h) >> np.uint64(64 - bits)).astype(np.int64), np.maximum(counts - n + 1 - seen, 0)))
     return out
 
 
+def long_grams(text: bytes, bits: int) -> Iterator[Streams]:
+    """`grams` of a text of any length, a piece at a time; the last two words go on into the next piece."""
+    last = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    for piece in wordscan.split_long(text):
+        hashes, shape, _ = words_and_shapes([piece])
+        before = len(last[0])
+        hashes, shape = np.concatenate([last[0], hashes]), np.concatenate([last[1], shape])
+        yield grams(hashes, shape, np.array([len(hashes)]), bits, before)
+        last = hashes[-2:], shape[-2:]
+
+
 def averages(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """The dot product of each text's features with the weights."""
     bits = int(len(weights)).bit_length() - 1
     out = np.zeros(len(texts))
-    pieces = [(i, p) for i, t in enumerate(texts) for p in (wordscan.split_long(t) if len(t) > wordscan.PIECE else [t])]
     sums, sizes = np.zeros((5, len(texts))), np.zeros((5, len(texts)))
-    for lo, hi in runs([len(p) for _, p in pieces], wordscan.PIECE):
-        owner = np.array([i for i, _ in pieces[lo:hi]])
-        for k, (idx, n) in enumerate(feature_streams([p for _, p in pieces[lo:hi]], bits)):
-            full = np.flatnonzero(n)
-            if len(full):
-                np.add.at(sums[k], owner[full], np.add.reduceat(weights[idx], np.cumsum(n)[full] - n[full]))
-                np.add.at(sizes[k], owner, n)
+    for lo, hi in runs([len(t) for t in texts], wordscan.PIECE):
+        long = len(texts[lo]) > wordscan.PIECE
+        for streams in long_grams(texts[lo], bits) if long else [grams(*words_and_shapes(texts[lo:hi]), bits)]:
+            for k, (idx, n) in enumerate(streams):
+                full = np.flatnonzero(n)
+                if len(full):
+                    sums[k, lo + full] += np.add.reduceat(weights[idx], np.cumsum(n)[full] - n[full])
+                    sizes[k, lo:hi] += n
     for k in range(5):
         out += SCALE * sums[k] / np.maximum(sizes[k], 1)
     return out
@@ -76,12 +97,8 @@ def averages(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def _sparse(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     idx_all, val_all = [], []
-    streams: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for piece in wordscan.split_long(text):
-        for k, (idx, _) in enumerate(feature_streams([piece], bits)):
-            streams[k].append(idx)
-    for parts in streams:
-        idx = np.concatenate(parts)
+    for parts in zip(*long_grams(text, bits), strict=True):
+        idx = np.concatenate([i for i, _ in parts])
         if len(idx):
             u, c = np.unique(idx, return_counts=True)
             idx_all.append(u)
@@ -118,8 +135,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs
 def learn(docs: DataFrame, labels: DataFrame, where, label: str = "quality", rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Fits on at most `rows` labelled rows for which `where` (over doc_id) holds.
 
-    The sample is bounded, so its ids may be broadcast to the texts; the texts meet in one task. The driver
-    gets the weights that are not zero, 2**bits + 1 at most.
+    The sample is bounded, so its ids may be broadcast to the texts. Each text becomes a sparse vector of
+    2**bits parts at most where it lies; `rows` of these at most, with repeated ids, meet in one task. The
+    driver gets the weights that are not zero, 2**bits + 1 at most.
     """
     small_batches(docs.sparkSession)
     picked = labels.where(where & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
@@ -142,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, where, label: str = "quality", row
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sparse = map_batches(texts, shrink, f"h long, doc_id {id_type}, y int, i array<long>, x array<double>")
-    model = sparse.repartition(1).sortWithinPartitions("h", "doc_id", "y").mapInArrow(train, "i long, w double").toPandas()
+    model = sparse.orderBy("h", "doc_id", "y", F.xxhash64("i", "x")).limit(rows).mapInArrow(train, "i long, w double").toPandas()
     w = np.zeros((1 << bits) + 1, np.float32)
     bias = 0.0
     if len(model):
@@ -171,7 +189,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
 
 def passing(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, whole, that score `threshold` at least."""
+    """The rows of `docs`, whole, that score `threshold` at least.
+
+    A null or empty text has the score of the model's bias. Repeated rows stay or go together.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

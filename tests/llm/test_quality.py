@@ -65,3 +65,21 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     model = quality.learn(odd, labels, crc_bucket("doc_id", 5) != 0)
     kept = quality.passing(odd, model)
     assert kept.columns == odd.columns and kept.count() == got.predicted.sum()
+
+
+def test_n_grams_over_the_borders_of_pieces(monkeypatch):
+    """A text that is cut scores as the same text whole."""
+    import numpy as np
+
+    from pluvia.llm import wordscan
+
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=1 << quality.BITS).astype(np.float32)
+    text = " ".join("".join(rng.choice(list("abcdeXYZ019.!"), rng.integers(1, 9))) for _ in range(4000)).encode()
+    whole, sparse = quality.averages([b"a b", text, b"c"], w), quality._sparse(text, quality.BITS)
+    for size in (300, 1001):
+        monkeypatch.setattr(wordscan, "PIECE", size)
+        monkeypatch.setattr(wordscan.split_long, "__defaults__", (size,))
+        assert np.allclose(quality.averages([b"a b", text, b"c"], w), whole)
+        again = quality._sparse(text, quality.BITS)
+        assert np.array_equal(again[0], sparse[0]) and np.allclose(again[1], sparse[1])
