@@ -5,7 +5,8 @@ words by weight; a source's target stops at MOST times its own words, and what i
 by weight until none is above. Targets come from a water level: sources are ordered by the level at which
 they fill, and the last level that fits is found from running sums.
 
-Documents are dealt by a hash of their ids into SHARDS shards of each source. A shard's documents lie in
+Documents are dealt by a hash of their ids into shards of each source, SHARDS of them, and twice as many
+for each doubling of all words above SHARDS * SHARD_WORDS, so that a shard stays a task's work at any size. A shard's documents lie in
 an order drawn by a seeded hash, and its words are cut into equal blocks of BLOCK words. Blocks are
 allocated by highest quotients (votes / (2 seats + 1)): first to sources, by their targets, then to the
 shards of each source, by their words. A shard with a quota of q blocks gives every block as often as q
@@ -28,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stored
+from .common import spare, stored
 
 # Fixed values.
 WEIGHTS = (5, 2, 1)
 EPOCH = 1.5
 MOST = 2
 SHARDS = 64
+SHARD_WORDS = 1 << 25
 BLOCK = 16
 SEED = "mix-1"
 
@@ -89,12 +91,20 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, tie:
     return parties.join(won, keys, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
+def shards_for(words: int, shards: int = SHARDS) -> int:
+    """Shards of each source, for this number of all words."""
+    while words > shards * SHARD_WORDS:
+        shards *= 2
+    return shards
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of `docs`."""
+    """doc_id, size, source_size, target, taken for every row of `docs`; `shards` of each source at least."""
     h = order_hash(F.col("doc_id"))
     light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    light = light.select("*", h.alias("h")).select("*", F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"))
-    light = stored(light, "sizes")
+    light = stored(light.select("*", h.alias("h")), "sizes")
+    dealt = shards_for(light.agg(F.sum("size")).first()[0] or 0, shards)
+    light = light.withColumn("shard", F.pmod(F.col("h"), F.lit(dealt)).cast("int"))
     cells = light.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     cells = stored(cells, "cells")
     sources = water_level(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
@@ -117,10 +127,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
 def drawn(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """`docs` as the mixture draws them: each row as often as its taken words fill it, rounded (0, 1 or 2 times).
 
-    Only the one document in a shard that the last block ends in is rounded. Rows that repeat a doc_id are
-    drawn together, by their sum.
+    Only the one document in a shard that the last block ends in is rounded. Rows that repeat a doc_id, or
+    have none, are drawn together, by their sum. A text without a word has nothing to take and is not drawn.
     """
+    own, times, copy = spare(docs, "_d", "_times", "_copy")
     taken = mix(docs, shards, block).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_r"))
-    times = taken.select(F.col("doc_id").alias("_d"), F.floor(F.coalesce("_r", F.lit(0.0)) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    drawn = taken.select(F.col("doc_id").alias(own), F.floor(F.coalesce("_r", F.lit(0.0)) + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(own)))
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))

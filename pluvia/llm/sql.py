@@ -9,7 +9,8 @@ WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT AS h
   FROM documents),
-light AS (SELECT *, h % 64 AS shard FROM sized),
+dealt AS (SELECT greatest(64, pow(2, ceil(log2(greatest(coalesce(sum(size), 0), 1) / 33554432.0::DOUBLE))))::BIGINT AS shards FROM sized),
+light AS (SELECT *, h % (SELECT shards FROM dealt) AS shard FROM sized),
 cells AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM light GROUP BY ALL),
 s0 AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cells GROUP BY ALL),
 s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM s0),
