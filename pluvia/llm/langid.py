@@ -25,6 +25,7 @@ from .common import crc_bucket, map_batches, runs, small_batches
 DIMS = 512
 SEED = 11
 UNDETERMINED = "und"
+LANGUAGES = 4096
 _GROUP = 1 << 20  # characters counted at once
 _CELLS = 1 << 23  # cells of a table of counts
 
@@ -100,9 +101,11 @@ def bundle(texts: list[str], dims: int, seed: int, groups: np.ndarray | None = N
 def learn(docs: DataFrame, where, text: str = "text", lang: str = "lang", dims: int = DIMS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes by language, from the rows for which `where` holds.
 
-    What comes to the driver is one vector for each language. Vectors have whole-number parts, so that the
-    order of summation does not matter.
+    What comes to the driver is one vector for each language; more than LANGUAGES of them are an error.
+    Vectors have whole-number parts, so that the order of summation does not matter.
     """
+    if docs.where(where & F.col(lang).isNotNull()).select(lang).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in {lang}")
 
     def sums(b: pa.RecordBatch) -> pa.RecordBatch:
         langs, groups = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)

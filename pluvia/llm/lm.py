@@ -10,8 +10,8 @@ hash of its last three bytes. The next token's representation is predicted from
 through a matrix of its position (r = R[c1] C1 + R[c2] C2), and scores are s(w) = r . Q[w] + b[w]. Products
 of those matrices give tables of s by context and a normaliser for each pair of contexts, so that a token's
 normalised log-probability is four look-ups. A word inside a class has the probability
-(c + 1) / (N_class + V_class + 1). The model starts from a bounded sample of training texts of ordinary
-length (WARM_ROWS of fewer than WARM_TOKENS tokens), then every task trains on all its training texts, and
+(c + 1) / (N_class + V_class + 1). The model starts from a bounded sample: of WARM_ROWS training texts, cut
+into runs of WARM_TOKENS tokens, the WARM_ROWS runs with the least hashes. Then every task trains on all its training texts, and
 the tasks' parameters are averaged by their tokens, in levels of 16.
 
 Defined results: a null text is empty and has one token, the end. Without any training text N and V are 0,
@@ -233,19 +233,26 @@ def learn(train: DataFrame, lex: Lexicon) -> list[np.ndarray]:
     shared = spark.sparkContext.broadcast(lex)
 
     def ids(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for _, h, k, n in token_runs(texts_of(b.column(2))):
-            out += np.split(shared.value.ids(h, k)[0].astype(np.int16), np.cumsum(n)[:-1])
-        return pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int16()))], ["o", "doc_id", "ids"])
-
-    some = train.select(F.xxhash64("doc_id", F.lit("warm")).alias("o"), "doc_id").orderBy("o", "doc_id").limit(WARM_ROWS)
-    texts = train.join(F.broadcast(some), "doc_id").select("o", "doc_id", "text")
+        flat, owner, part, sizes = [], [], [], []
+        for lo, h, k, n in token_runs(texts_of(b.column(1))):
+            flat.append(shared.value.ids(h, k)[0].astype(np.int16))
+            cuts = -(-n // WARM_TOKENS)
+            owner.append(lo + np.repeat(np.arange(len(n)), cuts))
+            part.append(np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            sizes.append(np.minimum(np.repeat(n, cuts) - part[-1] * WARM_TOKENS, WARM_TOKENS))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+        return pa.record_batch([b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(part).astype(np.int32)), lists], ["doc_id", "part", "ids"])
+
+    some = train.select("doc_id", F.xxhash64("doc_id", F.lit("warm")).alias("o")).orderBy("o", "doc_id").limit(WARM_ROWS).select("doc_id").distinct()
+    texts = train.join(F.broadcast(some), "doc_id").select("doc_id", "text")
     id_type = train.schema["doc_id"].dataType.simpleString()
-    warm = map_batches(texts, ids, f"o long, doc_id {id_type}, ids array<short>").where(F.size("ids") < WARM_TOKENS).toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
+    warm = map_batches(texts, ids, f"doc_id {id_type}, part int, ids array<short>")
+    warm = warm.orderBy(F.xxhash64("doc_id", "part", F.lit("warm")), "doc_id", "part", F.xxhash64("ids")).limit(WARM_ROWS).select("ids").toArrow()
     t = Trainer(start(lex), lex.unigram, 0)
     for _ in range(WARM_EPOCHS):
-        for x in warm.column("ids").to_pylist():
-            w = np.array(x, np.int64)
+        for x in warm.column("ids"):
+            w = x.values.to_numpy().astype(np.int64)
             t.feed(*contexts(w, np.array([len(w)])), w)
         t.flush()
     first = spark.sparkContext.broadcast(t.p)
@@ -304,7 +311,7 @@ def score(docs: DataFrame, train) -> DataFrame:
         log_c = np.log10(own.counts + 1.0)
         log_all = np.log10(own.total + own.distinct + 1.0)
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for _, h, k, n in token_runs(texts_of(b.column(1))):
                 w, at = own.ids(h, k)
                 c1, c2 = contexts(w, n)
@@ -312,20 +319,23 @@ def score(docs: DataFrame, train) -> DataFrame:
                 lp = (t1[c1, w] + t2[c2, w] - z[c1, c2]).astype(np.float64) / np.log(10)
                 count = np.where(at >= 0, log_c[at] if len(log_c) else 0.0, 0.0)
                 in_class = np.where(w >= WORDS, count - own.class_log[np.maximum(w - WORDS, 0)], 0.0)
-                cols[0] += n.tolist()
-                cols[1] += np.add.reduceat((at >= 0).astype(np.int64), first).tolist()
-                cols[2] += (np.add.reduceat(count, first) - n * log_all).tolist()
-                cols[3] += np.add.reduceat(lp + in_class, first).tolist()
-                rare = np.flatnonzero(at < 0)
-                text = np.searchsorted(np.cumsum(n), rare, "right")
-                for t, words in enumerate(np.split(h[rare].view(np.int64), np.searchsorted(text, np.arange(1, len(n))))):
-                    u, tf = np.unique(words, return_counts=True)
-                    cols[4].append(u)
-                    cols[5].append(tf.astype(np.int32))
+                cols[0].append(n)
+                cols[1].append(np.add.reduceat((at >= 0).astype(np.int64), first))
+                cols[2].append(np.add.reduceat(count, first) - n * log_all)
+                cols[3].append(np.add.reduceat(lp + in_class, first))
+                words, text = h[at < 0].view(np.int64), np.repeat(np.arange(len(n)), n)[at < 0]
+                order = np.lexsort((words, text))
+                words, text = words[order], text[order]
+                new = np.flatnonzero(np.diff(words, prepend=0).astype(bool) | np.diff(text, prepend=-1).astype(bool)) if len(words) else np.zeros(0, np.int64)
+                cols[4].append(words[new])
+                cols[5].append(np.diff(new, append=len(words)).astype(np.int32))
+                cols[6].append(np.bincount(text[new], minlength=len(n)))
             ids = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.record_batch([ids, b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["row", "doc_id", "n", "known", "base", "score", "rare", "tf"])
+            x = [np.concatenate(c) for c in cols]
+            ends = pa.array(np.concatenate([[0], np.cumsum(x[6])]).astype(np.int32))
+            rare = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in x[4:6]]
+            yield pa.record_batch([ids, b.column(0), *map(pa.array, x[:4]), *rare], ["row", "doc_id", "n", "known", "base", "score", "rare", "tf"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {id_type}, n long, known long, base double, score double, rare array<long>, tf array<int>")
     scored = stored(scored, "scored")
