@@ -3,8 +3,11 @@
 A text is cut at white space; each piece is normalised, cut by the file's pattern and mapped to byte
 symbols. Short words are merged many at a time: a row holds the parts of a word next to each other and a
 second array the rank of each neighbouring pair. The least rank of each row is found by a scan, the
-boundary is deleted by closing the gap, and only the two neighbouring ranks are looked up again. Pieces
-are cached with their ids, so that a piece is merged once while it stays in the cache, which is bounded.
+boundary is deleted by closing the gap, and only the two neighbouring ranks are looked up again. Words of
+more than SHORT parts are merged one at a time by the same ranks. Pieces are cached with their ids in two
+generations of CACHE / 2 bytes: when the younger one is full it becomes the older one, and what is used
+again moves back. A task drops its cache when it ends. The tokenizer file is read on the driver and goes to
+the tasks as bytes.
 
 Defined results: a null text is empty and gives no tokens, and the digest of the empty string. Special
 tokens that stand in a text become their ids, as the file says. Repeated rows get equal results.
@@ -14,18 +17,24 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import re
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, small_batches
+from .common import give_back, runs, small_batches
 
 SHORT = 48  # parts; longer words go one at a time
-CACHE = 500_000  # pieces
+CACHE = 48 << 20  # bytes, about
+ENTRY = 180  # bytes of a cached piece beside its text and ids
+GROUP = 2 << 20  # characters encoded at once
 NONE = np.int32(2**31 - 1)
 
 
@@ -57,39 +66,54 @@ def _lower_17() -> dict[int, int]:
     return out | {ord("Σ"): ord("σ")}  # no final form
 
 
-def _dated(pattern: str) -> str:
-    """The pattern with letters and numbers as of Unicode 16, the library's version; those of later ones don't count."""
-    known = {c for a, b in _ranges(LETTERS_16 + " " + NUMBERS_16) for c in range(a, b + 1)}
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+def _listed(chars: Iterable[int]) -> str:
+    """Code points as ranges of a character class."""
     ranges: list[list[int]] = []
-    for c in map(ord, regex.findall(r"[\p{L}\p{N}]", everything)):
-        if unicodedata.category(chr(c)) != "Cn" or c in known:
-            continue
+    for c in sorted(chars):
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    if not ranges:
-        return pattern
-    later = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-    for kind in ("\\p{L}", "\\p{N}"):
-        pattern = pattern.replace(kind, f"[{kind}--[{later}]]")
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def plain_pattern(pattern: str) -> str:
+    """The file's pattern for the re module: letters, numbers and white space inside its classes are listed.
+
+    They are those of Unicode 16, the library's version; letters and numbers of later ones don't count.
+    """
+    if re.search(r"\\[pPsSdDwW]", re.sub(r"\[[^\]]*\]", "", pattern)):
+        raise ValueError(f"classes are expected in brackets: {pattern}")
+    known = {c for a, b in _ranges(LETTERS_16 + " " + NUMBERS_16) for c in range(a, b + 1)}
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        chars = map(ord, regex.findall(name, everything))
+        listed = _listed(c for c in chars if name == r"\s" or c in known or unicodedata.category(chr(c)) != "Cn")
+        pattern = pattern.replace(name, listed)
     return pattern
 
 
+def _table(names: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all names, each with a space after it; starts; lengths) by id."""
+    parts = [names.get(i, "").encode("utf-8") + b" " for i in range(max(names) + 1)]
+    lens = np.array(list(map(len, parts)))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lens) - lens, lens
+
+
 class Vocabulary:
     """Ids, merges and pattern of a tokenizer file."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes) -> None:
+        spec = json.loads(content)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
+        self.digits, self.shown = (_table({i: f(i) for i in self.names}) for f in (str, self.names.__getitem__))
         self.suffix = model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(_dated(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), regex.V1)
-        self.specials = regex.compile("|".join(map(regex.escape, self.special)))
+        # words of many pieces at once; a line end, which no word holds, stands between pieces
+        self.pattern = re.compile(plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) + r"|\n")
+        self.specials = re.compile("|".join(map(re.escape, self.special)))
         symbols = byte_symbols()
         self.inner = np.array([self.ids[s] for s in symbols], np.int32)
         self.last = np.array([self.ids[s + self.suffix] for s in symbols], np.int32)
@@ -133,9 +157,13 @@ class Vocabulary:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
+def of_content(content: bytes) -> Vocabulary:
+    return Vocabulary(content)
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return of_content(Path(path).read_bytes())
 
 
 def merge_block(v: Vocabulary, parts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,135 +225,213 @@ def merge_long(v: Vocabulary, parts: np.ndarray) -> list[int]:
     return p.tolist()
 
 
-def encode_words(v: Vocabulary, words: list[bytes]) -> list[list[int]]:
-    """Ids of words (bytes of one match of the pattern each, not empty)."""
-    out: list[list[int]] = [[]] * len(words)
-    sizes = np.array([len(w) for w in words])
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each of many runs, one after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after another, number of ids of each) of words (one match of the pattern each)."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    buf = np.frombuffer("\n".join(words).encode("utf-8") + b"\n", np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    sizes = np.diff(ends, prepend=-1) - 1
+    at = ends - sizes
+    parts_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo, hi in ((1, 8), (9, 16), (17, 32), (33, SHORT)):
         pick = np.flatnonzero((sizes >= lo) & (sizes <= hi))
         for s in range(0, len(pick), 20_000):
             some = pick[s : s + 20_000]
-            width = int(sizes[some].max())
-            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\x00") for i in some), np.uint8).reshape(len(some), width)
+            n = sizes[some]
+            raw = buf[np.minimum(at[some][:, None] + np.arange(int(n.max())), len(buf) - 1)]
             parts = v.inner[raw]
-            parts[np.arange(len(some)), sizes[some] - 1] = v.last[raw[np.arange(len(some)), sizes[some] - 1]]
-            merged, n = merge_block(v, parts, sizes[some])
-            for i, ids, k in zip(some.tolist(), merged.tolist(), n.tolist(), strict=True):
-                out[i] = ids[:k]
+            rows = np.arange(len(some))
+            parts[rows, n - 1] = v.last[raw[rows, n - 1]]
+            merged, n = merge_block(v, parts, n)
+            parts_of.append((some, merged[np.arange(merged.shape[1]) < n[:, None]], n))
     for i in np.flatnonzero(sizes > SHORT).tolist():
-        raw = np.frombuffer(words[i], np.uint8)
+        raw = buf[at[i] : ends[i]]
         parts = v.inner[raw]
         parts[-1] = v.last[raw[-1]]
-        out[i] = merge_long(v, parts)
-    return out
+        ids = merge_long(v, parts)
+        parts_of.append((np.array([i]), np.array(ids, np.int32), np.array([len(ids)])))
+    lens = np.zeros(len(words), np.int64)
+    for some, _, n in parts_of:
+        lens[some] = n
+    starts = np.cumsum(lens) - lens
+    out = np.empty(int(lens.sum()), np.int32)
+    for some, ids, n in parts_of:
+        out[spread(starts[some], n)] = ids
+    return out, lens
 
 
 #: Control characters that str.split() cuts at though the file's white space leaves them out.
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-_SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile("[" + _listed(c for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F) + "]+")
 
 
 _LOWER = _lower_17()
+_IN_LOWER = re.compile("[" + "".join(map(chr, sorted(_LOWER))) + "]")
+
+
+def normal(text: str) -> str:
+    """Composed and in lower case, as the file says."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(_LOWER) if _IN_LOWER.search(text) else text).lower()
+
+
+class Store:
+    """Ids of pieces, one after another, and where those of each piece lie."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.lens), len(self.lens) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+        self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+        self.held += ENTRY * len(pieces) + sum(map(len, pieces)) + 4 * len(ids)
+
+    def find(self, pieces: Iterable[str], count: int) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, count)
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each)."""
+        lens = self.lens[places]
+        return self.ids[spread(self.starts[places], lens)], lens
 
 
 class Encoder:
-    """Keeps encoded pieces of text: piece -> (ids joined by a space, number of ids, tokens joined by a space)."""
+    """Encodes texts, and keeps the ids of pieces of text, which white space bounds."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.cache: dict[str, tuple[str, int, str]] = {}
-
-    def _normal(self, piece: str) -> str:
-        if piece.isascii():
-            return piece.lower()
-        return unicodedata.normalize("NFC", piece).translate(_LOWER).lower()
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        cut = [self.v.pattern.findall(self._normal(p)) for p in new]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, encode_words(self.v, [w.encode("utf-8") for w in words]), strict=True))
-        names = self.v.names
-        for p, ws in zip(new, cut, strict=True):
-            all_ids = [i for w in ws for i in ids[w]]
-            self.cache[p] = (" ".join(map(str, all_ids)), len(all_ids), " ".join([names[i] for i in all_ids]))
-
-    def _pieces(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return [p for p in _SPACE.split(text) if p]
-        return text.split()
-
-    def split(self, text: str) -> list[str | int]:
-        """Pieces without white space, and ids where a special token stands."""
-        if "<|" not in text:
-            return self._pieces(text)
-        out: list[str | int] = []
-        at = 0
-        for m in self.v.specials.finditer(text):
-            out += self._pieces(text[at : m.start()])
-            out.append(self.v.special[m[0]])
-            at = m.end()
-        return out + self._pieces(text[at:])
-
-    def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined, number of ids, tokens joined) of each text."""
+        self.young, self.old = Store(), Store()
+
+    def forget(self) -> None:
+        self.young, self.old = Store(), Store()
+
+    def split(self, text: str) -> list[str]:
+        """Pieces without white space; a special token that stands in the text is a piece after a line end."""
+        if "<|" in text:
+            out, at = [], 0
+            for m in self.v.specials.finditer(text):
+                out += [*self.split_plain(text[at : m.start()]), "\n" + m[0]]
+                at = m.end()
+            return out + self.split_plain(text[at:])
+        return self.split_plain(text)
+
+    def split_plain(self, text: str) -> list[str]:
+        return [p for p in _SPACE.split(text) if p] if _ODD_SPACE.search(text) else text.split()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces to the young store, and the words they consist of."""
+        marks = [p for p in pieces if p[0] == "\n"]
+        if marks:
+            self.young.add(marks, np.array([self.v.special[p[1:]] for p in marks], np.int32), np.ones(len(marks), np.int64))
+            pieces = [p for p in pieces if p[0] != "\n"]
+        place = self.young.place
+        plain, other = [p for p in pieces if p.isascii()], [p for p in pieces if not p.isascii()]
+        for some in (plain, other):
+            if not some:
+                continue
+            found = self.v.pattern.findall(normal("\n".join(some)) + "\n")
+            words = list(set(found) - place.keys() - {"\n"})
+            self.young.add(words, *encode_words(self.v, words))
+            end = np.array([w == "\n" for w in found])
+            ids, lens = self.young.take(self.young.find([w for w in found if w != "\n"], int((~end).sum())))
+            owner = (np.cumsum(end) - end)[~end]
+            n = np.bincount(owner, weights=lens, minlength=len(some)).astype(np.int64)
+            new = np.array([p not in place for p in some])
+            if new.all():
+                self.young.add(some, ids, n)
+            elif new.any():
+                self.young.add([p for p, x in zip(some, new.tolist(), strict=True) if x], ids[np.repeat(new, n)], n[new])
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each text's) of texts of about GROUP characters together."""
+        if self.young.held > CACHE // 2:
+            self.young, self.old = Store(), self.young
         cut = [self.split(t) for t in texts]
-        marked = ["<|" in t for t in texts]
+        rest = set().union(*cut) - self.young.place.keys()
+        again = list(rest & self.old.place.keys())
+        if again:
+            self.young.add(again, *self.old.take(self.old.find(again, len(again))))
+        rest.difference_update(again)
+        if rest:
+            self._learn(list(rest))
+        n = np.array(list(map(len, cut)))
+        ids, lens = self.young.take(self.young.find(itertools.chain.from_iterable(cut), int(n.sum())))
+        return ids, np.bincount(np.repeat(np.arange(len(n)), n), weights=lens, minlength=len(n)).astype(np.int64)
+
+    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As `_tokens`, of runs of neighbouring texts."""
+        for lo, hi in runs([len(t) for t in texts], GROUP):
+            yield self._tokens(texts[lo:hi])
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, bytes]]:
+        """(ids joined by spaces, number of ids, the decoded text) of each text."""
         out = []
-        at = 0
-        while at < len(cut):
-            new: set[str] = set()
-            end = at
-            while end < len(cut) and (end == at or len(new) < CACHE // 4):
-                new.update(p for p in set(cut[end]) if p not in self.cache and isinstance(p, str))
-                end += 1
-            if new:
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                    new = {p for c in cut[at:end] for p in c if isinstance(p, str)}
-                self.learn(new)
-            get = self.cache.__getitem__
-            for c, special in zip(cut[at:end], marked[at:end], strict=True):
-                got = [get(p) if isinstance(p, str) else (str(p), 1, self.v.names[p]) for p in c] if special else list(map(get, c))
-                ids, n, names = zip(*got, strict=True) if got else ((), (), ())
-                if 0 in n:
-                    ids, names = filter(None, ids), filter(None, names)
-                out.append((" ".join(ids), sum(n), " ".join(names)))
-            at = end
+        for ids, n in self.tokens(texts):
+            cuts = np.cumsum(n)
+            joined = []
+            for flat, starts, lens in (self.v.digits, self.v.shown):
+                size = lens[ids]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                joined.append((flat[spread(starts[ids], size)].tobytes(), ends[cuts - n].tolist(), ends[cuts].tolist()))
+            (d, d0, d1), (t, t0, t1) = joined
+            out += [(d[a : b - 1] if k else b"", k, t[x : y - 1] if k else b"") for k, a, b, x, y in zip(n.tolist(), d0, d1, t0, t1, strict=True)]
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(vocabulary(path))
-
-
 def decode(path: str, ids: list[int]) -> str:
     """The tokens' own strings, joined by spaces: the file names no decoder."""
     v = vocabulary(path)
     return " ".join(v.names[i] for i in ids)
 
 
+def _encoded(docs: DataFrame, path: str, columns: Callable[[Encoder, list[str]], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
+    """doc_id and columns made from the texts of each batch."""
+    small_batches(docs.sparkSession)
+    content = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+    rows = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = None
+        for b in batches:
+            if b.num_rows:
+                e = e or Encoder(of_content(content.value))
+                yield pa.record_batch([b.column(0), *columns(e, [t or "" for t in b.column(1).to_pylist()])], ["doc_id", *names])
+        if e:
+            e.forget()
+        give_back()
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) of each row; the operator's output for training."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(path).encode([t or "" for t in b.column(1).to_pylist()])
-        return pa.record_batch([b.column(0), pa.array([np.array(g[0].split(), np.int32) for g in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
+    def columns(e: Encoder, texts: list[str]) -> list[pa.Array]:
+        found = list(e.tokens(texts))
+        ids, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))]
 
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return _encoded(docs, path, columns, ["ids"], "ids array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(path).encode([t or "" for t in b.column(1).to_pylist()])
-        sha = [pa.array([hashlib.sha256(g[k].encode("utf-8")).hexdigest() for g in got], pa.string()) for k in (0, 2)]
-        return pa.record_batch([b.column(0), pa.array([g[1] for g in got], pa.int64()), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def columns(e: Encoder, texts: list[str]) -> list[pa.Array]:
+        got = e.encode(texts)
+        sha = [pa.array([hashlib.sha256(g[k]).hexdigest() for g in got], pa.string()) for k in (0, 2)]
+        return [pa.array([g[1] for g in got], pa.int64()), *sha]
 
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, columns, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string")

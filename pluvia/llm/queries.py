@@ -12,8 +12,12 @@ from .sql import SQL as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The tokenizer file; its path is a parameter.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """A file of the installed vocabularies; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_language(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +41,7 @@ def op5_lm(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, root: str) -> DataFrame:
-    return bpe.digests(table(spark, root, "documents"), TOKENIZER)
+    return bpe.digests(table(spark, root, "documents"), tokenizer())
 
 
 def op7_quality(spark: SparkSession, root: str) -> DataFrame:

@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pluvia.llm import bpe
-from pluvia.llm.queries import TOKENIZER
+from pluvia.llm.queries import tokenizer
 
+TOKENIZER = tokenizer()
 tokenizers = pytest.importorskip("tokenizers")
 pytestmark = pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no vocabulary file")
 
@@ -28,8 +29,8 @@ def ours():
 def same(ours, theirs, texts):
     got = ours.encode(texts)
     for text, g, w in zip(texts, got, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert (g[0], g[1]) == (" ".join(map(str, w.ids)), len(w.ids)), text[:80]
-        assert g[2] == theirs.decode(w.ids, skip_special_tokens=False) == bpe.decode(TOKENIZER, w.ids)
+        assert (g[0].decode(), g[1]) == (" ".join(map(str, w.ids)), len(w.ids)), text[:80]
+        assert g[2].decode() == theirs.decode(w.ids, skip_special_tokens=False) == bpe.decode(TOKENIZER, w.ids)
 
 
 def test_texts_of_every_kind(ours, theirs):

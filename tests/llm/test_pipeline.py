@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark, stages):
     start = rows(docs)
     keep = {r["doc_id"] for r in start if quality.scores([r["text"].encode()], model)[0] >= 0.3}
     assert {r["doc_id"] for r in rows(out[0])} == keep and 0 < len(keep) < len(start)
-    first = {d for d, _, c in plain_near([(r["doc_id"], r["text"]) for r in rows(out[0])]) if d == c}
+    first = {d for d, _, c in plain_near([(r["doc_id"], r["text"]) for r in rows(out[0])], corpus_pipeline.NEAR) if d == c}
     assert {r["doc_id"] for r in rows(out[1])} == first
     before = {r["doc_id"]: r for r in rows(out[1])}
     for r in rows(out[2]):
@@ -50,14 +50,14 @@ def test_stages_against_brute_force(spark, stages):
 def test_last_stage_and_run(spark, stages):
     root, out = stages
     tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    t = tokenizers.Tokenizer.from_file(corpus_pipeline.tokenizer())
     text = {r["doc_id"]: r["text"] for r in rows(out[3])}
     for r in rows(out[4]):
         ids = t.encode(text[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     ran = corpus_pipeline.run(spark, root)
     assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, out[4].collect()))
-    assert bpe.digests(out[3], corpus_pipeline.TOKENIZER).count() == out[3].count()
+    assert bpe.digests(out[3], corpus_pipeline.tokenizer()).count() == out[3].count()
 
 
 def test_stages_take_odd_and_empty_tables(spark, data, odd, empty):
