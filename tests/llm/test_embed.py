@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pluvia.llm import ann, embed
+from pluvia.llm import embed
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links int, keys string"
 
@@ -78,69 +78,3 @@ def test_collision_probability():
     assert (embed.keys_of(a, lab) == embed.keys_of(b, lab)).any(axis=1).mean() > 0.993
 
 
-def exact(rows, every=20, top=20):
-    good = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows if i is not None and usable(v)]
-    d = max((len(v) for _, v in good), key=[len(v) for _, v in good].count)
-    good = [(i, v) for i, v in good if len(v) == d]
-    return {q: sorted(((-float(np.cumsum(x * v)[-1]), i) for i, x in good if i != q))[:top] for q, v in good if q % every == 0}
-
-
-def test_search_finds_all_when_it_walks_all(spark):
-    rows = vectors(8)
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {}
-    for r in ann.search(df, every=5, top=6, share=1.0, piece=16).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
-    want = exact(rows, 5, 6)
-    assert set(got) == set(want)
-    for q, found in got.items():
-        assert [x[0] for x in sorted(found)] == list(range(1, len(found) + 1))
-        assert [(round(s, 9), i) for _, s, i in sorted(found)] == [(round(s, 9), i) for s, i in want[q]]
-
-
-def test_recall_and_small_tables(spark, data):
-    from pluvia.sources.tables import table
-
-    e = table(spark, f"{data}/sf0.1", "embeddings")
-    rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
-    want, got = exact(rows), {}
-    for r in ann.search(e).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
-    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
-    two = spark.createDataFrame([(0, [1.0, 2.0], 0, 0, ""), (3, [1.0, 2.0], 0, 0, ""), (20, None, 0, 0, "")], SCHEMA)
-    assert [tuple(r) for r in ann.search(two).collect()] == [(0, 1, 3, 5.0)]
-    assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_cells_are_walked_in_order():
-    rng = random.Random(3)
-    d1, d2 = (np.array([rng.random() for _ in range(6)]) for _ in range(2))
-    counts = np.ones((6, 6), int)
-    cells = ann.walk(d1, d2, counts, 36)
-    assert sorted(cells) == [(i, j) for i in range(6) for j in range(6)]
-    sums = [d1[i] + d2[j] for i, j in cells]
-    assert sums == sorted(sums)
-    assert len(ann.walk(d1, d2, counts, 5)) == 5
-
-
-def test_recall_where_cells_are_left_out(spark, data):
-    """Tables above MORE vectors, and the same rule without that floor."""
-    from pluvia.sources.tables import table
-
-    rng = np.random.default_rng(1)
-    many = rng.normal(size=(10_000, 64))
-    many /= np.linalg.norm(many, axis=1)[:, None]
-    made = spark.createDataFrame(list(enumerate(many.tolist())), "vec_id long, embedding array<double>")
-    for e, how in ((made, {}), (table(spark, f"{data}/sf0.1", "embeddings"), {"more": 0})):
-        rows = e.select("vec_id", "embedding").collect()
-        ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        got = {}
-        for r in ann.search(e, **how).collect():
-            got.setdefault(r["query_id"], set()).add(r["vec_id"])
-        hits = []
-        for q in np.flatnonzero(ids % 20 == 0):
-            score = x @ x[q]
-            score[q] = -np.inf
-            hits.append(len(got[ids[q]] & set(ids[np.argsort(-score)[:20]].tolist())) / 20)
-        assert 0.9 <= np.mean(hits) < 1
