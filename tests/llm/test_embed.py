@@ -47,10 +47,12 @@ def vectors(seed=5, d=16):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_links_and_components(spark, block):
+@pytest.mark.parametrize("most", [{}, {"piece": 7, "block": 5}])
+def test_links_and_components(spark, monkeypatch, most):
+    if most:  # keys of several projections, in rows of several batches
+        monkeypatch.setattr(embed, "BUCKET", 2)
     rows = vectors()
-    got = {r["vec_id"]: r for r in embed.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block).collect()}
+    got = {r["vec_id"]: r for r in embed.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), **most).collect()}
     deg, comp = plain(rows)
     for (i, *_), n, c in zip(rows, deg, comp, strict=True):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, c, c == i), i
@@ -65,8 +67,9 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert embed.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_collision_probability():
-    """Near pairs at the threshold miss all tables rarely."""
+@pytest.mark.parametrize("classes", [40, 5000, 10**7])
+def test_collision_probability(classes):
+    """Near pairs at the threshold miss all tables rarely, and differ in few signs; unrelated ones share keys as the rule says."""
     rng = np.random.default_rng(1)
     a = rng.normal(size=(3000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
@@ -75,6 +78,32 @@ def test_collision_probability():
     o /= np.linalg.norm(o, axis=1)[:, None]
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * o
     lab = np.zeros(len(a), np.int64)
-    assert (embed.keys_of(a, lab) == embed.keys_of(b, lab)).any(axis=1).mean() > 0.993
-
-
+    shape = embed.shape_for(classes)
+    ka, kb, ko = (embed.keys_of(x, lab, *shape) for x in (a, b, o))
+    assert (ka == kb).any(axis=1).mean() > 0.994
+    assert classes * (ka == ko).mean() < 3 * embed.BUCKET
+    sa, sb, so = (embed.signs_of(x) for x in (a, b, o))
+    assert np.bitwise_count(sa ^ sb).sum(axis=1).max() <= embed.FAR < np.bitwise_count(sa ^ so).sum(axis=1).min()
+
+
+def test_very_small_and_large_vectors(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [1e170, 2e170]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [1e-320, 2e-320])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4)}
+
+
+def test_all_rows_of_a_table(spark, data):
+    from pluvia.sources.tables import table
+
+    if not (data / "check_s").exists():
+        pytest.skip("no table with near copies")
+    e = table(spark, f"{data}/check_s", "embeddings").select("vec_id", "embedding", "label")
+    rows = [tuple(r) for r in e.collect()]
+    x = np.array([r[1] if usable(r[1]) else [0.0] * 64 for r in rows], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    label = np.array([-1 if r[2] is None else r[2] for r in rows])
+    hit = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & (label >= 0)[:, None]
+    np.fill_diagonal(hit, False)
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_duplicates(e).collect()}
+    assert [got[r[0]] for r in rows] == hit.sum(1).tolist() and hit.any()
