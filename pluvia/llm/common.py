@@ -152,14 +152,15 @@ def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(salts)).cast("int")
 
 
-def attach(rows: DataFrame, key: str, values: DataFrame, spread: str) -> DataFrame:
+def attach(rows: DataFrame, key: str, values: DataFrame, spread: str, among: DataFrame | None = None) -> DataFrame:
     """`rows` left-joined to `values`, which is unique by `key`, without ever gathering the rows of a key.
 
     Rows get a salt from the column `spread`; values go to each (key, salt) there is, SALTS for a key at
     most, and from there to the rows. A key with any share of all rows is so dealt over SALTS tasks.
+    among: a lighter table with the same pairs of `key` and `spread`.
     """
     salted = rows.withColumn("_s", salt_of(spread))
-    mid = salted.select(key, "_s").distinct().join(values, key)
+    mid = (rows if among is None else among).select(key, salt_of(spread).alias("_s")).distinct().join(values, key)
     return salted.join(mid, [key, "_s"], "left").drop("_s")
 
 

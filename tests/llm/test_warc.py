@@ -75,3 +75,38 @@ def test_damaged_archives_are_errors():
         list(warc.parse(good[:-4] + b"zz\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.parse(b"x" + good))
+
+
+def test_archives_end_by_bytes_and_records_are_found_by_offset(spark, tmp_path):
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<p>{i}</p>" * (1 + i * 7 % 200)) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for kind, most in (("bytes", {"most_bytes": 2000}), ("records", {"most_records": 7})):
+        path = f"file:{tmp_path}/{kind}"
+        made = warc.write(df, path, **most)
+        sizes = [(r["archive"], r["records"], r["bytes"]) for r in made.collect()]
+        assert sum(r for _, r, _ in sizes) == 120 and len(sizes) > 10
+        assert max(r for _, r, _ in sizes) <= 7 if kind == "records" else max(b for *_, b in sizes) < 4000
+        assert all((tmp_path / kind / a).stat().st_size == b for a, _, b in sizes)
+        runs = warc.read(made, path)
+        for r in runs.where("page_id % 17 = 3").collect():
+            h, block = warc.record_at(f"{path}/{r['archive']}", r["offset"])
+            assert h["WARC-Target-URI"] == r["url"] and block.endswith(rows[r["page_id"]][2].encode())
+        (tmp_path / kind / "left-behind.warc.gz").write_bytes(b"of a task that was lost")
+        got = [r["page_id"] for r in sorted(warc.merged(warc.read(made, path), most=30).collect(), key=lambda r: (r["part"], r["place"]))]
+        assert got == [i for h in range(3) for i in sorted((i for i in range(120) if i % 3 == h), key=lambda i: str(i))]
+
+
+def test_members_across_parts_of_a_stream(monkeypatch):
+    import gzip
+    import io
+
+    import pytest
+
+    monkeypatch.setattr(warc, "_READ", 13)
+    parts = [b"a" * n for n in (1, 50, 0, 3000)]
+    whole = b"".join(gzip.compress(p) for p in parts)
+    found = list(warc.members(io.BytesIO(whole)))
+    assert [c for _, c in found] == parts
+    assert all(gzip.decompress(whole[a:b]) == p for (a, _), (b, _), p in zip(found, [*found[1:], (None, b"")], parts, strict=True))
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(whole[:-3])))
