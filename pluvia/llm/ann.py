@@ -265,7 +265,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, recall: float
         r, p = at[:, 0], at[:, 1]
         return pa.record_batch([pa.array(p.astype(np.int32)), b.column(0).take(pa.array(r)), pa.array(reach[r]), b.column(1).take(pa.array(r))], ["piece", "id", "reach", "v"])
 
-    asked = map_batches(queries, visits, f"piece int, id long, reach double, v {kind}").withColumn("cell", F.lit(None).cast("int"))
+    walks = max(2 * spark.sparkContext.defaultParallelism, -(-queries.count() // 2048))
+    asked = map_batches(queries.repartition(walks), visits, f"piece int, id long, reach double, v {kind}").withColumn("cell", F.lit(None).cast("int"))
     places = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(first), dtype=np.int32)), "first": pa.array(first), "many": pa.array(many)}))
     # a row for each first centroid, CENTROIDS at most
     entries = index.join(F.broadcast(places), "i").select(
