@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted units after lower-casing and removing spaces, band edges in degrees, wind cuts in knots.
-UNITS = ("mm/3h", "mm3h-1", "mm(3h)-1", "mm/(3h)", "mm3hr-1", "mm/3hr")
+# Accepted units (compared in lower case and without spaces), band edges in degrees, wind cuts in knots.
+UNITS = ("mm/3h", "mm/3hr", "mm/3hour", "mm 3h-1", "mm3h-1")
 BANDS = {"NH": (0.0, 15.0, 25.0, 35.0, 90.0001), "SH": (0.0, 10.0, 15.0, 20.0, 90.0001)}
 WIND_CUTS = ((33, "TD"), (63, "TS"), (82, "C1"), (95, "C2"), (112, "C3"), (136, "C4"))
 STRONGEST = "C5"
@@ -21,13 +21,13 @@ DASH = "–"
 
 def units_accepted(unit: Column | str) -> Column:
     c = F.col(unit) if isinstance(unit, str) else unit
-    return F.coalesce(F.replace(F.lower(c), F.lit(" "), F.lit("")).isin(*UNITS), F.lit(False))
+    return F.coalesce(F.replace(F.lower(c), F.lit(" "), F.lit("")).isin(*(u.replace(" ", "") for u in UNITS)), F.lit(False))
 
 
 def checked_units(unit: str | None) -> str:
     """The unit, normalised; an error if it is not an accumulation over three hours."""
     plain = (unit or "").lower().replace(" ", "")
-    if plain not in UNITS:
+    if plain not in {u.replace(" ", "") for u in UNITS}:
         raise ValueError(f"unit {unit!r} is not millimetres in three hours")
     return plain
 

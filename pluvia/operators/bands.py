@@ -88,16 +88,20 @@ def surface_bands(cells: DataFrame, years: tuple[int, int], value: str, surface:
 
 
 def with_surface(cells: DataFrame, land: DataFrame) -> DataFrame:
-    """SURFACE land or ocean by ROW; `land` lists the rows on land (a mask of the fixed grid, so bounded)."""
-    mask = F.broadcast(land.select(F.col("ROW").alias("_row")).distinct())
+    """SURFACE land or ocean by ROW; `land` lists the rows on land. Spark broadcasts them if they are few enough by size."""
+    mask = land.select(F.col("ROW").alias("_row")).distinct()
     return cells.join(mask, F.col("ROW") == F.col("_row"), "left").withColumn("SURFACE", F.when(F.col("_row").isNotNull(), "land").otherwise("ocean")).drop("_row")
 
 
-def mean_latitude(tracks: DataFrame, events: DataFrame) -> DataFrame:
-    """record_type, domain, YEAR, mean_lat, n_records: mean absolute latitude of positions and of events."""
+def mean_latitude(tracks: DataFrame, events: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """record_type, domain, YEAR, mean_lat, n_records: mean absolute latitude of positions and of events.
+
+    years: each domain has a row for all of them, with nulls where there are no records.
+    """
     lat = lambda df, c, kind: df.select(F.lit(kind).alias("record_type"), hemisphere(c).alias("domain"), "YEAR", F.abs(F.col(c).cast("double")).alias("_l"))
     both = lat(tracks, "LAT", "track").unionByName(lat(events, "TC_LAT", "event"))
-    return both.groupBy("record_type", "domain", "YEAR").agg(F.avg("_l").alias("mean_lat"), F.count(F.lit(1)).alias("n_records"))
+    out = both.groupBy("record_type", "domain", F.col("YEAR").cast("int").alias("YEAR")).agg(F.avg("_l").alias("mean_lat"), F.count(F.lit(1)).alias("n_records"))
+    return out if years is None else densified(out, ["record_type", "domain"], years, {}, bands=False)
 
 
 def basin_band_counts(events: DataFrame) -> DataFrame:

@@ -37,19 +37,20 @@ def draws(spark: SparkSession, lengths: Sequence[int], block: int, repetitions:
     return spark.createDataFrame(pa.table({"n": pa.array(cols[0], pa.int32()), "REP": pa.array(cols[1], pa.int32()), "src": pa.array(cols[2], pa.list_(pa.int32()))}))
 
 
-def replicates(df: DataFrame, keys: Sequence[str], y: str, t: str = "YEAR", joint: bool = True, block: int = BLOCK_YEARS, repetitions: int = REPETITIONS, seed: int = SEED, floor: float | None = None) -> DataFrame:
+def replicates(df: DataFrame, keys: Sequence[str], y: str, t: str = "YEAR", joint: bool = True, block: int = BLOCK_YEARS, repetitions: int = REPETITIONS, seed: int = SEED, floor: float | None = None, lengths: Sequence[int] | None = None) -> DataFrame:
     """keys, REP, p: the points (t, y*) of every replicate, y* = fit + residual at the drawn position.
 
-    A series of n points uses the draws for n, the same for every series of that length. Missing or
-    non-finite values are an error.
+    A series of n points uses the draws for n, the same for every series of that length. `lengths` names
+    the lengths there are; without it a job finds them. Missing or non-finite values are an error.
     """
     v = F.col(y).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(F.raise_error(F.lit("a series to be resampled has missing or infinite values")).cast("double"))
     line = trend.sen_line(df.withColumn(y, v), list(keys), y, t, joint)
     one = F.struct(F.col(t).cast("double").alias("t"), "fit", "residual")
     series = line.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("q")).withColumn("n", F.size("q"))
-    lengths = sorted(r["n"] for r in series.select("n").distinct().collect())
-    drawn = series.join(F.broadcast(draws(df.sparkSession, lengths, block, repetitions, seed)), "n")
+    if lengths is None:
+        lengths = sorted(r["n"] for r in series.select("n").distinct().collect())
+    drawn = series.join(draws(df.sparkSession, lengths, block, repetitions, seed), "n")
     star: Column = F.transform("q", lambda x, i: F.struct(x["t"].alias("t"), (x["fit"] + F.get("q", F.get("src", i))["residual"]).alias("y")))
     if floor is not None:
         star = F.transform(star, lambda x: F.struct(x["t"].alias("t"), F.greatest(x["y"], F.lit(floor)).alias("y")))

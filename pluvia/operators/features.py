@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import LONGITUDES, haversine_km, lon360, row_lat, row_lon, wrapped_delta
+from ..functions.geo import LONGITUDES, RADIUS_KM, haversine_km, lon360, row_lat, row_lon, wrapped_delta
 from ..functions.scalars import dry_if_invalid, is_wet, rate
 
 # Radii in km, km in a degree, least cosine and greatest half-width of the window.
@@ -103,12 +103,35 @@ def centred(features: DataFrame, centre: float = CENTRE_KM) -> DataFrame:
 def attributed(tracks: DataFrame, fields: DataFrame, outer: float = OUTER_KM, centre: float = CENTRE_KM) -> DataFrame:
     """The cell table: wet cells of the features that belong to each storm's time step.
 
-    Storms are taken one by one, so that a cell may belong to two storms at once.
+    Storms are taken one by one, so that a cell may belong to two storms at once. Cells of a storm's time step
+    meet in one task, where regions are labelled and their centroids judged, so that fields are read and
+    shuffled once.
     """
-    out = centred(labelled(wet_cells(candidates(tracks, fields, outer), outer)), centre)
+    wet = wet_cells(candidates(tracks, fields, outer), outer)
     f = "float"
-    return out.select(
+    rows = wet.select(
         "SID", "TIME", F.year("TIME").cast("short").alias("YEAR"), "BASIN", F.col("LAT").cast(f).alias("TC_LAT"), lon360("LON").cast(f).alias("TC_LON_360"),
         F.col("GRID_LAT").cast(f).alias("GRID_LAT"), F.col("GRID_LON").cast(f).alias("GRID_LON"), F.col("PRECIP_3H_MM").cast(f).alias("PRECIP_3H_MM"),
         rate(F.col("PRECIP_3H_MM").cast(f)).cast(f).alias("PRECIP_MMHR"), F.col("IS_INTERPOLATED").alias("IS_INTERPOLATED_TIMESTEP"), "ROW",
+        F.col("LAT").cast("double").alias("_lat"), F.col("LON").cast("double").alias("_lon"), F.col("GRID_LAT").alias("_glat"), F.col("DLON").alias("_dlon"),
+        F.floor(F.col("ROW") / LONGITUDES).cast("long").alias("_i"), F.rint((F.col("DLON") + F.col("LON").cast("double")) * 10 - 0.5).cast("long").alias("_j"),
     )
+    kept = rows.columns[: rows.columns.index("_lat")]
+
+    def judge(t: pa.Table) -> pa.Table:
+        glat, dlon = t.column("_glat").to_numpy(), t.column("_dlon").to_numpy()
+        lat, lon = t.column("_lat")[0].as_py(), t.column("_lon")[0].as_py()
+        _, own, n = np.unique(connected(t.column("_i").to_numpy(), t.column("_j").to_numpy()), return_inverse=True, return_counts=True)
+        la, dl = (np.bincount(own, weights=x) / n for x in (glat, dlon))
+        near = distance_km(lat, lon, la, (lon + dl) % 360) <= centre
+        return t.select(kept).filter(pa.array(near[own]))
+
+    return rows.groupBy("SID", "TIME").applyInArrow(judge, rows.select(*kept).schema)
+
+
+def distance_km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """`haversine_km` of one place and many, in numpy."""
+    d = np.radians((lons - lon + 180) % 360 - 180)
+    a, b = np.radians(lat), np.radians(lats)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(d / 2) ** 2
+    return 2 * RADIUS_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))

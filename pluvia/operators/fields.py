@@ -61,16 +61,19 @@ def bracket_weight(before: str, target: str, after: str) -> float:
 def replacements(fields: DataFrame, plan: DataFrame, value: str = "PRECIP_3H_MM") -> DataFrame:
     """TIME, ROW, value, IS_INTERPOLATED for each row (TIME, BEFORE, AFTER) of a plan.
 
-    One join for all of them, on (time, ROW); weights follow from the times. The plan lists a few time
-    steps, so it goes to every task.
+    A plan whose time is not strictly between the two is an error, as is a cell that only one of the two
+    fields has, or a field that is not there. One equi-join on time for all of them: each plan row asks for
+    its two fields, with the weights that follow from the times.
     """
-    p = F.broadcast(plan.where((F.col("BEFORE") < F.col("TIME")) & (F.col("TIME") < F.col("AFTER"))).withColumnRenamed("TIME", "_t"))
-    f = fields.select("TIME", "ROW", F.col(value).cast("double").alias("_v"))
-    ends = f.join(p, (F.col("TIME") == F.col("BEFORE")) | (F.col("TIME") == F.col("AFTER")))
     s = lambda c: F.unix_micros(c).cast("double")
-    w = (s("_t") - s("BEFORE")) / (s("AFTER") - s("BEFORE"))
-    part = F.when(F.col("TIME") == F.col("AFTER"), w).otherwise(1 - w)
-    both = ends.groupBy("_t", "ROW").agg(F.sum(part * F.col("_v")).alias("_s"), F.count("_v").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    w = (s("TIME") - s("BEFORE")) / (s("AFTER") - s("BEFORE"))
+    between = F.coalesce((F.col("BEFORE") < F.col("TIME")) & (F.col("TIME") < F.col("AFTER")), F.lit(False))
+    w = F.when(between, w).otherwise(F.raise_error(F.lit("the target must lie between the two fields")).cast("double"))
+    ends = F.array(F.struct(F.col("BEFORE").alias("TIME"), (1 - F.col("_w")).alias("_w")), F.struct(F.col("AFTER").alias("TIME"), F.col("_w").alias("_w")))
+    asked = plan.withColumn("_w", w).select(F.col("TIME").alias("_t"), F.explode(ends).alias("_x")).select("_t", "_x.*")
+    f = fields.select("TIME", "ROW", F.col(value).cast("double").alias("_v"))
+    found = asked.join(f, "TIME", "left")
+    both = found.groupBy("_t", "ROW").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_k"), F.count("ROW").alias("_n"))
     v = F.when(F.col("_n") != 2, F.raise_error(F.lit("fields of different cells")).cast("double")).when(F.col("_k") == 2, F.col("_s"))
     return both.select(F.col("_t").alias("TIME"), "ROW", v.cast("float").alias(value), F.lit(True).alias("IS_INTERPOLATED"))
 

@@ -62,22 +62,24 @@ def slopes_by_join(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", per:
 
 
 def sen_line(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", joint: bool = True) -> DataFrame:
-    """keys, t, y, slope, intercept, fit, residual for each row of `df`.
+    """keys, t, y, slope, intercept, fit, residual for each row of `df`, in one pass over it.
 
     joint: the intercept is the median of y - slope t, and a series without a slope is flat; else it is
     median(y) - slope median(t), as components are fitted.
     """
-    p = points(df, keys, y, t).withColumn("slope", slope_of())
+    one = F.struct(F.col(t).alias("t"), F.col(y).alias("v"), F.col(t).cast("double").alias("x"), _finite(y).alias("y"))
+    p = df.groupBy(*keys).agg(F.collect_list(one).alias("all"))
+    known = F.filter("all", lambda q: q["x"].isNotNull() & q["y"].isNotNull())
+    p = p.withColumn("p", F.array_sort(F.transform(known, lambda q: F.struct(q["x"].alias("t"), q["y"].alias("y")))))
+    p = p.withColumn("slope", slope_of())
     if joint:
         p = p.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
         level = median_of(F.transform("p", lambda q: q["y"] - F.col("slope") * q["t"]))
     else:
         level = median_of(F.transform("p", lambda q: q["y"])) - F.col("slope") * median_of(F.transform("p", lambda q: q["t"]))
-    line = p.withColumn("intercept", level).select(*(F.col(k).alias(f"_{k}") for k in keys), "slope", "intercept")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    rows = df.select(*keys, t, y).join(line, on) if keys else df.select(t, y).crossJoin(line)
-    fit = F.col("intercept") + F.col("slope") * F.col(t)
-    return rows.select(*keys, t, y, "slope", "intercept", fit.alias("fit"), (_finite(y) - fit).alias("residual"))
+    rows = p.withColumn("intercept", level).select(*keys, "slope", "intercept", F.explode("all").alias("_q"))
+    fit = F.col("intercept") + F.col("slope") * F.col("_q.t")
+    return rows.select(*keys, F.col("_q.t").alias(t), F.col("_q.v").alias(y), "slope", "intercept", fit.alias("fit"), (F.col("_q.y") - fit).alias("residual"))
 
 
 def mann_kendall(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", full: bool = False) -> DataFrame:
@@ -85,7 +87,12 @@ def mann_kendall(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", full:
 
     Null with fewer than three points, 1 if the variance is not positive.
     """
-    p = points(df, keys, y, t).withColumn("n", F.size("p").cast("long"))
+    return _tested(points(df, keys, y, t)).select(*keys, *(["n", "s", "var", "z"] if full else []), "p_value")
+
+
+def _tested(p: DataFrame) -> DataFrame:
+    """Rows with p, an array of points, with n, s, var, z, p_value of the test."""
+    p = p.withColumn("n", F.size("p").cast("long"))
     p = p.withColumn("s", F.aggregate(_pairs(lambda a, b: F.signum(b["y"] - a["y"])), F.lit(0.0), lambda a, x: a + x))
     ys = F.transform("p", lambda q: q["y"])
     ties = F.transform(F.array_distinct(ys), lambda v: F.size(F.filter(F.transform("p", lambda q: q["y"]), lambda x: x == v)).cast("double"))
@@ -93,10 +100,10 @@ def mann_kendall(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", full:
     n = F.col("n").cast("double")
     p = p.withColumn("var", (n * (n - 1) * (2 * n + 5) - tie_sum) / 18)
     p = p.withColumn("z", F.when(F.col("var") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var")))
-    p = p.withColumn("p_value", F.when(F.col("n") < 3, None).when(F.col("var") <= 0, 1.0).otherwise(two_sided(F.col("z"))))
-    return p.select(*keys, *(["n", "s", "var", "z"] if full else []), "p_value")
+    return p.withColumn("p_value", F.when(F.col("n") < 3, None).when(F.col("var") <= 0, 1.0).otherwise(two_sided(F.col("z"))))
 
 
 def trends(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", per: float = 10.0) -> DataFrame:
-    """keys, slope, p_value, n: both statistics from one pass over the series."""
-    return theil_sen(df, keys, y, t, per).join(mann_kendall(df, keys, y, t, full=True).select(*keys, "n", "p_value"), keys)
+    """keys, slope, p_value, n: both statistics from one pass over the series; null is a key like others."""
+    p = points(df, keys, y, t).withColumn("slope", slope_of() * per)
+    return _tested(p).select(*keys, "slope", "n", "p_value")

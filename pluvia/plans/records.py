@@ -86,15 +86,16 @@ def time_parts(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, try_cast(t AS DOUBLE) AS number, contains(lower(k), 'spur') AS spur, regexp_replace(lower(u), ' ', '', 'g') IN ('mm/3h', 'mm3h-1') AS unit_ok
+    """SELECT p_partkey, try_cast(t AS DOUBLE) AS number, contains(lower(k), 'spur') AS spur, coalesce(regexp_replace(lower(u), ' ', '', 'g') IN ('mm/3h', 'mm/3hr', 'mm/3hour', 'mm3h-1'), false) AS unit_ok
 FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'x' || p_size ELSE p_size::VARCHAR || '.5' END AS t,
-             CASE p_partkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'SPUR-merge' ELSE '' END AS k, CASE p_partkey % 3 WHEN 0 THEN 'mm / 3h' WHEN 1 THEN 'MM 3h-1' ELSE 'mm/h' END AS u FROM part)"""
+             CASE p_partkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'SPUR-merge' ELSE '' END AS k, ['mm / 3h', 'MM 3h-1', 'mm/h', 'mm/3hr', 'mm/3Hour', 'mm3h-1', 'mm/(3h)', 'mm(3h)-1', 'mm3hr-1', 'mm/3hours', '', 'mm'][p_partkey % 13 + 1] AS u FROM part)"""
 )
 def text_coercions(spark: SparkSession, root: str) -> DataFrame:
     k = F.col("p_partkey")
     t = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit("x"), "p_size")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5")))
     kind = F.when(k % 3 == 0, "main").when(k % 3 == 1, "SPUR-merge").otherwise("")
-    unit = F.when(k % 3 == 0, "mm / 3h").when(k % 3 == 1, "MM 3h-1").otherwise("mm/h")
+    spelled = ("mm / 3h", "MM 3h-1", "mm/h", "mm/3hr", "mm/3Hour", "mm3h-1", "mm/(3h)", "mm(3h)-1", "mm3hr-1", "mm/3hours", "", "mm")
+    unit = F.get(F.array(*map(F.lit, spelled)), (k % 13).cast("int"))
     return table(spark, root, "part").select("p_partkey", scalars.number_or_null(t).alias("number"), scalars.is_spur(kind).alias("spur"), scalars.units_accepted(unit).alias("unit_ok"))
 
 
@@ -174,10 +175,10 @@ def blend_fields(spark: SparkSession, root: str) -> DataFrame:
 # --- tracks -----------------------------------------------------------------------------------------------
 
 RAW = """rt AS (
-  SELECT 'T' || (o_custkey % 60) AS SID, date_trunc('month', o_orderdate) + INTERVAL 6 HOURS * (o_orderkey % 30) + CASE WHEN o_custkey % 60 = 7 THEN INTERVAL 3 HOURS ELSE INTERVAL 0 HOURS END AS TIME,
+  SELECT 'T' || (o_custkey % 60) || '-' || strftime(o_orderdate, '%Y%m') || '-' || (o_orderkey // 150000) AS SID, date_trunc('month', o_orderdate) + INTERVAL 6 HOURS * (o_orderkey % 30) + CASE WHEN o_custkey % 60 = 7 THEN INTERVAL 3 HOURS ELSE INTERVAL 0 HOURS END AS TIME,
          ((o_orderkey % 80) - 40)::DOUBLE / 2 AS LAT, (340 + o_orderkey % 40)::DOUBLE AS LON, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 150)::DOUBLE END AS USA_WIND,
          ['WP', 'EP', 'NA', 'NI', 'SI', 'SP', 'SA'][o_custkey % 60 % 7 + 1] AS BASIN
-  FROM orders WHERE year(o_orderdate) = 1998 AND month(o_orderdate) = 3),
+  FROM orders),
 d0 AS (SELECT SID, TIME, fmod(LAT * 0 + LON, 360) AS LON, LAT, USA_WIND, BASIN, row_number() OVER (PARTITION BY SID, TIME ORDER BY LAT, fmod(LON, 360), USA_WIND NULLS LAST) AS k FROM rt),
 d1 AS (SELECT * EXCLUDE k FROM d0 WHERE k = 1),
 an AS (SELECT * FROM d1 WHERE hour(TIME) % 6 = 0),
@@ -185,20 +186,27 @@ u0 AS (SELECT *, coalesce(fmod(fmod(LON - lag(LON) OVER (PARTITION BY SID ORDER
 un AS (SELECT *, first_value(LON) OVER w + sum(st) OVER w AS u FROM u0 WINDOW w AS (PARTITION BY SID ORDER BY TIME ROWS UNBOUNDED PRECEDING))"""
 
 
-def raw_rows(spark: SparkSession, root: str) -> DataFrame:
-    o = table(spark, root, "orders").where("year(o_orderdate) = 1998 AND month(o_orderdate) = 3")
-    sid = F.col("o_custkey") % 60
-    start = F.unix_timestamp(F.lit("1998-03-01 00:00:00").cast("timestamp"))
-    t = F.timestamp_seconds(start + 21600 * (F.col("o_orderkey") % 30) + F.when(sid == 7, 10800).otherwise(0))
+# Batch and month in SID keep tracks short at every size.
+
+
+def all_raw_rows(spark: SparkSession, root: str) -> DataFrame:
     from .base import BASINS
 
-    return o.select(
-        F.concat(F.lit("T"), sid).alias("SID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("ISO_TIME"), ((F.col("o_orderkey") % 80 - 40).cast("double") / 2).cast("string").alias("LAT"),
-        (F.lit(340) + F.col("o_orderkey") % 40).cast("string").alias("LON"), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 150).cast("string")).otherwise(" ").alias("USA_WIND"),
+    sid, key = F.col("o_custkey") % 60, F.col("o_orderkey")
+    start = F.unix_timestamp(F.date_trunc("month", "o_orderdate"))
+    t = F.timestamp_seconds(start + 21600 * (key % 30) + F.when(sid == 7, 10800).otherwise(0))
+    return table(spark, root, "orders").select(
+        F.concat(F.lit("T"), sid, F.lit("-"), F.date_format("o_orderdate", "yyyyMM"), F.lit("-"), F.floor(key / 150000)).alias("SID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("ISO_TIME"), ((key % 80 - 40).cast("double") / 2).cast("string").alias("LAT"),
+        (F.lit(340) + key % 40).cast("string").alias("LON"), F.when(key % 4 > 0, (key % 150).cast("string")).otherwise(" ").alias("USA_WIND"),
         F.lit("").alias("USA_PRES"), F.get(F.array(*map(F.lit, BASINS)), (sid % 7).cast("int")).alias("BASIN"), F.lit("main").alias("TRACK_TYPE"),
     )
 
 
+def prepared_all(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
+    t = tracks.prepare(all_raw_rows(spark, root), first, last)
+    return t.select("SID", stamp(), *r("LAT", "LON", "USA_WIND"), "BASIN", F.col("YEAR").cast("int").alias("Y"), F.col("MONTH").cast("int").alias("M"), "INTENSITY_CAT")
+
+
 @query(
     f"""WITH {RAW},
 li AS (SELECT SID, min(TIME) AS a, max(TIME) AS b FROM an GROUP BY SID),
@@ -218,13 +226,12 @@ SELECT SID, {STAMP}, round(LAT, 6) AS LAT, round(fmod(fmod(LON, 360) + 360, 360)
    CASE WHEN W IS NULL THEN NULL WHEN W <= 33 THEN 'TD' WHEN W <= 63 THEN 'TS' WHEN W <= 82 THEN 'C1' WHEN W <= 95 THEN 'C2' WHEN W <= 112 THEN 'C3' WHEN W <= 136 THEN 'C4' ELSE 'C5' END AS INTENSITY_CAT FROM nt"""
 )
 def track_prepare(spark: SparkSession, root: str) -> DataFrame:
-    t = tracks.prepare(raw_rows(spark, root), 1998, 1998)
-    return t.select("SID", stamp(), *r("LAT", "LON", "USA_WIND"), "BASIN", F.col("YEAR").cast("int").alias("Y"), F.col("MONTH").cast("int").alias("M"), "INTENSITY_CAT")
+    return prepared_all(spark, root, 1900, 2100)
 
 
 @query(f"WITH {RAW} SELECT SID, {STAMP}, u, abs(st) > 10 AS jump FROM un")
 def track_unwrap(spark: SparkSession, root: str) -> DataFrame:
-    return unwrapped_steps(raw_rows(spark, root))
+    return unwrapped_steps(all_raw_rows(spark, root))
 
 
 def unwrapped_steps(raw: DataFrame) -> DataFrame:
@@ -235,51 +242,8 @@ def unwrapped_steps(raw: DataFrame) -> DataFrame:
     return tracks.unwrapped(rows, "u").withColumn("jump", F.coalesce(F.abs(step) > 10, F.lit(False))).select("SID", stamp(), "u", "jump")
 
 
-@query(f"WITH {RAW} SELECT SID, {STAMP}, LAT FROM d1 WHERE TIME IN (SELECT DISTINCT TIME FROM d1 ORDER BY TIME LIMIT 40) AND SID IN ('T1', 'T2', 'T3', 'T7')")
+@query(f"WITH {RAW} SELECT SID, {STAMP}, LAT FROM d1 WHERE TIME IN (SELECT DISTINCT TIME FROM d1 ORDER BY TIME LIMIT 40) AND SID IN ('T1-199501-0', 'T2-199501-0', 'T3-199501-0', 'T7-199501-0')")
 def tracks_within(spark: SparkSession, root: str) -> DataFrame:
-    rows = tracks.one_per_time(tracks.cleaned(raw_rows(spark, root)))
-    return tracks.within(tracks.within(rows, first_times=40), storms=["T1", "T2", "T3", "T7"]).select("SID", stamp(), "LAT")
-
-
-# The queries above read one month, as their SQL does. Those below read all orders; batch and month in SID keep
-# tracks short at every size.
-
-ALL_RAW = (
-    RAW.replace("'T' || (o_custkey % 60) AS SID", "'T' || (o_custkey % 60) || '-' || strftime(o_orderdate, '%Y%m') || '-' || (o_orderkey // 150000) AS SID")
-    .replace("\n  FROM orders WHERE year(o_orderdate) = 1998 AND month(o_orderdate) = 3)", "\n  FROM orders)")
-)
-
-
-def all_raw_rows(spark: SparkSession, root: str) -> DataFrame:
-    from .base import BASINS
-
-    sid, key = F.col("o_custkey") % 60, F.col("o_orderkey")
-    start = F.unix_timestamp(F.date_trunc("month", "o_orderdate"))
-    t = F.timestamp_seconds(start + 21600 * (key % 30) + F.when(sid == 7, 10800).otherwise(0))
-    return table(spark, root, "orders").select(
-        F.concat(F.lit("T"), sid, F.lit("-"), F.date_format("o_orderdate", "yyyyMM"), F.lit("-"), F.floor(key / 150000)).alias("SID"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("ISO_TIME"), ((key % 80 - 40).cast("double") / 2).cast("string").alias("LAT"),
-        (F.lit(340) + key % 40).cast("string").alias("LON"), F.when(key % 4 > 0, (key % 150).cast("string")).otherwise(" ").alias("USA_WIND"),
-        F.lit("").alias("USA_PRES"), F.get(F.array(*map(F.lit, BASINS)), (sid % 7).cast("int")).alias("BASIN"), F.lit("main").alias("TRACK_TYPE"),
-    )
-
-
-def prepared_all(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
-    t = tracks.prepare(all_raw_rows(spark, root), first, last)
-    return t.select("SID", stamp(), *r("LAT", "LON", "USA_WIND"), "BASIN", F.col("YEAR").cast("int").alias("Y"), F.col("MONTH").cast("int").alias("M"), "INTENSITY_CAT")
-
-
-@query(ORACLE["track_prepare"].replace(RAW, ALL_RAW))
-def track_prepare_all(spark: SparkSession, root: str) -> DataFrame:
-    return prepared_all(spark, root, 1900, 2100)
-
-
-@query(ORACLE["track_unwrap"].replace(RAW, ALL_RAW))
-def track_unwrap_all(spark: SparkSession, root: str) -> DataFrame:
-    return unwrapped_steps(all_raw_rows(spark, root))
-
-
-@query(f"WITH {ALL_RAW} SELECT SID, {STAMP}, LAT FROM d1 WHERE TIME IN (SELECT DISTINCT TIME FROM d1 ORDER BY TIME LIMIT 40) AND SID IN ('T1-199501-0', 'T2-199501-0', 'T3-199501-0', 'T7-199501-0')")
-def tracks_within_all(spark: SparkSession, root: str) -> DataFrame:
     rows = tracks.one_per_time(tracks.cleaned(all_raw_rows(spark, root)))
     return tracks.within(tracks.within(rows, first_times=40), storms=[f"T{k}-199501-0" for k in (1, 2, 3, 7)]).select("SID", stamp(), "LAT")
 
@@ -309,16 +273,16 @@ def range_join_1000km(spark: SparkSession, root: str) -> DataFrame:
     return c.select("SID", ((F.unix_timestamp("TIME") - 1_704_067_200) / 10800).cast("int").alias("k"), "ROW", F.round("DIST_KM", 3).alias("km"))
 
 
-BLOBS = """bl AS (SELECT DISTINCT (l_linenumber % 3)::INT AS k, ((900 + l_partkey % 24) * 3600 + (3588 + l_suppkey * 5 % 24 + l_quantity::INT % 2) % 3600)::INT AS ROW FROM lineitem WHERE l_orderkey % 5 < 3 AND l_orderkey < 2400),
+BLOBS = """bl AS (SELECT DISTINCT (l_orderkey // 100)::INT AS k, ((900 + l_partkey % 24) * 3600 + (3588 + l_suppkey * 5 % 24 + l_quantity::INT % 2) % 3600)::INT AS ROW FROM lineitem),
 bc AS (SELECT k, ROW, ROW // 3600 AS i, (ROW % 3600 + 20) % 3600 AS j FROM bl),
 nb AS (SELECT a.k, a.ROW AS u, b.ROW AS v, b.i, b.j FROM bc a JOIN bc b ON a.k = b.k AND abs(a.i - b.i) + abs(a.j - b.j) = 1),
 re AS (SELECT k, ROW, ROW AS g, i, j FROM bc UNION SELECT re.k, re.ROW, nb.v, nb.i, nb.j FROM re JOIN nb ON nb.k = re.k AND nb.u = re.g),
 fe AS (SELECT k, ROW, first(g ORDER BY i, j) AS FEATURE FROM re GROUP BY ALL)"""
 
 
-def blobs(spark: SparkSession, root: str) -> DataFrame:
-    li = table(spark, root, "lineitem").where("l_orderkey % 5 < 3 AND l_orderkey < 2400")
-    return blob_cells(li, F.col("l_linenumber") % 3)
+def all_blobs(spark: SparkSession, root: str) -> DataFrame:
+    """A hundred order keys to a time step, so that regions do not fill the grid at any size."""
+    return blob_cells(table(spark, root, "lineitem"), F.floor(F.col("l_orderkey") / 100))
 
 
 def blob_cells(li: DataFrame, k) -> DataFrame:
@@ -330,7 +294,7 @@ def blob_cells(li: DataFrame, k) -> DataFrame:
 
 @query(f"WITH RECURSIVE {BLOBS} SELECT k, ROW, FEATURE FROM fe")
 def connected_components(spark: SparkSession, root: str) -> DataFrame:
-    return features.labelled(blobs(spark, root)).select("k", "ROW", "FEATURE")
+    return features.labelled(all_blobs(spark, root)).select("k", "ROW", "FEATURE")
 
 
 @query(
@@ -340,26 +304,6 @@ cd AS (SELECT k, FEATURE FROM ct WHERE 2 * 6371.0 * asin(sqrt(pow(sin(radians(la
 SELECT k, ROW, FEATURE FROM fe JOIN cd USING (k, FEATURE)"""
 )
 def feature_centroid_filter(spark: SparkSession, root: str) -> DataFrame:
-    return features.centred(features.labelled(blobs(spark, root)), 200.0).select("k", "ROW", "FEATURE")
-
-
-# Those two read some orders in three time steps, as their SQL does. These read all, a hundred order keys to a
-# time step, so that regions do not fill the grid at any size.
-
-ALL_BLOBS = BLOBS.replace("(l_linenumber % 3)::INT AS k", "(l_orderkey // 100)::INT AS k").replace(" FROM lineitem WHERE l_orderkey % 5 < 3 AND l_orderkey < 2400)", " FROM lineitem)")
-
-
-def all_blobs(spark: SparkSession, root: str) -> DataFrame:
-    return blob_cells(table(spark, root, "lineitem"), F.floor(F.col("l_orderkey") / 100))
-
-
-@query(ORACLE["connected_components"].replace(BLOBS, ALL_BLOBS))
-def connected_components_all(spark: SparkSession, root: str) -> DataFrame:
-    return features.labelled(all_blobs(spark, root)).select("k", "ROW", "FEATURE")
-
-
-@query(ORACLE["feature_centroid_filter"].replace(BLOBS, ALL_BLOBS))
-def feature_centroid_filter_all(spark: SparkSession, root: str) -> DataFrame:
     return features.centred(features.labelled(all_blobs(spark, root)), 200.0).select("k", "ROW", "FEATURE")
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bands, bootstrap, decompose, dist, report, trend
-from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, ORACLE, QUERIES, YEARS, band_sql, query, storm_events, trend_sql
+from ..sources.tables import table
+from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, YEARS, band_sql, query, storm_events, trend_sql
 
-REPS, BLOCK, SEED = 50, 3, 42
-HOW = {"block": BLOCK, "repetitions": REPS, "seed": SEED}
-WHOLE = {"block": bootstrap.BLOCK_YEARS, "repetitions": bootstrap.REPETITIONS, "seed": SEED}
+#: The bootstrap's own replicates; every series has a point for each of the seven years.
+HOW = {"block": bootstrap.BLOCK_YEARS, "repetitions": bootstrap.REPETITIONS, "seed": bootstrap.SEED, "lengths": (YEARS[1] - YEARS[0] + 1,)}
 
 
 def r(*cols: str, digits: int = 6) -> list:
@@ -71,26 +71,12 @@ def mann_kendall(spark: SparkSession, root: str) -> DataFrame:
     return trend.mann_kendall(monthly(spark, root), ["BASIN"], "y", "t", full=True).select("BASIN", "n", "s", *r("var", "z", "p_value"))
 
 
-TIED = "ti AS (SELECT l_returnflag AS k, l_linenumber * 100 + l_quantity::INT AS t, (l_partkey % 5)::DOUBLE AS y FROM lineitem WHERE l_orderkey < 40 GROUP BY ALL), td AS (SELECT k, t, min(y) AS y FROM ti GROUP BY ALL)"
+# A remainder of sums has ties at every size.
+TIED = "td AS (SELECT l_returnflag AS k, l_linenumber * 100 + l_quantity::INT AS t, (sum(l_partkey) % 5)::DOUBLE AS y FROM lineitem GROUP BY ALL)"
 
 
 @query(f"WITH {TIED}, {trend_sql('td', 'k', 'y', 't', '1')} SELECT k, n, s, round(var, 6) AS var, round(p_value, 6) AS p_value FROM mk")
 def mann_kendall_ties(spark: SparkSession, root: str) -> DataFrame:
-    from ..sources.tables import table
-
-    t = table(spark, root, "lineitem").where("l_orderkey < 40")
-    t = t.groupBy(F.col("l_returnflag").alias("k"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).alias("t")).agg(F.min((F.col("l_partkey") % 5).cast("double")).alias("y"))
-    return trend.mann_kendall(t, ["k"], "y", "t", full=True).select("k", "n", "s", *r("var", "p_value"))
-
-
-# That one reads orders below 40, as its SQL does. This reads all rows; a remainder of sums has ties at every size.
-ALL_TIED = "td AS (SELECT l_returnflag AS k, l_linenumber * 100 + l_quantity::INT AS t, (sum(l_partkey) % 5)::DOUBLE AS y FROM lineitem GROUP BY ALL)"
-
-
-@query(ORACLE["mann_kendall_ties"].replace(TIED, ALL_TIED))
-def mann_kendall_ties_all(spark: SparkSession, root: str) -> DataFrame:
-    from ..sources.tables import table
-
     t = table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("k"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).alias("t")).agg((F.sum("l_partkey") % 5).cast("double").alias("y"))
     return trend.mann_kendall(t, ["k"], "y", "t", full=True).select("k", "n", "s", *r("var", "p_value"))
 
@@ -158,13 +144,15 @@ def global_and_domain_annual(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS}, lt AS (SELECT 'event' AS record_type, CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS domain, YEAR, abs(TC_LAT) AS l FROM ev UNION ALL
-  SELECT 'track', CASE WHEN TC_LAT / 2 >= 0 THEN 'NH' ELSE 'SH' END, YEAR, abs(TC_LAT / 2) FROM ev WHERE o_orderkey % 2 = 0)
-SELECT record_type, domain, YEAR, round(avg(l), 6) AS mean_lat, count(*)::BIGINT AS n_records FROM lt GROUP BY ALL"""
+  SELECT 'track', CASE WHEN TC_LAT / 2 >= 0 THEN 'NH' ELSE 'SH' END, YEAR, abs(TC_LAT / 2) FROM ev WHERE o_orderkey % 2 = 0),
+g AS (SELECT record_type, domain, YEAR, avg(l) AS mean_lat, count(*)::BIGINT AS n_records FROM lt GROUP BY ALL),
+grid AS (SELECT DISTINCT record_type, domain, y::INT AS YEAR FROM g, generate_series(1994, 2002) t(y))
+SELECT record_type, domain, YEAR, round(mean_lat, 6) AS mean_lat, n_records FROM grid LEFT JOIN g USING (record_type, domain, YEAR)"""
 )
 def mean_latitude(spark: SparkSession, root: str) -> DataFrame:
     ev = storm_events(spark, root)
     tracks = ev.where("o_orderkey % 2 = 0").select((F.col("TC_LAT") / 2).alias("LAT"), "YEAR")
-    return bands.mean_latitude(tracks, ev).select("record_type", "domain", "YEAR", *r("mean_lat"), "n_records")
+    return bands.mean_latitude(tracks, ev, (1994, 2002)).select("record_type", "domain", "YEAR", *r("mean_lat"), "n_records")
 
 
 OWN = "(CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END)"
@@ -224,8 +212,6 @@ dv AS (SELECT *, count(*) OVER (PARTITION BY lat, lon) AS valid_years FROM da QU
 
 
 def degree_means(spark: SparkSession, root: str) -> DataFrame:
-    from ..sources.tables import table
-
     o = table(spark, root, "orders").select("o_orderkey", ((F.col("o_custkey") % 40) / 4).alias("la"), ((F.col("o_custkey") % 30) / 3 - 2).alias("lo"))
     return bands.degree_cell_means(storm_events(spark, root).join(o, "o_orderkey"), "EVENT_INTENSITY_MM_3H", "la", "lo", 5)
 
@@ -255,8 +241,8 @@ def box_means(spark: SparkSession, root: str) -> DataFrame:
     return dist.box_means(t, boxes).select("box", "name", *r("mean"), "n")
 
 
-def _draws_sql(n: int, how: dict = HOW) -> str:
-    rows = bootstrap.block_draws(n, **how)
+def _draws_sql(n: int) -> str:
+    rows = bootstrap.block_draws(n, bootstrap.BLOCK_YEARS, bootstrap.REPETITIONS, bootstrap.SEED)
     return "bi(REP, POS, SRC) AS (VALUES " + ", ".join(f"({k}, {p}, {s})" for k, row in enumerate(rows.tolist()) for p, s in enumerate(row)) + ")"
 
 
@@ -270,8 +256,8 @@ s2 AS (SELECT a.HEMISPHERE, a.COMPONENT, a.REP, 10 * quantile_cont((b.y - a.y) /
 
 
 @query(f"WITH {LONG_COMPONENTS}, {BOOT} SELECT HEMISPHERE, COMPONENT, round(quantile_cont(slope, 0.025), 6) AS ci_low, round(quantile_cont(slope, 0.975), 6) AS ci_high FROM s2 GROUP BY ALL")
-def bootstrap_trend_ci(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
-    return bootstrap.component_intervals(parts(spark, root), ["HEMISPHERE"], **how).select("HEMISPHERE", "COMPONENT", *r("ci_low", "ci_high"))
+def bootstrap_trend_ci(spark: SparkSession, root: str) -> DataFrame:
+    return bootstrap.component_intervals(parts(spark, root), ["HEMISPHERE"], **HOW).select("HEMISPHERE", "COMPONENT", *r("ci_low", "ci_high"))
 
 
 @query(
@@ -281,8 +267,8 @@ s4 AS (SELECT HEMISPHERE, y AS YEAR, ic + slope * y AS f FROM s3, generate_serie
 SELECT s4.HEMISPHERE, s4.YEAR::INT AS YEAR, round(any_value(fit), 6) AS fit, round(quantile_cont(f, 0.025), 6) AS fit_lower, round(quantile_cont(f, 0.975), 6) AS fit_upper
 FROM s4 JOIN l2 ON l2.HEMISPHERE = s4.HEMISPHERE AND l2.YEAR = s4.YEAR AND COMPONENT = 'TOTAL' GROUP BY s4.HEMISPHERE, s4.YEAR"""
 )
-def bootstrap_fit_band(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
-    b = bootstrap.fit_bands(parts(spark, root), ["HEMISPHERE"], "ANNUAL_MEAN", joint=False, **how)
+def bootstrap_fit_band(spark: SparkSession, root: str) -> DataFrame:
+    b = bootstrap.fit_bands(parts(spark, root), ["HEMISPHERE"], "ANNUAL_MEAN", joint=False, **HOW)
     return b.select("HEMISPHERE", "YEAR", *r("fit", "fit_lower", "fit_upper"))
 
 
@@ -322,8 +308,8 @@ b4 AS (SELECT domain, REP, BAND, YEAR, max(y) FILTER (kind = 'n') AS n, max(y) F
 SELECT domain, BAND, {", ".join(f"round(any_value(oz.{c}), 6) AS {c}_point, round(quantile_cont(rz.{c}, 0.025), 6) AS {c}_ci_low, round(quantile_cont(rz.{c}, 0.975), 6) AS {c}_ci_high" for c in TERMS)}
 FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND"""
 )
-def bootstrap_band_intervals(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
-    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **how)
+def bootstrap_band_intervals(spark: SparkSession, root: str) -> DataFrame:
+    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **HOW)
     return b.select("domain", "BAND", *r(*(c for c in b.columns if c not in ("domain", "BAND"))))
 
 
@@ -336,8 +322,8 @@ def _cell_sql() -> str:
     f"""WITH {DOMAINS}, {BAND_BOOT}, ce AS (SELECT domain, BAND, {_cell_sql()} AS cell FROM oz JOIN rz USING (domain, BAND) GROUP BY domain, BAND)
 SELECT domain, {", ".join(f"max(cell) FILTER (BAND = {k}) AS band_{k}" for k in range(4))} FROM ce GROUP BY domain"""
 )
-def compact_table(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
-    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **how)
+def compact_table(spark: SparkSession, root: str) -> DataFrame:
+    b = bootstrap.band_intervals(domain_bands(spark, root), ["domain"], **HOW)
     return report.compact(b, ["domain"])
 
 
@@ -346,22 +332,7 @@ def compact_table(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
 ci AS (SELECT HEMISPHERE, COMPONENT, quantile_cont(slope, 0.025) AS lo, quantile_cont(slope, 0.975) AS hi FROM s2 GROUP BY ALL)
 SELECT HEMISPHERE, COMPONENT, round(slope, 6) AS slope, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, lo > 0 OR hi < 0 AS significant FROM sl JOIN ci USING (HEMISPHERE, COMPONENT)"""
 )
-def trend_significance(spark: SparkSession, root: str, how: dict = HOW) -> DataFrame:
+def trend_significance(spark: SparkSession, root: str) -> DataFrame:
     p = parts(spark, root)
-    ci = bootstrap.component_intervals(p, ["HEMISPHERE"], **how)
+    ci = bootstrap.component_intervals(p, ["HEMISPHERE"], **HOW)
     return decompose.significance(decompose.component_trends(p, ["HEMISPHERE"]), ci, ["HEMISPHERE", "COMPONENT"]).select("HEMISPHERE", "COMPONENT", *r("slope", "ci_low", "ci_high"), "significant")
-
-
-# The queries that resample make 50 replicates, as their SQL does; these make as many as the operator's default.
-
-
-def _with_all_replicates(name: str) -> None:
-    def whole(spark: SparkSession, root: str) -> DataFrame:
-        return QUERIES[name](spark, root, WHOLE)
-
-    whole.__name__ = f"{name}_1000"
-    query(ORACLE[name].replace(_draws_sql(7), _draws_sql(7, WHOLE)))(whole)
-
-
-for _name in ("bootstrap_trend_ci", "bootstrap_fit_band", "bootstrap_band_intervals", "compact_table", "trend_significance"):
-    _with_all_replicates(_name)

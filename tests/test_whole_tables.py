@@ -40,13 +40,13 @@ def test_tracks_of_all_orders(spark, data):
             t = first + k * timedelta(hours=3)
             if t in at or first.hour % 6 == 0:
                 ticks[sid, f"{t:%Y-%m-%d %H:%M:%S}"] = at.get(t)
-    got = {(r["SID"], r["TIME"]): r for r in records.track_prepare_all(spark, root).collect()}
+    got = {(r["SID"], r["TIME"]): r for r in records.track_prepare(spark, root).collect()}
     assert got.keys() == ticks.keys() and len({k[0].split("-")[1] for k in got}) == 80
     assert all((got[k]["LAT"], round(got[k]["LON"], 6)) == v[:2] for k, v in ticks.items() if v)
     some = {(r["SID"], r["TIME"]) for r in records.prepared_all(spark, root, 1996, 1998).collect()}
     assert some == {k for k in ticks if "1996" <= k[1][:4] <= "1998"} and 0 < len(some) < len(ticks)
     six = {(s, f"{t:%Y-%m-%d %H:%M:%S}") for s, at in want.items() for t in at if t.hour % 6 == 0}
-    assert {(r["SID"], r["TIME"]) for r in records.track_unwrap_all(spark, root).collect()} == six
+    assert {(r["SID"], r["TIME"]) for r in records.track_unwrap(spark, root).collect()} == six
 
 
 def test_regions_of_all_rows(spark, data):
@@ -70,7 +70,7 @@ def test_regions_of_all_rows(spark, data):
     regions = {}
     for c in parent:
         regions.setdefault(find(c), []).append(c)
-    got = records.connected_components_all(spark, root).collect()
+    got = records.connected_components(spark, root).collect()
     assert {(r["k"], r["ROW"]): r["FEATURE"] for r in got} == {(c[0], row(c)): row(find(c)) for c in parent} and len(got) == len(parent)
     assert {c[0] for c in parent} == set(range(15)) and len(regions) > 100
 
@@ -79,14 +79,14 @@ def test_regions_of_all_rows(spark, data):
         return 6371 * math.acos(math.cos(math.radians(la)) * math.cos(math.radians(lo))) <= 200
 
     want = {(c[0], row(c)) for cells in regions.values() if near(cells) for c in cells}
-    assert {(r["k"], r["ROW"]) for r in records.feature_centroid_filter_all(spark, root).collect()} == want and 0 < len(want) < len(parent)
+    assert {(r["k"], r["ROW"]) for r in records.feature_centroid_filter(spark, root).collect()} == want and 0 < len(want) < len(parent)
 
 
 def test_ties_of_all_rows(spark, data):
     sums = Counter()
     for flag, line, quantity, part in read(data, "l_returnflag, l_linenumber, l_quantity, l_partkey", "lineitem"):
         sums[flag, line * 100 + int(quantity)] += part
-    got = {r["k"]: r for r in series.mann_kendall_ties_all(spark, f"{data}/sf0.001").collect()}
+    got = {r["k"]: r for r in series.mann_kendall_ties(spark, f"{data}/sf0.001").collect()}
     assert got.keys() == {k for k, _ in sums}
     for k, r in got.items():
         y = [v % 5 for (_, _), v in sorted(x for x in sums.items() if x[0][0] == k)]
@@ -99,7 +99,7 @@ def test_ties_of_all_rows(spark, data):
 
 def test_a_thousand_replicates(spark, data):
     root = f"{data}/sf0.001"
-    got = {r["HEMISPHERE"]: r for r in base.QUERIES["bootstrap_trend_ci_1000"](spark, root).where("COMPONENT = 'TOTAL'").collect()}
+    got = {r["HEMISPHERE"]: r for r in base.QUERIES["bootstrap_trend_ci"](spark, root).where("COMPONENT = 'TOTAL'").collect()}
     rows = sorted((r["HEMISPHERE"], r["YEAR"], r["ANNUAL_MEAN"]) for r in series.parts(spark, root).collect())
     i, j = np.triu_indices(7, 1)
     for h, r in got.items():
