@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields as dataclass_fields
 
-from .plans.workflow import STAGES, Settings, run
+from .plans.workflow import SECTIONS, STAGES, Settings, run
 from .session import session
 
 
@@ -25,9 +25,16 @@ def main() -> None:
     p.add_argument("--seed", type=int, default=Settings.seed)
     p.add_argument("--storms", nargs="*", default=[])
     p.add_argument("--max-times", type=int)
+    p.add_argument("--start-time", default="", help="tracks from this UTC time on")
+    p.add_argument("--end-time", default="", help="tracks up to this UTC time")
+    p.add_argument("--netcdf", action="store_true", help="fields and overrides are folders of NetCDF files")
+    p.add_argument("--variable", default=Settings.variable, help="the NetCDF variable")
+    p.add_argument("--partial", action="store_true", help="the archive may lack time steps")
+    p.add_argument("--land", default="", help="table of the rows on land, for the surface section")
+    p.add_argument("--sections", nargs="+", choices=SECTIONS, default=list(SECTIONS))
     p.add_argument("--overwrite", action="store_true")
     a = vars(p.parse_args())
-    stage, a["storms"] = a.pop("stage"), tuple(a["storms"])
+    stage, a["storms"], a["sections"] = a.pop("stage"), tuple(a["storms"]), tuple(a["sections"])
     run(session(), Settings(**{f.name: a[f.name] for f in dataclass_fields(Settings)}), stage)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.geo import grid_row, haversine_km, row_lat, row_lon, wrapped_delta
-from ..functions.scalars import WET_MM_3H
-from .events import build_events
+from ..functions.scalars import WET_MM_3H, units_accepted
+from .events import ROWS, build_events
+from .thresholds import WET_SAMPLE_RULE
 
 
 def counted(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -29,14 +30,35 @@ def columns_missing(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+# Columns that a track archive must have, and the grid's shape and ends in degrees.
+REQUIRED = ("SID", "SEASON", "BASIN", "NAME", "ISO_TIME", "LAT", "LON", "TRACK_TYPE", "USA_WIND", "USA_PRES")
+GRID = {"lat": (1800, 89.95, -89.95), "lon": (3600, -179.95, 179.95)}
+
+
 def inputs(raw_tracks: DataFrame, names: DataFrame, listing: DataFrame) -> DataFrame:
     """Track bounds and duplicate (SID, TIME); files that the calendar misses, and those that it does not know."""
-    t = counted(raw_tracks, {"latitude bounds": F.abs("LAT") <= 90, "longitude bounds": (F.col("LON") >= -180) & (F.col("LON") <= 360), "track time": F.col("TIME").isNotNull()})
+    t = counted(raw_tracks, {"latitude bounds": F.abs("LAT") <= 90, "longitude bounds": F.abs("LON") <= 360, "track time": F.col("TIME").isNotNull()})
     gone = names.join(listing.select("NAME"), "NAME", "left_anti").agg(F.lit("missing files").alias("check"), F.count(F.lit(1)).alias("failures"))
     extra = listing.join(names.select("NAME"), "NAME", "left_anti").agg(F.lit("extra files").alias("check"), F.count(F.lit(1)).alias("failures"))
     return t.unionByName(duplicates(raw_tracks, ["SID", "TIME"], "duplicate positions")).unionByName(gone).unionByName(extra)
 
 
+def grid(axes: DataFrame, unit: str | None, shape: dict[str, tuple[int, float, float]] = GRID, tolerance: float = 2e-3) -> DataFrame:
+    """check, failures of a field's axes, rows (AXIS, POS, VALUE), and its unit: sizes, directions, ends.
+
+    Latitudes must fall and longitudes rise, both without a repeat.
+    """
+    w = W.partitionBy("AXIS").orderBy("POS")
+    step = F.col("VALUE") - F.lag("VALUE").over(w)
+    known = axes.where(F.col("AXIS").isin(*shape)).withColumn("_s", F.when(F.col("AXIS") == "lat", -step).otherwise(step))
+    one = known.groupBy("AXIS").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_s") <= 0).alias("wrong"), F.min_by("VALUE", "POS").alias("a"), F.max_by("VALUE", "POS").alias("z"))
+    per = one.groupBy().agg(*(F.max(F.when(F.col("AXIS") == k, F.col(c))).alias(f"{k}_{c}") for k in shape for c in ("n", "wrong", "a", "z")))
+    checks = {}
+    for k, (n, a, z) in shape.items():
+        checks |= {f"{k} size": F.col(f"{k}_n") == n, f"{k} direction": F.col(f"{k}_wrong") == 0, f"{k} ends": (F.abs(F.col(f"{k}_a") - a) <= tolerance) & (F.abs(F.col(f"{k}_z") - z) <= tolerance)}
+    return counted(per, checks | {"unit": units_accepted(F.lit(unit))})
+
+
 def monotonic(df: DataFrame, order: str, value: str, down: bool = True) -> DataFrame:
     """check, failures: steps of a coordinate axis against its direction."""
     step = F.col(value) - F.lag(value).over(W.orderBy(order))
@@ -82,6 +104,30 @@ def boundary(attributed: DataFrame) -> DataFrame:
     return g.withColumn("step_dlon", step).drop("_lon")
 
 
+def boundary_checks(attributed: DataFrame, storm: str, hemi: str, cross_180: bool = False, cross_zero: bool = False, most_km: float = 1000.01, most_dlon: float = 170.0, most_step: float = 10.0) -> DataFrame:
+    """check, failures of one storm's cells: its name and hemisphere, row round trips, distances, relative longitudes.
+
+    cross_180, cross_zero: the storm's own longitudes must lie on both sides of 180, or within 5 degrees of
+    either side of 0, and then no step between its times may be longer than `most_step`.
+    """
+    sign = F.col("TC_LAT") > 0 if hemi == "NH" else F.col("TC_LAT") < 0
+    rows = counted(attributed, {
+        "storm": F.col("SID") == storm, "hemisphere": sign, "row round trip": grid_row("GRID_LAT", "GRID_LON") == F.col("ROW"),
+        "distance": haversine_km("TC_LAT", "TC_LON_360", "GRID_LAT", "GRID_LON") <= most_km, "relative longitude": F.abs(wrapped_delta("GRID_LON", "TC_LON_360")) <= most_dlon,
+    })
+    times = attributed.where(F.col("SID") == storm).groupBy("TIME").agg(F.min("TC_LON_360").cast("double").alias("_lon"))
+    step = wrapped_delta("_lon", F.lag("_lon").over(W.orderBy("TIME")))  # the times of one storm
+    s = times.withColumn("_s", F.abs(step)).agg(F.count(F.lit(1)).alias("n"), F.min("_lon").alias("lo"), F.max("_lon").alias("hi"), F.count_if(F.col("_s") > most_step).alias("jumps"))
+    checks = {"not empty": F.col("n") > 0}
+    if cross_180:
+        checks["crosses 180"] = (F.col("lo") < 180) & (F.col("hi") >= 180)
+    if cross_zero:
+        checks["crosses 0"] = (F.col("lo") < 5) & (F.col("hi") > 355)
+    if cross_180 or cross_zero:
+        checks["steps"] = F.col("jumps") == 0
+    return rows.unionByName(counted(s, checks))
+
+
 def archive(files: DataFrame, report: DataFrame, interpolated: dict[int, int]) -> DataFrame:
     """YEAR, problem for each year whose file, rows or interpolated steps are not as reported.
 
@@ -95,11 +141,18 @@ def archive(files: DataFrame, report: DataFrame, interpolated: dict[int, int]) -
     return j.select("YEAR", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def thresholds(t: DataFrame, value: str = "POT99_MM_3H", top: float = 120.0) -> DataFrame:
-    """Unique rows, finite values above the wet limit, counts, and exact cells just where the bins end."""
+def thresholds(t: DataFrame, value: str = "POT99_MM_3H", top: float = 120.0, exact_cells: int | None = None) -> DataFrame:
+    """Unique rows of the grid, finite values above the wet limit, counts, the sample rule, exact cells just where the
+    bins end, and as many of them as expected."""
     v = F.col(value)
     is_exact = F.col("IS_EXACT_TAIL_REFINEMENT")
-    return counted(t, {"finite": ~F.isnan(v) & (v < float("inf")) & (v > F.lit(WET_MM_3H).cast("float")), "count": F.col("N_WET") > 0, "exact above the bins": is_exact == (v > top)}).unionByName(duplicates(t, ["ROW"]))
+    checks = {"finite": ~F.isnan(v) & (v < float("inf")) & (v > F.lit(WET_MM_3H).cast("float")), "count": F.col("N_WET") > 0, "exact above the bins": is_exact == (v > top), "row": (F.col("ROW") >= 0) & (F.col("ROW") < ROWS)}
+    if "WET_SAMPLE_RULE" in t.columns:
+        checks["wet sample rule"] = F.col("WET_SAMPLE_RULE") == WET_SAMPLE_RULE
+    out = counted(t, checks).unionByName(duplicates(t, ["ROW"]))
+    if exact_cells is None:
+        return out
+    return out.unionByName(counted(t.agg(F.count_if(is_exact).alias("n")), {"exact cells": F.col("n") == exact_cells}))
 
 
 def reaggregated(events: DataFrame, extreme: DataFrame, tolerance: float = 1e-10) -> DataFrame:

@@ -11,6 +11,9 @@ from ..functions.scalars import is_wet
 
 # Fixed values.
 LOW, HIGH, BINS, QUANTILE = 0.3, 120.0, 500, 0.99
+WET_SAMPLE_RULE = ">0.3 mm/3h"
+QUANTILE_METHOD = "nearest-rank; exact unbounded refinement when POT99 >120 mm/3h"
+METHODS = {"histogram": "nearest-rank 500-bin histogram", "exact": "exact nearest-rank (unbounded tail refinement)"}
 
 
 def edges() -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import checked_units
 
+# The track archive's columns.
 TRACK_COLUMNS = ("SID", "SEASON", "BASIN", "NAME", "ISO_TIME", "LAT", "LON", "TRACK_TYPE", "USA_STATUS", "USA_WIND", "USA_PRES", "IFLAG")
 
 
@@ -76,9 +77,9 @@ def write_annual(df: DataFrame, path: str, overwrite: bool = False) -> None:
     out.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("YEAR").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """CSV with a header; doubles are printed so that they read back the same."""
-    df.write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("emptyValue", "").csv(path)
 
 
 def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:

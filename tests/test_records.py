@@ -1,3 +1,4 @@
+import dataclasses
 from datetime import datetime
 
 import numpy as np
@@ -239,11 +240,16 @@ def test_workflow_and_streaming(spark, tmp_path):
     (tmp_path / "tracks.csv").write_text("\n".join([head, ",".join([" "] * 12), *pos]) + "\n")
     f = spark.createDataFrame(rows, "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean")
     f.write.parquet(str(tmp_path / "fields"))
-    s = Settings(work=str(tmp_path / "w"), tracks_csv=str(tmp_path / "tracks.csv"), fields=str(tmp_path / "fields"), first=2000, last=2002, repetitions=5, block_years=2)
+    s = Settings(work=str(tmp_path / "w"), tracks_csv=str(tmp_path / "tracks.csv"), fields=str(tmp_path / "fields"), first=2000, last=2002, repetitions=5, block_years=2, partial=True, land=str(tmp_path / "land"))
+    spark.range(0, 6_480_000, 2).select(F.col("id").cast("int").alias("ROW")).write.parquet(s.land)
+    with pytest.raises(FileNotFoundError, match="2000001.00.nc"):
+        run(spark, dataclasses.replace(s, partial=False, work=str(tmp_path / "other")), "histograms")
     for stage in ("tracks", "cells", "histograms", "thresholds"):
         run(spark, s, stage)
     t = spark.read.parquet(f"{s.work}/thresholds")
-    assert audit.passed(audit.thresholds(t)) and t.count() == 8 * 16
+    assert audit.passed(audit.thresholds(t, exact_cells=t.where("IS_EXACT_TAIL_REFINEMENT").count())) and t.count() == 8 * 16
+    assert {r[0] for r in t.select("WET_SAMPLE_RULE").distinct().collect()} == {">0.3 mm/3h"}
+    assert {r["YEAR"] for r in spark.read.parquet(f"{s.work}/merged_years").collect()} == {2000, 2001, 2002}
     t.withColumn("POT99_MM_3H", F.col("POT99_MM_3H") * F.lit(0.5).cast("float")).write.parquet(f"{s.work}/lower")
     (tmp_path / "w" / "thresholds").rename(tmp_path / "w" / "first")
     (tmp_path / "w" / "lower").rename(tmp_path / "w" / "thresholds")
@@ -254,6 +260,14 @@ def test_workflow_and_streaming(spark, tmp_path):
     assert spark.read.parquet(f"{s.work}/analysis/component_trends").count() == 8
     with pytest.raises(Exception, match="(?i)exist"):
         run(spark, s, "tracks")
+    run(spark, s, "figures")
+    run(spark, s, "tables")
+    saved = lambda n: spark.read.parquet(f"{s.work}/{n}")
+    assert saved("figures/samples").count() == 72 and saved("figures/annual_series").count() == 9 and saved("figures/latitude_series").count() == 12
+    assert saved("figures/surface_bands").count() == 2 * 2 * 3 * 4 and saved("tables/S3A_surfaces").count() == 4
+    assert saved("tables/S1C_baselines").agg(F.sum("n_events")).first()[0] == 72 and saved("tables/S1").count() == 2
+    assert spark.read.csv(f"{s.work}/tables/S2_csv", header=True).count() == saved("tables/S2").count() > 0
+    assert "Northern Hemisphere" in "".join(r.value for r in spark.read.text(f"{s.work}/tables/S1_markdown").collect())
 
     stream = spark.readStream.schema(x.select("SID", "TIME", "BASIN", "TC_LAT", "PRECIP_3H_MM", "IS_INTERPOLATED_TIMESTEP").schema).parquet(f"{s.work}/extreme_cells")
     q = incremental.event_stream(stream).writeStream.format("memory").queryName("ev").outputMode("complete").start()
