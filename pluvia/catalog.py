@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, records, series
+from .plans import base, outputs, records, series
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
 
-__all__ = ["ORACLE", "QUERIES", "records", "series"]
+__all__ = ["ORACLE", "QUERIES", "outputs", "records", "series"]

@@ -139,7 +139,7 @@ def verification(series: DataFrame, parts: DataFrame, saved_trends: DataFrame, b
         one("band counts", medians, F.min(F.col("n_events") == F.coalesce("_n", F.lit(0)))),
         one("map cells", spatial, F.count(F.lit(1)) == expected["valid_map_cells"]),
         one("significant map cells", spatial, F.count_if(F.col("p_value") < 0.05) == expected["significant_map_cells"]),
-        one("empty band", empty, (F.count(F.lit(1)) == 1) & (F.sum("n_events") == 0) & F.min(~F.greatest(*(F.col(c).isNotNull().cast("int") for c in nulls)).cast("boolean"))),
+        one("empty band", empty, (F.count(F.lit(1)) == 1) & (F.sum("n_events") == 0) & F.min(~F.exists(F.array(*(F.col(c).isNotNull() for c in nulls)), lambda x: x))),
     ]
     if surfaces is not None:
         out.append(one("surface trends are not significant", surfaces, F.min(F.col("p_value")) > 0.05))

@@ -464,13 +464,14 @@ def audit_event_reaggregation(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     f"""WITH {CELLS}, x AS (SELECT *, (ROW % 5 = 0) <> (PRECIP_3H_MM > 120::FLOAT) AS odd FROM (SELECT DISTINCT ON (ROW, event_id % 2) ROW, event_id % 2 AS e, min(event_id) OVER (PARTITION BY ROW, event_id % 2) AS i, PRECIP_3H_MM FROM ce QUALIFY event_id = i))
-SELECT 'finite' AS "check", sum((NOT PRECIP_3H_MM > 0.3::FLOAT)::INT)::BIGINT AS failures FROM x UNION ALL SELECT 'count', 0 UNION ALL SELECT 'exact above the bins', sum(odd::INT)::BIGINT FROM x
+SELECT 'finite' AS "check", sum((NOT PRECIP_3H_MM > 0.3::FLOAT)::INT)::BIGINT AS failures FROM x UNION ALL SELECT 'count', 0 UNION ALL SELECT 'exact above the bins', sum(odd::INT)::BIGINT FROM x UNION ALL SELECT 'row', 0 UNION ALL SELECT 'wet sample rule', sum((ROW % 3 = 0)::INT)::BIGINT FROM x UNION ALL SELECT 'exact cells', 1
 UNION ALL SELECT 'duplicate keys', (count(*) - count(DISTINCT ROW))::BIGINT FROM x"""
 )
 def audit_thresholds(spark: SparkSession, root: str) -> DataFrame:
     c = wet_samples(spark, root)
     t = c.groupBy("ROW", (F.col("event_id") % 2).alias("e")).agg(F.min_by("PRECIP_3H_MM", "event_id").alias("POT99_MM_3H"))
-    return audit.thresholds(t.select("ROW", "POT99_MM_3H", F.lit(1).alias("N_WET"), (F.col("ROW") % 5 == 0).alias("IS_EXACT_TAIL_REFINEMENT")))
+    rule = F.when(F.col("ROW") % 3 == 0, ">=0.3 mm/3h").otherwise(thresholds.WET_SAMPLE_RULE).alias("WET_SAMPLE_RULE")
+    return audit.thresholds(t.select("ROW", "POT99_MM_3H", F.lit(1).alias("N_WET"), (F.col("ROW") % 5 == 0).alias("IS_EXACT_TAIL_REFINEMENT"), rule), exact_cells=-1)
 
 
 @query(
@@ -485,11 +486,6 @@ def audit_inputs(spark: SparkSession, root: str) -> DataFrame:
     return audit.inputs(c, names, files)
 
 
-@query()
-def audit_cells(spark: SparkSession, root: str) -> DataFrame:
-    return audit.cells(features.attributed(*storm_fields(spark, root)))
-
-
 @query(
     f"""WITH {CELLS} SELECT year(TIME)::INT AS YEAR, count(*)::BIGINT AS rows, count(DISTINCT SID)::BIGINT AS storms, count(DISTINCT TIME)::BIGINT AS times, 'WP' AS basins, min(PRECIP_3H_MM) AS least, max(PRECIP_3H_MM) AS most, sum(IS_INTERPOLATED_TIMESTEP::INT)::BIGINT AS interpolated FROM ce GROUP BY ALL"""
 )
@@ -510,12 +506,6 @@ def audit_release(spark: SparkSession, root: str) -> DataFrame:
     return audit.release(got.select("p_brand", "value"), anchors, ["p_brand"])
 
 
-@query()
-def audit_boundary(spark: SparkSession, root: str) -> DataFrame:
-    b = audit.boundary(features.attributed(*storm_fields(spark, root)))
-    return b.select("SID", stamp(), "cells", *r("max_km", "max_dlon", digits=2), "bad_rows", "crosses_zero", "crosses_180", F.round("step_dlon", 3).alias("step_dlon"))
-
-
 @query(
     f"""WITH {EVENTS}, f AS (SELECT YEAR, count(*) AS n FROM ev WHERE YEAR <> 1996 GROUP BY ALL), p AS (SELECT YEAR, count(*) + (YEAR = 1999)::INT AS n, (YEAR = 1997)::INT AS i FROM ev WHERE YEAR <> 2001 GROUP BY YEAR)
 SELECT coalesce(f.YEAR, p.YEAR) AS YEAR, CASE WHEN f.n IS NULL THEN 'no file' WHEN p.n IS NULL THEN 'not reported' WHEN p.n <> f.n THEN 'row count' ELSE 'interpolated steps' END AS problem

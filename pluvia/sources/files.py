@@ -40,7 +40,7 @@ def listing(spark: SparkSession, path: str, pattern: str = "*.nc") -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """NAME, SHA256 of files below a folder."""
+    """NAME, SHA256 of files below a folder; files without content are not listed."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("NAME"), F.sha2("content", 256).alias("SHA256"))
 
