@@ -46,8 +46,8 @@ def bracketed(value: str, before: W, after: W) -> Column:
     s = F.unix_micros("TIME").cast("double")
     mark = F.when(F.col(value).isNotNull(), F.struct(s.alias("s"), F.col(value).alias("v")))
     a, b = F.last(mark, ignorenulls=True).over(before), F.first(mark, ignorenulls=True).over(after)
-    share = F.try_divide(s - a["s"], b["s"] - a["s"])
-    return F.when(a["s"] == b["s"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
+    # multiplied first, so that whole numbers between whole numbers come out whole
+    return F.when(a["s"] == b["s"], a["v"]).otherwise(a["v"] + F.try_divide((b["v"] - a["v"]) * (s - a["s"]), b["s"] - a["s"]))
 
 
 def filled(value: str, before: W, after: W) -> Column:

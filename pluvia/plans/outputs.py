@@ -62,10 +62,10 @@ def figure_samples(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS}, s AS (SELECT HEMISPHERE, {band_sql("TC_LAT", "HEMISPHERE")} AS BAND, EVENT_INTENSITY_MM_3H AS v FROM ev)
-SELECT HEMISPHERE, BAND, {", ".join(f"round(quantile_cont(v, {q / 100}), 6) AS q{q}" for q in (10, 50, 90, 99))} FROM s GROUP BY ALL"""
+SELECT HEMISPHERE, BAND, {", ".join(f"round(quantile_cont(v, {q / 100}), 9) AS q{q}" for q in (10, 50, 90, 99))} FROM s GROUP BY ALL"""
 )
 def figure_band_quantiles(spark: SparkSession, root: str) -> DataFrame:
-    return figures.band_quantiles(storm_events(spark, root)).select("HEMISPHERE", "BAND", *r("q10", "q50", "q90", "q99"))
+    return figures.band_quantiles(storm_events(spark, root)).select("HEMISPHERE", "BAND", *r("q10", "q50", "q90", "q99", digits=9))
 
 
 @query(
