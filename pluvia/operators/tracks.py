@@ -21,12 +21,6 @@ def cleaned(raw: DataFrame) -> DataFrame:
     return rows.withColumn("LON", lon360("LON"))
 
 
-def in_period(rows: DataFrame, first: int, last: int) -> DataFrame:
-    """All rows of storms with a position in the years; rows outside them stay for now."""
-    storms = rows.where(F.year("TIME").between(first, last)).select("SID").distinct()
-    return rows.join(storms, "SID", "left_semi")
-
-
 def one_per_time(rows: DataFrame) -> DataFrame:
     """One row for each storm and time; of several the least by position, so that the choice is fixed."""
     w = W.partitionBy("SID", "TIME").orderBy(*(F.col(c).asc_nulls_last() for c in ("LAT", "LON", "USA_WIND", "USA_PRES") if c in rows.columns))
@@ -61,21 +55,33 @@ def interpolated(anchors: DataFrame) -> DataFrame:
     Positions, wind and pressure are linear in time between values there are; names and codes are carried
     forward, then back; other columns stay as they are on ticks that are anchors, and are null on others.
     """
-    rows = unwrapped(one_per_time(anchors))
+    return _ticked(unwrapped(one_per_time(anchors)))
+
+
+def _ticked(rows: DataFrame) -> DataFrame:
+    """`interpolated` of rows that are one for each storm and time, with their unwrapped longitude _u.
+
+    Each storm's first row lists its ticks, so that rows are read once; an anchor and the tick at its time
+    become one row.
+    """
     hour3 = 3 * 3600
-    life = rows.groupBy("SID").agg(F.min("TIME").alias("a"), F.max("TIME").alias("b"))
-    first = (F.ceil(F.unix_micros("a") / 1_000_000 / hour3) * hour3).cast("long")
-    last = (F.floor(F.unix_micros("b") / 1_000_000 / hour3) * hour3).cast("long")
-    ticks = life.withColumn("_i", first).withColumn("_j", last).where("_i <= _j")
-    ticks = ticks.select("SID", F.explode(F.sequence("_i", "_j", F.lit(hour3).cast("long"))).alias("_s"))
-    ticks = ticks.select("SID", F.timestamp_seconds("_s").alias("TIME"), F.lit(True).alias("_tick"))
-    all_ = rows.join(ticks, ["SID", "TIME"], "full_outer")
-    w = W.partitionBy("SID").orderBy("TIME")
+    storm = W.partitionBy("SID")
+    second = lambda f: F.unix_micros(f("TIME").over(storm)) / 1_000_000 / hour3
+    first, last = (F.ceil(second(F.min)) * hour3).cast("long"), (F.floor(second(F.max)) * hour3).cast("long")
+    lead = F.row_number().over(storm.orderBy("TIME")) == 1
+    ticks = F.when(lead & (F.col("_i") <= F.col("_j")), F.transform(F.sequence("_i", "_j", F.lit(hour3).cast("long")), F.timestamp_seconds))
+    own = [c for c in rows.columns if c not in ("SID", "TIME")]
+    own_row = F.struct(F.col("TIME").cast("timestamp").alias("TIME"), F.lit(None).cast("boolean").alias("_tick"), F.struct(*own).alias("_row"))
+    empty = F.lit(None).cast(rows.select(F.struct(*own)).schema[0].dataType)
+    others = F.transform(F.coalesce("_ticks", F.array().cast("array<timestamp>")), lambda t: F.struct(t.alias("TIME"), F.lit(True).alias("_tick"), empty.alias("_row")))
+    both = rows.withColumns({"_i": first, "_j": last}).withColumn("_ticks", ticks).select("SID", F.explode(F.concat(F.array(own_row), others)).alias("_x")).select("SID", "_x.*")
+    all_ = both.groupBy("SID", "TIME").agg(F.max("_tick").alias("_tick"), F.first("_row", ignorenulls=True).alias("_row")).select("SID", "TIME", "_tick", "_row.*")
+    w = storm.orderBy("TIME")
     before, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.currentRow, W.unboundedFollowing)
     new = {"LAT": bracketed("LAT", before, after), "LON": F.pmod(bracketed("_u", before, after), F.lit(360.0))}
     new |= {c: bracketed(c, before, after) for c in ("USA_WIND", "USA_PRES") if c in rows.columns}
     new |= {c: filled(c, before, after) for c in CARRIED if c in rows.columns}
-    return all_.withColumns(new).where("_tick").drop("_tick", "_u")
+    return all_.withColumns(new).where("_tick").drop("_tick", "_u").select("SID", "TIME", *(c for c in own if c != "_u"))
 
 
 def prepare(raw: DataFrame, first: int, last: int) -> DataFrame:
@@ -84,10 +90,13 @@ def prepare(raw: DataFrame, first: int, last: int) -> DataFrame:
     Storms with positions at 0, 6, 12 or 18 UTC are interpolated from those alone; storms without any keep
     their own positions at whole three hours. No storm is too weak. The period is cut last.
     """
-    rows = in_period(cleaned(raw), first, last)
-    anchors = rows.where(on_hours("TIME", 6))
-    rest = rows.join(anchors.select("SID").distinct(), "SID", "left_anti").where(on_hours("TIME", 3))
-    out = interpolated(anchors).unionByName(one_per_time(rest), allowMissingColumns=True)
+    # one shuffle by storm serves the choice of rows, the flags and the windows
+    rows = one_per_time(cleaned(raw).repartition("SID"))
+    storm = W.partitionBy("SID")
+    rows = rows.withColumns({"_near": F.max(F.year("TIME").between(first, last)).over(storm), "_six": F.max(on_hours("TIME", 6)).over(storm)}).where("_near").drop("_near")
+    rows = rows.where(F.when(F.col("_six"), on_hours("TIME", 6)).otherwise(on_hours("TIME", 3)))
+    kept = [c for c in rows.columns if c != "_six"]
+    out = _ticked(unwrapped(rows.where("_six").drop("_six"))).select(*kept).unionByName(rows.where("NOT _six").select(*kept))
     out = out.where(F.year("TIME").between(first, last))
     out = out.withColumns({"YEAR": F.year("TIME").cast("short"), "MONTH": F.month("TIME").cast("byte")})
     return out.withColumn("INTENSITY_CAT", intensity_category("USA_WIND") if "USA_WIND" in out.columns else F.lit(None).cast("string"))
