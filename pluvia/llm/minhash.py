@@ -269,12 +269,14 @@ class Texts:
     k: int
     link: int
 
+    def located(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, ...) with the doc_id and h of their texts."""
+        return rows.join(self.classes.select("id", "doc_id", "h"), "id")
+
     def compared(self, rows: DataFrame) -> DataFrame:
-        """Links of rows (task, id, known, piece)."""
+        """Links of rows (task, id, known, piece, doc_id, h)."""
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-        named = rows.join(self.classes.select("id", "doc_id", "h"), "id")
-        # texts meet their tasks in the same way at every size, in a shuffle by doc_id
-        found = texts.join(named.hint("merge"), ["doc_id", "h"]).select("task", "id", "known", "piece", "text")
+        found = texts.join(rows, ["doc_id", "h"]).select("task", "id", "known", "piece", "text")
         if self.again:
             found = found.groupBy("task", "id", "known", "piece").agg(F.first("text").alias("text"))
         return found.repartition("task").sortWithinPartitions("task").mapInArrow(_tasks(self.k, self.link), "u long, v long")
@@ -304,7 +306,8 @@ def links(texts: Texts, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
         guests = guests.select("component", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         own = own.unionByName(guests).distinct()
     own = own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece"))
-    part = components(texts.compared(own))
+    # texts meet their tasks in the same way at every size, in a shuffle by doc_id
+    part = components(texts.compared(texts.located(own).hint("merge")))
     if not some:
         return part
     part = stored(part, "parts").withColumnRenamed("component", "known")
@@ -319,7 +322,7 @@ def links(texts: Texts, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda o: F.when(F.col("piece") < 0, name(o, "piece")).otherwise(name(F.least("piece", o), F.greatest("piece", o))))
     with_main = F.when(F.col("piece") >= 0, F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: name("piece", -1 - o))).otherwise(F.array().cast("array<string>"))
     rows = rows.select(F.explode(F.concat(others, with_main)).alias("task"), "id", "known", "piece")
-    rows = stored(rows, "rest")
+    rows = stored(texts.located(rows), "rest")  # as a rule few: by the table's size Spark decides whether texts need a shuffle
     more = components(texts.compared(rows)).withColumnRenamed("id", "known")
     # what pairs of pieces have joined are parts; a part alone in a cluster is new as such
     alone = rows.select("known").distinct().select(F.col("known").alias("id"), "known")
