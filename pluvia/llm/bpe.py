@@ -34,7 +34,7 @@ from .common import give_back, runs, small_batches
 SHORT = 48  # parts; longer words go one at a time
 CACHE = 48 << 20  # bytes, about
 ENTRY = 180  # bytes of a cached piece beside its text and ids
-GROUP = 2 << 20  # characters encoded at once
+GROUP = 1 << 19  # characters encoded at once
 NONE = np.int32(2**31 - 1)
 
 
@@ -228,7 +228,9 @@ def merge_long(v: Vocabulary, parts: np.ndarray) -> list[int]:
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each of many runs, one after another."""
     ends = np.cumsum(lens)
-    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - lens), lens)
+    return out
 
 
 def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
