@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import ann, bpe, embed, langid, lm, minhash, mixing, quality, secrets, warc
+from . import ann, bpe, embed, langid, lm, lz, minhash, mixing, quality, repair, secrets, warc
 from .sql import SQL as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op10_minhash(spark: SparkSession, root: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, root, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_warc, op3_embedding_dedup, op4_mixing, op5_lm, op6_bpe, op7_quality, op8_secrets, op9_neighbours, op10_minhash)}
+def op11_repair(spark: SparkSession, root: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, root, "conversations")))
+
+
+def op12_lz(spark: SparkSession, root: str) -> DataFrame:
+    return lz.neighbours(table(spark, root, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_warc, op3_embedding_dedup, op4_mixing, op5_lm, op6_bpe, op7_quality, op8_secrets, op9_neighbours, op10_minhash, op11_repair, op12_lz)}
 
 __all__ = ["ORACLE", "QUERIES"]

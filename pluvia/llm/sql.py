@@ -76,3 +76,58 @@ deg AS (SELECT u, count(*) AS n FROM links GROUP BY ALL)
 SELECT e.vec_id, any_value(coalesce(deg.n, 0))::BIGINT AS n_links, min(to_id) AS component_id, e.vec_id = min(to_id) AS kept
 FROM e JOIN reach ON e.vec_id = reach.vec_id LEFT JOIN deg ON deg.u = e.vec_id GROUP BY e.vec_id
 """
+
+
+def _repair_sql() -> str:
+    """Turn by turn, the cheapest label of each state: cost in nine digits, then the audit, so that labels compare as text."""
+
+    def longer(x: str, add: str, letter: str) -> str:
+        return f"lpad((left({x}, 9)::BIGINT + {add})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}'"
+
+    def if_(ok: str, x: str) -> str:
+        return f"CASE WHEN {ok} THEN {x} ELSE '900000000' END"
+
+    mark = "md5(octet_length(encode(role))::VARCHAR || ':' || role || text)"
+    return rf"""
+WITH RECURSIVE k0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k1 AS (
+  SELECT *, xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS k FROM k0),
+d0 AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k1),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {mark}, copy) AS i FROM d0),
+d2 AS (
+  SELECT *, left(role, 1) AS r0, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM d1),
+d3 AS (SELECT *, CASE WHEN lag(r0) OVER (PARTITION BY conv_id ORDER BY i) || r0 NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS bad, fault IN (0, 3) AS whole, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut FROM d2),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+stat AS (
+  SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1)::BIGINT AS blank, count(*) FILTER (fault = 2)::BIGINT AS duplicate,
+         count(*) FILTER (fault = 3)::BIGINT AS truncated, coalesce(sum(bad), 0)::BIGINT AS illegal, coalesce(max(i), 0) AS n
+  FROM convs c LEFT JOIN d3 ON c.conv_id IS NOT DISTINCT FROM d3.conv_id GROUP BY c.conv_id),
+lab AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS l0, '900000000' AS ls, '900000000' AS lu, '900000000' AS la FROM convs
+  UNION ALL
+  SELECT x.conv_id, d3.i, {longer("l0", "3", "D")}, least({longer("ls", "3", "D")}, {if_("whole AND r0 = 's'", longer("l0", "cut", "K"))}),
+         least({longer("u1", "3", "D")}, {if_("whole AND r0 = 'u'", longer("least(l0, ls, a1)", "cut", "K"))}, {if_("whole", longer("least(l0, ls, a1)", "cut + 2", "R"))}),
+         least({longer("a1", "3", "D")}, {if_("whole AND r0 = 'a'", longer("u1", "cut", "K"))}, {if_("whole", longer("u1", "cut + 2", "R"))})
+  FROM (SELECT *, least(la, {longer("u1", "2", "I")}) AS a1 FROM (SELECT *, least(lu, {longer("l0", "2", "I")}, {longer("ls", "2", "I")}, {longer("la", "2", "I")}) AS u1 FROM lab)) x
+  JOIN d3 ON x.conv_id IS NOT DISTINCT FROM d3.conv_id AND d3.i = x.i + 1),
+fin AS (
+  SELECT stat.*, least(l0, la, {longer("u1", "2", "I")}) AS best FROM stat
+  JOIN (SELECT *, least(lu, {longer("l0", "2", "I")}, {longer("ls", "2", "I")}, {longer("la", "2", "I")}) AS u1 FROM lab) l ON stat.conv_id IS NOT DISTINCT FROM l.conv_id AND l.i = stat.n),
+one AS (SELECT * EXCLUDE (best), left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit, length(replace(substr(best, 10), 'D', '')) AS m FROM fin),
+let AS (SELECT conv_id, m, unnest(range(1, length(audit) + 1)) AS j, audit FROM one),
+pos AS (SELECT *, audit[j] AS c, sum(CASE WHEN audit[j] = 'D' THEN 0 ELSE 1 END) OVER w - 1 AS p, sum(CASE WHEN audit[j] = 'I' THEN 0 ELSE 1 END) OVER w AS i FROM let WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+fixed AS (
+  SELECT pos.conv_id, p, CASE WHEN c = 'K' THEN role WHEN (p - m % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END AS line
+  FROM pos LEFT JOIN d3 ON pos.conv_id IS NOT DISTINCT FROM d3.conv_id AND pos.i = d3.i WHERE c <> 'D'),
+told AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS s FROM fixed GROUP BY conv_id)
+SELECT one.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, coalesce(s, sha256('')) AS repaired_sha256
+FROM one LEFT JOIN told ON one.conv_id IS NOT DISTINCT FROM told.conv_id
+"""
+
+
+SQL["op11_repair"] = _repair_sql()
