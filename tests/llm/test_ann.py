@@ -95,3 +95,18 @@ def test_matrix_of_a_sliced_column():
     rows, x = matrix(c, 2)
     assert rows.tolist() == [1, 6] and x.tolist() == [[1.0, 2.0], [4.0, 5.0]]
     assert lists(x).to_pylist() == [[1.0, 2.0], [4.0, 5.0]]
+
+
+@pytest.mark.parametrize("kind", ["plane", "clusters", "repeats"])
+def test_every_query_gets_all_its_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "plane":
+        ids, x = np.arange(400), rng.standard_normal((400, 2))
+    elif kind == "clusters":
+        ids, x = np.arange(600), rng.standard_normal((6, 16))[rng.integers(0, 6, 600)] + 0.01 * rng.standard_normal((600, 16))
+    else:
+        ids, x = np.concatenate([np.arange(100), np.full(60, 40)]), rng.standard_normal((160, 4))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.search(df).groupBy("query_id").count().collect()
+    assert {r["query_id"] for r in got} == {int(i) for i in ids if i % 20 == 0}
+    assert {r["count"] for r in got} == {20}
