@@ -6,7 +6,7 @@ language's prototype is the bundle of its training texts. A text gets the langua
 highest cosine with it.
 
 Defined results: a text that is null or without a letter is ``und`` with score 0, as is every text if
-nothing can be learned from. Ties go to the language that sorts first. Rows are scored one by one, so
+nothing can be learned from. Texts of any length are bundled whole, in pieces whose borders do not show. Ties go to the language that sorts first. Rows are scored one by one, so
 repeated rows get equal results, and a row without doc_id is scored but never learned from. Columns other
 than the named ones are not read.
 """
@@ -76,15 +76,31 @@ def ngram_vectors(parts: np.ndarray, dims: int, seed: int) -> np.ndarray:
     return np.roll(v, 2, axis=1)[inv[:, 0]] * np.roll(v, 1, axis=1)[inv[:, 1]] * v[inv[:, 2]]
 
 
+def _pieces(text: str) -> list[tuple[str, int]]:
+    """Pieces of a text with signs, whose trigrams sum to the text's.
+
+    Where a text is cut, each side takes the border for a space. The four characters around it add the trigrams
+    over the border, and its two halves, with a negative sign, take away those with that space.
+    """
+    if len(text) <= _GROUP:
+        return [(text, 1)]
+    text = text.lower()  # before it is cut: a final sigma depends on what follows
+    out = [(text[a : a + _GROUP], 1) for a in range(0, len(text), _GROUP)]
+    for c in range(_GROUP, len(text), _GROUP):
+        out += [(text[c - 2 : c + 2], 1), (text[c - 2 : c], -1), (text[c : c + 2], -1)]
+    return out
+
+
 def bundle(texts: list[str], dims: int, seed: int, groups: np.ndarray | None = None) -> np.ndarray:
     """A vector for each text, or for each group of texts if `groups` gives their numbers from 0."""
     n = len(texts) if groups is None else int(groups.max()) + 1
     out = np.zeros((n, dims), np.float64)
-    pieces = [(i, t[a : a + _GROUP]) for i, t in enumerate(texts) for a in range(0, max(1, len(t)), _GROUP)]
-    for lo, hi in runs([len(t) for _, t in pieces], _GROUP):
-        owner = np.array([i for i, _ in pieces[lo:hi]])
+    pieces = [(i, *x) for i, t in enumerate(texts) for x in _pieces(t)]
+    for lo, hi in runs([len(t) for _, t, _ in pieces], _GROUP):
+        owner = np.array([i for i, *_ in pieces[lo:hi]])
         owner = owner if groups is None else groups[owner]
-        parts, text, row = trigrams([t for _, t in pieces[lo:hi]])
+        sign = np.array([x for *_, x in pieces[lo:hi]])
+        parts, text, row = trigrams([t for _, t, _ in pieces[lo:hi]])
         if not len(parts):
             continue
         step = max(1, _CELLS // max(dims, n))
@@ -93,7 +109,8 @@ def bundle(texts: list[str], dims: int, seed: int, groups: np.ndarray | None = N
         for s in range(0, len(parts), step):
             m = (row >= s) & (row < s + step) if len(parts) > step else slice(None)
             vec = ngram_vectors(parts[s : s + step], dims, seed)
-            counts = np.bincount(who[m] * len(vec) + row[m] - s, minlength=len(targets) * len(vec)).reshape(len(targets), -1)
+            weights = None if (sign > 0).all() else sign[text[m]]
+            counts = np.bincount(who[m] * len(vec) + row[m] - s, weights, minlength=len(targets) * len(vec)).reshape(len(targets), -1)
             out[targets] += counts.astype(np.float32) @ vec
     return out
 

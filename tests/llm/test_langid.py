@@ -67,3 +67,19 @@ def test_nothing_to_learn_from(spark, odd, empty):
     assert langid.identify(empty).count() == 0
     got = langid.predict(odd, {}).toPandas()
     assert (got.lang_pred == "und").all() and (got.score == 0).all()
+
+
+def test_pieces_of_long_texts_do_not_show(monkeypatch):
+    texts = ["one twoΣ three ΑΣ ΑΣΑ  --  fo ur" * 9, "x" * 100, "İa b" * 20, "a", "", " ab, c " * 11, "ΑΣ" * 40]
+    want = langid.bundle(texts, 64, 1)
+    for size in (2, 3, 7, 10, 31):
+        monkeypatch.setattr(langid, "_GROUP", size)
+        assert (langid.bundle(texts, 64, 1) == want).all()
+        assert (langid.bundle(texts, 64, 1, np.array([0, 1, 0, 1, 0, 1, 0])) == np.stack([want[::2].sum(0), want[1::2].sum(0)])).all()
+
+
+def test_a_text_above_the_real_size():
+    text = ("abc déf " * 140_000)[: langid._GROUP + 300]
+    half = langid._GROUP // 2 - langid._GROUP // 2 % 8
+    a, b = langid.bundle([text[:half], text[half:]], 32, 3)  # cut before a word
+    assert (langid.bundle([text], 32, 3)[0] == a + b).all()
