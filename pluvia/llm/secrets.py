@@ -13,7 +13,8 @@ only where its keyword ends up. Kinds:
 
 Defined results: a null text is empty and has no spans. Offsets count code points; ends are exclusive.
 Base kinds are leftmost and do not overlap among their own kind; a match that is too short is dropped
-but still covers its characters, as in a regular expression's scan. Repeated rows get equal results.
+but still covers its characters, as in a regular expression's scan. A scan is linear in the text: where a pattern fails
+only behind a run of characters, it is not tried again inside that run. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ PATTERNS = {
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
     "key": re.compile(rb"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----"),
 }
+JWT_RUN = re.compile(rb"eyJ[A-Za-z0-9_-]*")
 # Line ends may be written as in a string; a line may be quoted or indented.
 _EOL = rb"(?:\r\n?|\n|\\r\\n|\\n)"
 _LINE = rb"(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*|[A-Za-z0-9+/]+={0,2})"
@@ -122,6 +124,8 @@ def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
             covered[kind] = end = _end(kind, text, m)
             if _holds(kind, m):
                 found.append((start, KINDS.index(kind), end))
+        elif kind == "jwt" and (run := JWT_RUN.match(text, start)):
+            covered[kind] = run.end()  # what follows the run decides, for every start inside it
     digits = text.translate(_HEX)
     at = digits.find(_HEX_RUN)
     while at >= 0:
