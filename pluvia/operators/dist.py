@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import display_lon
+from . import selection
 
 LEVELS = (0.1, 0.5, 0.9, 0.99)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """keys, q10, q50, ... : exact quantiles with linear interpolation."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q"))
+    """keys, q10, q50, ... : exact quantiles with linear interpolation, by selection; no task holds a group."""
+    q = selection.quantiles(df, keys, value, levels)
     return q.select(*keys, *(F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(levels)))
 
 
 def medians_and_counts(df: DataFrame, keys: Sequence[str], value: str, year: str = "YEAR") -> DataFrame:
-    """keys, n, median, mean_of_years: pooled count and median, and the mean of annual means."""
-    pooled = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+    """keys, n, median, mean_of_years: pooled count and median, and the mean of annual means; null is a key like others."""
+    pooled = selection.quantiles(df, keys, value, [0.5]).select(*keys, "n", F.col("q")[0].alias("median"))
     means = df.groupBy(*keys, year).agg(F.avg(value).alias("_m")).groupBy(*keys).agg(F.avg("_m").alias("mean_of_years"))
-    return pooled.join(means, list(keys))
+    on = [pooled[k].eqNullSafe(means[k]) for k in keys]
+    return pooled.join(means, on).select(*(pooled[k] for k in keys), "n", "median", "mean_of_years")
 
 
 def histogram_density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, bins: int = 40) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import is_wet
+from . import selection
 
 # Fixed values.
 LOW, HIGH, BINS, QUANTILE = 0.3, 120.0, 500, 0.99
@@ -70,10 +71,9 @@ def from_histogram(hist: DataFrame, key: str = "ROW") -> DataFrame:
 
 
 def exact(cells: DataFrame, value: str, key: str = "ROW") -> DataFrame:
-    """key, N_WET, POT99: the value at the nearest rank, ceil(0.99 n), of the sorted wet values."""
-    w = W.partitionBy(key).orderBy(F.col(value).cast("float"))
-    r = cells.where(is_wet(value)).select(key, F.col(value).cast("float").alias("v"), F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(W.partitionBy(key)).alias("N_WET"))
-    return r.where(F.col("r") == F.ceil(F.lit(QUANTILE) * F.col("N_WET"))).select(key, "N_WET", F.col("v").alias("POT99"))
+    """key, N_WET, POT99: the value at the nearest rank, ceil(0.99 n), of the wet values, by selection."""
+    wet = cells.where(is_wet(value)).select(key, F.col(value).cast("float").alias("v"))
+    return selection.nearest_rank(wet, [key], "v", QUANTILE, "POT99").select(key, F.col("n").alias("N_WET"), "POT99")
 
 
 def refined(cells: DataFrame, value: str, key: str = "ROW", hist: DataFrame | None = None) -> DataFrame:

@@ -1,17 +1,28 @@
 """Theil-Sen slopes, Sen lines and the Mann-Kendall test for many series at once.
 
-A series is all rows with the same keys. Its points (t, y) are collected into one sorted array, which is
-small (a point a year), and pairs are formed inside the row by higher-order functions, so that a batch of
-series costs one shuffle of its points and no self-join. Rows with null or non-finite y, or null t, are
-left out. Where points of a series may be many, `slopes_by_join` forms pairs by a keyed self-join.
+A series is all rows with the same keys. Its points (t, y) are collected into one sorted array, so that a batch
+of series costs one shuffle of its points and no self-join. Up to PAIRWISE points (years, months), pairs are
+formed inside the row by higher-order functions; longer series (days, three-hour steps) go to numpy, which
+selects the median slope and counts inversions in O(n log n), see `slopes`. Both give the same statistics. Rows
+with null or non-finite y, or null t, are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.normal import two_sided
+from ..session import ship
+from .slopes import median_slope, signs
+
+#: Points of a series whose pairs are formed in one row.
+PAIRWISE = 256
 
 
 def _finite(y: str) -> Column:
@@ -45,13 +56,40 @@ def slope_of() -> Column:
     return F.when(F.size("p") >= 3, median_of(_pairs(lambda a, b: (b["y"] - a["y"]) / (b["t"] - a["t"]))))
 
 
+def with_statistics(p: DataFrame) -> DataFrame:
+    """Rows with p, an array of points sorted by t, with slope (by unit of t), s and tie (of Mann-Kendall).
+
+    slope is null with fewer than three points, or without two of different t.
+    """
+    short = p.where(F.size("p") <= PAIRWISE).withColumn("slope", slope_of()).withColumn("s", F.aggregate(_pairs(lambda a, b: F.signum(b["y"] - a["y"])), F.lit(0.0), lambda a, x: a + x))
+    ys = F.transform("p", lambda q: q["y"])
+    ties = F.transform(F.array_distinct(ys), lambda v: F.size(F.filter(ys, lambda x: x == v)).cast("double"))
+    short = short.withColumn("tie", F.aggregate(ties, F.lit(0.0), lambda a, c: a + c * (c - 1) * (2 * c + 5)))
+    at, names = p.columns.index("p"), [*p.columns, "slope", "s", "tie"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            points = b.column(at)
+            parts = points.flatten()
+            t, y = (parts.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("t", "y"))
+            ends = np.cumsum([0, *points.value_lengths().to_pylist()])
+            found = [(median_slope(t[i:j], y[i:j]), *map(float, signs(t[i:j], y[i:j]))) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.record_batch([*b.columns, *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], names)
+
+    ship(p.sparkSession)
+    schema = StructType([*p.schema.fields, *(StructField(k, DoubleType()) for k in names[-3:])])
+    return short.unionByName(p.where(F.size("p") > PAIRWISE).mapInArrow(run, schema))
+
+
 def theil_sen(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", per: float = 10.0, out: str = "slope") -> DataFrame:
     """keys, `out`: the median of pairwise slopes times `per` (10: by decade from years)."""
-    return points(df, keys, y, t).select(*keys, (slope_of() * per).alias(out))
+    return with_statistics(points(df, keys, y, t)).select(*keys, (F.col("slope") * per).alias(out))
 
 
 def slopes_by_join(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", per: float = 10.0, out: str = "slope") -> DataFrame:
-    """As `theil_sen`, by a self-join on the keys and an exact percentile: for series of many points."""
+    """As `theil_sen`, by a self-join on the keys: every pair is a row, so it is for checks and short series."""
     one = df.select(*keys, F.col(t).cast("double").alias("_t"), _finite(y).alias("_y")).where("_y IS NOT NULL AND _t IS NOT NULL")
     a, b = one.alias("a"), one.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
@@ -71,7 +109,7 @@ def sen_line(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", joint: boo
     p = df.groupBy(*keys).agg(F.collect_list(one).alias("all"))
     known = F.filter("all", lambda q: q["x"].isNotNull() & q["y"].isNotNull())
     p = p.withColumn("p", F.array_sort(F.transform(known, lambda q: F.struct(q["x"].alias("t"), q["y"].alias("y")))))
-    p = p.withColumn("slope", slope_of())
+    p = with_statistics(p).drop("s", "tie")
     if joint:
         p = p.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
         level = median_of(F.transform("p", lambda q: q["y"] - F.col("slope") * q["t"]))
@@ -87,23 +125,19 @@ def mann_kendall(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", full:
 
     Null with fewer than three points, 1 if the variance is not positive.
     """
-    return _tested(points(df, keys, y, t)).select(*keys, *(["n", "s", "var", "z"] if full else []), "p_value")
+    return _tested(with_statistics(points(df, keys, y, t))).select(*keys, *(["n", "s", "var", "z"] if full else []), "p_value")
 
 
 def _tested(p: DataFrame) -> DataFrame:
-    """Rows with p, an array of points, with n, s, var, z, p_value of the test."""
+    """Rows of `with_statistics` with n, var, z, p_value of the test."""
     p = p.withColumn("n", F.size("p").cast("long"))
-    p = p.withColumn("s", F.aggregate(_pairs(lambda a, b: F.signum(b["y"] - a["y"])), F.lit(0.0), lambda a, x: a + x))
-    ys = F.transform("p", lambda q: q["y"])
-    ties = F.transform(F.array_distinct(ys), lambda v: F.size(F.filter(F.transform("p", lambda q: q["y"]), lambda x: x == v)).cast("double"))
-    tie_sum = F.aggregate(ties, F.lit(0.0), lambda a, c: a + c * (c - 1) * (2 * c + 5))
     n = F.col("n").cast("double")
-    p = p.withColumn("var", (n * (n - 1) * (2 * n + 5) - tie_sum) / 18)
+    p = p.withColumn("var", (n * (n - 1) * (2 * n + 5) - F.col("tie")) / 18)
     p = p.withColumn("z", F.when(F.col("var") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var")))
     return p.withColumn("p_value", F.when(F.col("n") < 3, None).when(F.col("var") <= 0, 1.0).otherwise(two_sided(F.col("z"))))
 
 
 def trends(df: DataFrame, keys: list[str], y: str, t: str = "YEAR", per: float = 10.0) -> DataFrame:
     """keys, slope, p_value, n: both statistics from one pass over the series; null is a key like others."""
-    p = points(df, keys, y, t).withColumn("slope", slope_of() * per)
+    p = with_statistics(points(df, keys, y, t)).withColumn("slope", F.col("slope") * per)
     return _tested(p).select(*keys, "slope", "n", "p_value")

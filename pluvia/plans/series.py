@@ -63,7 +63,32 @@ def theil_sen_by_domain(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {MONTHLY}, {trend_sql('mo', 'BASIN', 'y', 't', '120')} SELECT BASIN, round(slope, 6) AS slope FROM sl")
 def theil_sen_long_series(spark: SparkSession, root: str) -> DataFrame:
-    return trend.slopes_by_join(monthly(spark, root), ["BASIN"], "y", "t", 120).select("BASIN", *r("slope"))
+    return trend.theil_sen(monthly(spark, root), ["BASIN"], "y", "t", 120).select("BASIN", *r("slope"))
+
+
+# A point a day: some 2,500 in each series, three million pairs.
+DAILY = "da AS (SELECT l_returnflag AS k, date_diff('day', DATE '1995-01-01', l_shipdate::DATE)::BIGINT AS t, avg(l_extendedprice) AS y, (sum(l_partkey) % 40)::DOUBLE AS tied FROM lineitem GROUP BY ALL)"
+
+
+def daily(spark: SparkSession, root: str) -> DataFrame:
+    day = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("long")
+    return table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("k"), day.alias("t")).agg(F.avg("l_extendedprice").alias("y"), (F.sum("l_partkey") % 40).cast("double").alias("tied"))
+
+
+@query(f"WITH {DAILY}, {trend_sql('da', 'k', 'y', 't', '3652.5')} SELECT k, n, s, round(slope, 6) AS slope, round(p_value, 6) AS p_value FROM sl JOIN mk USING (k)")
+def daily_trends(spark: SparkSession, root: str) -> DataFrame:
+    """Slope by decade and test of daily means."""
+    d = daily(spark, root)
+    test = trend.mann_kendall(d, ["k"], "y", "t", full=True)
+    return trend.theil_sen(d, ["k"], "y", "t", 3652.5).join(test, "k").select("k", "n", "s", *r("slope", "p_value"))
+
+
+@query(f"WITH {DAILY}, {trend_sql('da', 'k', 'tied', 't', '1')} SELECT k, n, s, round(var, 4) AS var, round(slope, 9) AS slope, round(p_value, 6) AS p_value FROM sl JOIN mk USING (k)")
+def daily_trends_with_ties(spark: SparkSession, root: str) -> DataFrame:
+    """As before, where values and slopes repeat."""
+    d = daily(spark, root)
+    test = trend.mann_kendall(d, ["k"], "tied", "t", full=True)
+    return trend.theil_sen(d, ["k"], "tied", "t", 1.0).join(test, "k").select("k", "n", "s", *r("var", digits=4), *r("slope", digits=9), *r("p_value"))
 
 
 @query(f"WITH {MONTHLY}, {trend_sql('mo', 'BASIN', 'y', 't', '1')} SELECT BASIN, n, s, round(var, 6) AS var, round(z, 6) AS z, round(p_value, 6) AS p_value FROM mk")
