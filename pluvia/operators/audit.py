@@ -19,7 +19,8 @@ def counted(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def passed(report: DataFrame) -> bool:
-    return report.where("failures > 0").isEmpty()
+    """Whether nothing failed; warnings do not count."""
+    return report.where("failures > 0 AND NOT startswith(check, 'warning')").isEmpty()
 
 
 def duplicates(df: DataFrame, keys: list[str], name: str = "duplicate keys") -> DataFrame:
@@ -65,21 +66,29 @@ def monotonic(df: DataFrame, order: str, value: str, down: bool = True) -> DataF
     return df.select(step.alias("s")).agg(F.lit("monotonic axis").alias("check"), F.coalesce(F.sum(F.when((F.col("s") >= 0) if down else (F.col("s") <= 0), 1)), F.lit(0)).cast("long").alias("failures"))
 
 
-def cells(attributed: DataFrame, interpolated_times: list[str] = ()) -> DataFrame:
-    """The cell table: no nulls, wet strictly, rates, coordinates of the rows, provenance flags, one year."""
+def cells(attributed: DataFrame, interpolated_times: list[str] = (), year: int | None = None) -> DataFrame:
+    """The cell table: no nulls, wet strictly, amounts three times the rates, coordinates of the rows, provenance flags, years of the times.
+
+    year: the table must be of that year alone and not empty, and a warning counts 1 if it has no North Atlantic rows.
+    """
     names = [F.lit(t).cast("timestamp") for t in interpolated_times]
     flagged = F.col("TIME").isin(*names) if names else F.lit(False)
+    lon, p = F.col("GRID_LON"), F.col("PRECIP_3H_MM").cast("double")
+    own = F.year("TIME") == F.col("YEAR")
     checks = {f"null {c}": F.col(c).isNotNull() for c in attributed.columns}
     checks |= {
         "wet": F.col("PRECIP_3H_MM") > F.lit(WET_MM_3H).cast("float"),
-        "rate": F.abs(F.col("PRECIP_MMHR") * 3 - F.col("PRECIP_3H_MM")) <= 1e-5 * F.greatest(F.lit(1.0), F.col("PRECIP_3H_MM").cast("double")),
+        "rate": F.abs(F.try_divide(p, F.col("PRECIP_MMHR").cast("double")) - 3) <= 1e-5,
         "cell latitude": F.abs(F.col("GRID_LAT") - row_lat("ROW")) <= 3e-4,
-        "cell longitude": F.abs(wrapped_delta("GRID_LON", row_lon("ROW"))) <= 3e-4,
+        "cell longitude": (F.abs(lon - row_lon("ROW")) <= 3e-4) & (lon >= 0) & (lon < 360),
         "storm longitude": (F.col("TC_LON_360") >= 0) & (F.col("TC_LON_360") < 360),
         "flag": F.col("IS_INTERPOLATED_TIMESTEP") == flagged,
-        "year": F.year("TIME") == F.col("YEAR"),
+        "year": own if year is None else own & (F.col("YEAR") == year),
     }
-    return counted(attributed, checks)
+    if year is None:
+        return counted(attributed, checks)
+    whole = attributed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("BASIN") == "NA").alias("na"))
+    return counted(attributed, checks).unionByName(counted(whole, {"not empty": F.col("n") > 0, "warning: no North Atlantic": F.col("na") > 0}))
 
 
 def cell_summary(attributed: DataFrame) -> DataFrame:

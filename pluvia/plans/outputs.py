@@ -10,7 +10,9 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import row_lat, row_lon
 from ..operators import audit, bands, bootstrap, decompose, features, report
+from ..session import shared_dir
 from ..sources import files
 from ..sources.tables import table
 from . import figures
@@ -197,6 +199,29 @@ def audit_cells(spark: SparkSession, root: str) -> DataFrame:
     return audit.cells(a.select(*CELL_COLUMNS))
 
 
+# Each rule is broken by the smallest of several steps that exceeds its limit: 4.5e-6 of the rate, 3.6e-4 and 4e-4 degrees, a turn.
+LIMITS = {"rate": "abs(l_linenumber - 4) = 3", "cell latitude": "abs(l_partkey % 7 - 3) = 3", "cell longitude": "(abs(l_suppkey % 5 - 2) = 2 OR l_orderkey % 31 = 0)", "storm longitude": "l_suppkey % 11 = 0", "wet": "l_partkey % 13 = 0", "year": "year(l_shipdate) <> 1997", "flag": "l_linenumber = 2"}
+
+
+@query(
+    f"""SELECT "check", CASE {" ".join(f"WHEN \"check\" = '{c}' THEN (SELECT count(*) FROM lineitem WHERE {rule})" for c, rule in LIMITS.items())} WHEN "check" = 'warning: no North Atlantic' THEN 1 ELSE 0 END::BIGINT AS failures
+FROM (VALUES {", ".join(f"('{c}')" for c in (*(f"null {c}" for c in CELL_COLUMNS), "wet", "rate", "cell latitude", "cell longitude", "storm longitude", "flag", "year", "not empty", "warning: no North Atlantic"))}) t("check")"""
+)
+def audit_cell_limits(spark: SparkSession, root: str) -> DataFrame:
+    """Cells whose values lie just within and just beyond what each rule allows, judged as the table of 1997."""
+    li = table(spark, root, "lineitem")
+    row = F.pmod(F.col("l_orderkey") * 977 + F.col("l_linenumber"), F.lit(6_480_000)).cast("int")
+    p = F.when(F.col("l_partkey") % 13 == 0, F.lit(0.3)).otherwise(F.col("l_quantity") + 0.31).cast("float")
+    off = lambda c, m, k, step: (F.col(c) % m - k) * step
+    cells = li.select(
+        F.lit("S").alias("SID"), F.col("l_shipdate").alias("TIME"), F.year("l_shipdate").alias("YEAR"), F.lit("WP").alias("BASIN"), F.lit(1.0).alias("TC_LAT"),
+        F.when(F.col("l_suppkey") % 11 == 0, 360.0).otherwise(359.99).alias("TC_LON_360"), (row_lat(row) + off("l_partkey", 7, 3, 1.2e-4)).alias("GRID_LAT"),
+        (row_lon(row) + off("l_suppkey", 5, 2, 2e-4) - F.when(F.col("l_orderkey") % 31 == 0, 360.0).otherwise(0.0)).alias("GRID_LON"), p.alias("PRECIP_3H_MM"),
+        (p.cast("double") / 3 * (1 + (F.col("l_linenumber") - 4) * 1.5e-6)).alias("PRECIP_MMHR"), (F.col("l_linenumber") == 2).alias("IS_INTERPOLATED_TIMESTEP"), row.alias("ROW"),
+    )
+    return audit.cells(cells, year=1997)
+
+
 @query(
     f"""{ATTRIBUTED},
 ad2 AS (SELECT *, fmod(fmod(glo - LON + 180, 360) + 360, 360) - 180 AS r FROM ac),
@@ -233,8 +258,8 @@ def audit_grid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's warehouse, which executors share; deleted at the end if it is a local path."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/pluvia-{uuid.uuid4().hex}"
+    """A new folder in the folder that the executors share; deleted at the end if it is a local path."""
+    path = f"{shared_dir(spark)}/pluvia-{uuid.uuid4().hex}"
     if urlparse(path).scheme in ("", "file"):
         atexit.register(shutil.rmtree, urlparse(path).path, True)
     return path

@@ -35,3 +35,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a temporary folder stands in if the application is one local process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir()
+    if found is None:
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="pluvia-"))
+        found = sc.getCheckpointDir()
+    return found
