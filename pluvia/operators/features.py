@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import LONGITUDES, RADIUS_KM, haversine_km, lon360, row_lat, row_lon, wrapped_delta
 from ..functions.scalars import dry_if_invalid, is_wet, rate
+from ..session import ship
 
 # Radii in km, km in a degree, least cosine and greatest half-width of the window.
 OUTER_KM, CENTRE_KM = 1000.0, 500.0
@@ -87,6 +88,7 @@ def labelled(wet: DataFrame, keys: tuple[str, ...] = ("SID", "TIME")) -> DataFra
         first = connected(t.column("_i").to_numpy(), t.column("_j").to_numpy())
         return t.select([*keys, "ROW"]).append_column("FEATURE", pa.array(rows[first], pa.int32()))
 
+    ship(wet.sparkSession)
     kinds = ", ".join(f"{k} {wet.schema[k].dataType.simpleString()}" for k in keys)
     names = light.groupBy(*keys).applyInArrow(label, f"{kinds}, ROW int, FEATURE int")
     return wet.drop("_i", "_j").join(names, [*keys, "ROW"])
@@ -126,6 +128,7 @@ def attributed(tracks: DataFrame, fields: DataFrame, outer: float = OUTER_KM, ce
         near = distance_km(lat, lon, la, (lon + dl) % 360) <= centre
         return t.select(kept).filter(pa.array(near[own]))
 
+    ship(rows.sparkSession)
     return rows.groupBy("SID", "TIME").applyInArrow(judge, rows.select(*kept).schema)
 
 

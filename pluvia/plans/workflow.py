@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import row_lat, row_lon
 from ..functions.scalars import is_wet
 from ..operators import bands, bootstrap, decompose, events, features, fields, report, thresholds, tracks, trend
+from ..session import ship
 from ..sources import files
 from . import figures
 
@@ -60,6 +61,7 @@ def field_table(spark: SparkSession, s: Settings) -> DataFrame:
     if s.netcdf:
         listing, new = (files.listing(spark, p) if p else None for p in (s.fields, s.overrides))
         index = fields.index(listing, new).join(calendar.select("NAME"), "NAME") if s.partial else fields.complete_index(calendar, listing, new)
+        ship(spark)
         spark.dataSource.register(files.FieldSource)
         paths = "\n".join(sorted(r["PATH"] for r in index.collect()))  # a path for each time step
         return spark.read.format(files.FieldSource.name()).option("variable", s.variable).option("paths", paths).load()

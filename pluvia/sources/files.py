@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import checked_units
+from ..session import ship
 
 # The track archive's columns.
 TRACK_COLUMNS = ("SID", "SEASON", "BASIN", "NAME", "ISO_TIME", "LAT", "LON", "TRACK_TYPE", "USA_STATUS", "USA_WIND", "USA_PRES", "IFLAG")
@@ -109,9 +110,12 @@ def parquet_footers(spark: SparkSession, path: str, pattern: str = "*.parquet")
             cols = [[m.num_rows for m in meta], [m.num_row_groups for m in meta], [m.schema.names for m in meta]]
             yield pa.record_batch([*b.columns, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string()))], ["PATH", "SIZE", "rows", "row_groups", "columns"])
 
+    ship(spark)
     return names.mapInArrow(read, "PATH string, SIZE long, rows long, row_groups long, columns array<string>")
 
 
+# How a file may write that its field is interpolated.
+FLAGS = {"true": True, "1": True, "1.0": True, "false": False, "0": False, "0.0": False, "": False}
 FIELD_SCHEMA = "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean"
 
 
@@ -161,6 +165,14 @@ def field_time(name: str):
     return datetime(int(m[1]), 1, 1) + timedelta(days=int(m[2]) - 1, hours=int(m[3]))
 
 
+def flag(value) -> bool:
+    """A flag that is written as a text, a number or a boolean."""
+    text = str(value).strip().lower()
+    if text not in FLAGS:
+        raise ValueError(f"{value!r} is no flag")
+    return FLAGS[text]
+
+
 def field_batches(data, name: str, variable: str) -> Iterator:
     """Arrow batches of a data set with variables lat, lon and `variable` (two-dimensional, any axis order)."""
     import numpy as np
@@ -177,7 +189,7 @@ def field_batches(data, name: str, variable: str) -> Iterator:
     order = np.argsort(lon % 360, kind="stable")
     if not (np.diff((lon % 360)[order]) > 0).all():
         raise ValueError(f"longitudes of {name} repeat")
-    when, marked = field_time(name), bool(int(getattr(data, "is_interpolated", 0)))
+    when, marked = field_time(name), flag(getattr(data, "is_interpolated", False))
     for i in range(len(lat)):
         rows = np.rint((89.95 - lat[i]) / 0.1) * 3600 + np.rint(((lon % 360)[order] - 0.05) / 0.1)
         v = x[i, order]
