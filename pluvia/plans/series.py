@@ -9,8 +9,8 @@ from ..operators import bands, bootstrap, decompose, dist, report, trend
 from ..sources.tables import table
 from .base import BAND_TABLE, COMPONENTS, EVENTS, LONG_COMPONENTS, YEARS, band_sql, query, storm_events, trend_sql
 
-#: The bootstrap's own replicates; every series has a point for each of the seven years.
-HOW = {"block": bootstrap.BLOCK_YEARS, "repetitions": bootstrap.REPETITIONS, "seed": bootstrap.SEED, "lengths": (YEARS[1] - YEARS[0] + 1,)}
+#: The bootstrap's own replicates.
+HOW = {"block": bootstrap.BLOCK_YEARS, "repetitions": bootstrap.REPETITIONS, "seed": bootstrap.SEED}
 
 
 def r(*cols: str, digits: int = 6) -> list:
