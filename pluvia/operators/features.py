@@ -1,8 +1,8 @@
 """Rain features around storms: candidate cells, connected wet regions, and which of them belong.
 
-Storms meet cells by an equi-join on the time step and a tile of latitude: each storm lists the few tiles
-its window covers, so a time step's cells are never compared with far storms, and the window and distance
-are checked on what is left. Only the labelling of connected cells, a walk within one storm's time step,
+Storms meet cells by an equi-join on the time step and a tile of latitude and longitude: each storm lists the tiles
+that its window covers, over the seam at 0/360 and towards the poles, so that a time step's cells are compared with
+near storms only, and the window and distance are checked on what is left. Only the labelling of connected cells, a walk within one storm's time step,
 runs in numpy on grouped Arrow data.
 """
 
@@ -14,13 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import LONGITUDES, RADIUS_KM, haversine_km, lon360, row_lat, row_lon, wrapped_delta
-from ..functions.scalars import dry_if_invalid, is_wet, rate
+from ..functions.scalars import is_wet, rate
 from ..session import ship
 
 # Radii in km, km in a degree, least cosine and greatest half-width of the window.
 OUTER_KM, CENTRE_KM = 1000.0, 500.0
 DEGREE_KM, LEAST_COS, WIDEST = 111.0, 0.08, 170.0
-TILE = 5.0
+TILE, TILE_LON = 5.0, 15.0
+
+
+def met(tracks: DataFrame, fields: DataFrame, radius: float = OUTER_KM, precip: str = "PRECIP_3H_MM") -> DataFrame:
+    """Storms with all cells of the tiles that their windows touch, and _half and _wide, the window's half sides in degrees.
+
+    A storm without a position has no cells. A tile is listed once: a window is 340 degrees wide at most.
+    """
+    lat, lon, half = F.col("LAT").cast("double"), lon360(F.col("LON").cast("double")), radius / DEGREE_KM
+    wide = F.least(F.lit(radius) / (DEGREE_KM * F.greatest(F.cos(F.radians(lat)), F.lit(LEAST_COS))), F.lit(WIDEST))
+    tile = lambda c, size: F.floor(c / size).cast("int")
+    t = tracks.where(F.col("LAT").isNotNull() & F.col("LON").isNotNull() & ~F.isnan(lat) & ~F.isnan(F.col("LON").cast("double")))
+    t = t.withColumn("_half", F.lit(half)).withColumn("_wide", wide)
+    t = t.withColumn("_i", F.explode(F.sequence(tile(lat - half, TILE), tile(lat + half, TILE))))
+    t = t.withColumn("_j", F.explode(F.sequence(tile(lon - F.col("_wide"), TILE_LON), tile(lon + F.col("_wide"), TILE_LON)))).withColumn("_j", F.pmod("_j", F.lit(int(360 / TILE_LON))))
+    f = fields.select("TIME", "ROW", precip, "IS_INTERPOLATED", row_lat("ROW").alias("GRID_LAT"), row_lon("ROW").alias("GRID_LON"))
+    f = f.withColumn("_i", tile(F.col("GRID_LAT"), TILE)).withColumn("_j", tile(F.col("GRID_LON"), TILE_LON))
+    return f.join(t, ["TIME", "_i", "_j"]).drop("_i", "_j")
 
 
 def candidates(tracks: DataFrame, fields: DataFrame, radius: float = OUTER_KM, precip: str = "PRECIP_3H_MM") -> DataFrame:
@@ -29,22 +46,15 @@ def candidates(tracks: DataFrame, fields: DataFrame, radius: float = OUTER_KM, p
     tracks: SID, TIME, LAT, LON and others, which stay; fields: TIME, ROW, precip, IS_INTERPOLATED. Adds
     GRID_LAT, GRID_LON, DLON (signed, from the storm) and DIST_KM. A storm without a position has no cells.
     """
-    half = radius / DEGREE_KM
-    t = tracks.where(F.col("LAT").isNotNull() & F.col("LON").isNotNull() & ~F.isnan(F.col("LAT").cast("double")) & ~F.isnan(F.col("LON").cast("double")))
-    tile = lambda c: F.floor(c / TILE).cast("int")
-    t = t.withColumn("_tile", F.explode(F.sequence(tile(F.col("LAT").cast("double") - half), tile(F.col("LAT").cast("double") + half))))
-    wide = F.least(F.lit(radius) / (DEGREE_KM * F.greatest(F.cos(F.radians(F.col("LAT").cast("double"))), F.lit(LEAST_COS))), F.lit(WIDEST))
-    f = fields.select("TIME", "ROW", precip, "IS_INTERPOLATED", row_lat("ROW").alias("GRID_LAT"), row_lon("ROW").alias("GRID_LON"))
-    f = f.withColumn("_tile", tile(F.col("GRID_LAT")))
-    j = f.join(t, ["TIME", "_tile"]).drop("_tile")
-    j = j.withColumn("DLON", wrapped_delta("GRID_LON", lon360("LON")))
-    j = j.where((F.abs(F.col("GRID_LAT") - F.col("LAT")) <= half) & (F.abs(F.col("DLON")) <= wide))
+    j = met(tracks, fields, radius, precip).withColumn("DLON", wrapped_delta("GRID_LON", lon360("LON")))
+    j = j.where((F.abs(F.col("GRID_LAT") - F.col("LAT")) <= F.col("_half")) & (F.abs(F.col("DLON")) <= F.col("_wide"))).drop("_half", "_wide")
     return j.withColumn("DIST_KM", haversine_km("LAT", "LON", "GRID_LAT", "GRID_LON"))
 
 
 def wet_cells(near: DataFrame, radius: float = OUTER_KM, precip: str = "PRECIP_3H_MM") -> DataFrame:
-    """Wet candidates within the radius; missing and negative values are dry."""
-    return near.withColumn(precip, dry_if_invalid(precip)).where(is_wet(precip) & (F.col("DIST_KM") <= radius))
+    """Wet candidates within the radius; missing, negative and infinite values are dry."""
+    # plain on the column, so that it reaches the fields' files before the join
+    return near.where(is_wet(precip) & (F.col("DIST_KM") <= radius))
 
 
 def connected(i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import dataclasses
+import math
 from datetime import datetime
 
 import numpy as np
@@ -129,6 +130,28 @@ def test_window_clips_the_circle_in_the_north(spark):
     assert 19.05 not in got
 
 
+def test_tiles_lose_no_cell_and_spare_pairs(spark):
+    """Storms at the seam, near the poles and on the edges of tiles, against every cell of a coarse grid."""
+    cells = [i * 3600 + j for i in range(0, 1800, 20) for j in range(0, 3600, 30)]
+    t0 = T0
+    f = spark.createDataFrame([(t0, r, 1.0, False) for r in cells], "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean")
+    storms = [(f"S{k}", t0, float(lat), float(lon)) for k, (lat, lon) in enumerate([(0, 0), (10, 359.95), (-45, 15), (45, 14.95), (80, 180), (89, 3), (-88, 270), (20, -179.9), (-5, 5), (60, 0.05)])]
+    t = spark.createDataFrame(storms, "SID string, TIME timestamp, LAT double, LON double")
+    got = {(r["SID"], r["ROW"]) for r in features.candidates(t, f).select("SID", "ROW").collect()}
+    want = set()
+    for sid, _, lat, lon in storms:
+        wide = min(1000 / (111 * max(math.cos(math.radians(lat)), 0.08)), 170)
+        for r in cells:
+            la, lo = 89.95 - r // 3600 * 0.1, r % 3600 * 0.1 + 0.05
+            if abs(la - lat) <= 1000 / 111 and abs((lo - lon % 360 + 180) % 360 - 180) <= wide:
+                want.add((sid, r))
+    assert got == want
+    near = t.where("abs(LAT) <= 20")
+    rings = sum(abs(math.floor((89.95 - r // 3600 * 0.1) / 5) - k) == 0 for _, _, lat, _ in storms if abs(lat) <= 20 for k in range(math.floor((lat - 1000 / 111) / 5), math.floor((lat + 1000 / 111) / 5) + 1) for r in cells)
+    assert features.met(near, f).count() * 5 < rings
+    assert features.met(t, f).groupBy("SID", "ROW").count().where("count > 1").isEmpty()
+
+
 def test_cells_are_sound(spark):
     t, f = storm(spark, [(0.05, 0.05, 1.0), (-0.05, 0.05, 2.0), (0.05, 359.95, 1.5)])
     a = features.attributed(t, f)
