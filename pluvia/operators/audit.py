@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geo import grid_row, haversine_km, row_lat, row_lon, wrapped_delta
 from ..functions.scalars import WET_MM_3H, units_accepted
+from ..sources.files import GRID, GRID_TOLERANCE
 from .events import ROWS, build_events
 from .thresholds import WET_SAMPLE_RULE
 
@@ -31,9 +32,8 @@ def columns_missing(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
-# Columns that a track archive must have, and the grid's shape and ends in degrees.
+# Columns that a track archive must have.
 REQUIRED = ("SID", "SEASON", "BASIN", "NAME", "ISO_TIME", "LAT", "LON", "TRACK_TYPE", "USA_WIND", "USA_PRES")
-GRID = {"lat": (1800, 89.95, -89.95), "lon": (3600, -179.95, 179.95)}
 
 
 def inputs(raw_tracks: DataFrame, names: DataFrame, listing: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def inputs(raw_tracks: DataFrame, names: DataFrame, listing: DataFrame) -> DataF
     return t.unionByName(duplicates(raw_tracks, ["SID", "TIME"], "duplicate positions")).unionByName(gone).unionByName(extra)
 
 
-def grid(axes: DataFrame, unit: str | None, shape: dict[str, tuple[int, float, float]] = GRID, tolerance: float = 2e-3) -> DataFrame:
+def grid(axes: DataFrame, unit: str | None, shape: dict[str, tuple[int, float, float]] = GRID, tolerance: float = GRID_TOLERANCE) -> DataFrame:
     """check, failures of a field's axes, rows (AXIS, POS, VALUE), and its unit: sizes, directions, ends.
 
     Latitudes must fall and longitudes rise, both without a repeat.
@@ -60,6 +60,29 @@ def grid(axes: DataFrame, unit: str | None, shape: dict[str, tuple[int, float, f
     return counted(per, checks | {"unit": units_accepted(F.lit(unit))})
 
 
+def axis_summaries(axes: DataFrame) -> DataFrame:
+    """NAME, AXIS, SIZE, FIRST, LAST, RISING, FALLING from axes' values (NAME, AXIS, POS, VALUE), as file headers give them."""
+    w = W.partitionBy("NAME", "AXIS").orderBy("POS")
+    t = axes.withColumn("_s", F.col("VALUE") - F.lag("VALUE").over(w))
+    return t.groupBy("NAME", "AXIS").agg(F.count(F.lit(1)).cast("int").alias("SIZE"), F.min_by("VALUE", "POS").alias("FIRST"), F.max_by("VALUE", "POS").alias("LAST"), F.count_if(F.col("_s") > 0).cast("int").alias("RISING"), F.count_if(F.col("_s") < 0).cast("int").alias("FALLING"))
+
+
+def archive_grids(headers: DataFrame, shape: dict[str, tuple[int, float, float]] = GRID, tolerance: float = GRID_TOLERANCE) -> DataFrame:
+    """check, failures: how many files' axes break each rule; an archive is judged in one pass over its headers.
+
+    Latitudes must fall and longitudes rise at every step, with the grid's sizes and ends; with a column UNIT, units
+    are judged too (once a file, by its latitudes).
+    """
+    checks = {}
+    for axis, (n, a, z) in shape.items():
+        other = F.col("AXIS") != axis
+        steps = F.col("FALLING") if axis == "lat" else F.col("RISING")
+        checks |= {f"{axis} size": other | (F.col("SIZE") == n), f"{axis} direction": other | (steps == F.col("SIZE") - 1), f"{axis} ends": other | ((F.abs(F.col("FIRST") - a) <= tolerance) & (F.abs(F.col("LAST") - z) <= tolerance))}
+    if "UNIT" in headers.columns:
+        checks["unit"] = (F.col("AXIS") != "lat") | units_accepted("UNIT")
+    return counted(headers, checks)
+
+
 def monotonic(df: DataFrame, order: str, value: str, down: bool = True) -> DataFrame:
     """check, failures: steps of a coordinate axis against its direction."""
     step = F.col(value) - F.lag(value).over(W.orderBy(order))

@@ -12,8 +12,9 @@ _shipped: set[str] = set()
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the engine's results rely on (UTC) and that its plans want (AQE)."""
+    """A session with the settings that the engine's results rely on (UTC) and that its plans want (AQE, filters in Python sources)."""
     b = SparkSession.builder.appName("pluvia").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    b = b.config("spark.sql.python.filterPushdown.enabled", "true")  # for the NetCDF source
     if master:
         b = b.master(master)
     if shuffle_partitions:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import closing
+from datetime import UTC, datetime, timedelta
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import checked_units
+from ..functions.scalars import FILE_NAME, checked_units
 from ..session import ship
 
 # The track archive's columns.
@@ -40,6 +43,13 @@ def listing(spark: SparkSession, path: str, pattern: str = "*.nc") -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("NAME"), F.col("path").alias("PATH"), F.col("length").alias("SIZE"))
 
 
+def headers(spark: SparkSession, paths: list[str], variable: str = "precipitation") -> DataFrame:
+    """What NetCDF files say of themselves, by file and axis; see `HeaderSource`."""
+    ship(spark)
+    spark.dataSource.register(HeaderSource)
+    return spark.read.format(HeaderSource.name()).option("variable", variable).option("paths", "\n".join(paths)).load()
+
+
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """NAME, SHA256 of files below a folder; files without content are not listed."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -116,14 +126,19 @@ def parquet_footers(spark: SparkSession, path: str, pattern: str = "*.parquet")
 
 # How a file may write that its field is interpolated.
 FLAGS = {"true": True, "1": True, "1.0": True, "false": False, "0": False, "0.0": False, "": False}
+# The grid's axes as files hold them: size, first and last degree.
+GRID, GRID_TOLERANCE = {"lat": (1800, 89.95, -89.95), "lon": (3600, -179.95, 179.95)}, 2e-3
+HEADER_SCHEMA = "NAME string, PATH string, TIME timestamp, UNIT string, IS_INTERPOLATED boolean, AXIS string, SIZE int, FIRST double, LAST double, RISING int, FALLING int"
 FIELD_SCHEMA = "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean"
 
 
 class FieldSource(DataSource):
     """Gridded NetCDF files as rows: spark.dataSource.register(FieldSource); spark.read.format("pluvia_field").
 
-    Options: paths (separated by a line end), variable. Needs the netCDF4 library on the executors; a
-    partition is a file, and files become rows latitude by latitude.
+    Options: paths (separated by a line end), variable, filesPerPartition, and grid: `full` checks each file's axes
+    against the grid, `any` takes a part of it. Filters on TIME leave out files by their names, and filters on
+    ROW latitudes, before anything is read of them; that takes spark.sql.python.filterPushdown.enabled, which
+    `session` sets. Needs the netCDF4 library on the executors.
     """
 
     @classmethod
@@ -137,28 +152,130 @@ class FieldSource(DataSource):
         return FieldReader(self.options)
 
 
-class FieldReader(DataSourceReader):
+class Files(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+
+class Wanted:
+    """Least and greatest value that filters on a column allow, and the values if they are listed."""
+
+    def __init__(self) -> None:
+        self.low = self.high = self.among = None
+
+    def take(self, f: Filter) -> None:
+        if isinstance(f, EqualTo | In):
+            values = {_plain(v) for v in (f.value if isinstance(f, In) else (f.value,))}
+            self.among = values if self.among is None else self.among & values
+        elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+            self.low = max(_plain(f.value), self.low or _plain(f.value))
+        elif isinstance(f, LessThan | LessThanOrEqual):
+            self.high = min(_plain(f.value), self.high or _plain(f.value))
+
+    def range(self, least, greatest) -> bool:
+        """Whether any value from `least` to `greatest` may be wanted."""
+        inside = (self.low is None or greatest >= self.low) and (self.high is None or least <= self.high)
+        return inside and (self.among is None or any(least <= v <= greatest for v in self.among))
+
+
+def _plain(value):
+    """Times without their zone, in UTC."""
+    return value.astimezone(UTC).replace(tzinfo=None) if isinstance(value, datetime) else value
+
+
+class FileReader(DataSourceReader):
+    """Several files to a partition; files outside the wanted times are left out by their names."""
+
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
         self.variable = options.get("variable", "precipitation")
+        self.size = int(options.get("filesPerPartition", 8))
+        self.full = options.get("grid", "full") == "full"
+        self.times, self.rows = Wanted(), Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column in (("TIME",), ("ROW",)):
+                (self.times if column == ("TIME",) else self.rows).take(f)
+            yield f  # bounds are a superset: Spark filters what is read
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        kept = [p for p in self.paths if self.times.range(field_time(p), field_time(p))]
+        return [Files(kept[i : i + self.size]) for i in range(0, len(kept), self.size)] or [Files([])]
 
-    def read(self, partition: InputPartition) -> Iterator:
-        try:
-            from netCDF4 import Dataset
-        except ImportError as e:
-            raise ImportError("reading NetCDF fields needs the netCDF4 library; use long Parquet fields without it") from e
-        yield from field_batches(Dataset(partition.value), partition.value, self.variable)
 
+class FieldReader(FileReader):
+    def read(self, partition: Files) -> Iterator:
+        for path in partition.paths:
+            with closing(opened(path)) as data:
+                if self.full:
+                    checked_axes(data, path)
+                yield from field_batches(data, path, self.variable, self.rows)
 
-def field_time(name: str):
-    """The time step that a file's name stands for."""
-    from datetime import datetime, timedelta
 
-    from ..functions.scalars import FILE_NAME
+class HeaderSource(DataSource):
+    """What files say about themselves, without their values: a row for each file and axis. Options as for `FieldSource`."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "pluvia_field_header"
+
+    def schema(self) -> str:
+        return HEADER_SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return HeaderReader(self.options)
+
+
+class HeaderReader(FileReader):
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with closing(opened(path)) as data:
+                variable = data.variables.get(self.variable)
+                unit = None if variable is None else str(getattr(variable, "units", "")) or None
+                marked = flag(getattr(data, "is_interpolated", False))
+                for axis in ("lat", "lon"):
+                    yield (re.split(r"[/\\]", path)[-1], path, field_time(path), unit, marked, axis, *axis_summary(data, axis))
+
+
+def opened(path: str):
+    """A NetCDF data set, from a local path, or from the bytes of a file that pyarrow's file systems reach."""
+    try:
+        from netCDF4 import Dataset
+    except ImportError as e:
+        raise ImportError("reading NetCDF fields needs the netCDF4 library; use long Parquet fields without it") from e
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        return Dataset(unquote(where.path))
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inner) as f:
+        return Dataset(path, memory=f.read())
+
+
+def axis_summary(data, axis: str) -> tuple[int, float | None, float | None, int, int]:
+    """(size, first, last, rising steps, falling steps) of an axis; size 0 if it is not there."""
+    import numpy as np
+
+    if axis not in data.variables:
+        return 0, None, None, 0, 0
+    x = np.asarray(data.variables[axis][:], float)
+    steps = np.diff(x)
+    return len(x), float(x[0]) if len(x) else None, float(x[-1]) if len(x) else None, int((steps > 0).sum()), int((steps < 0).sum())
+
+
+def checked_axes(data, name: str) -> None:
+    """An error if the axes are not the grid's."""
+    for axis, (size, first, last) in GRID.items():
+        n, a, z, *_ = axis_summary(data, axis)
+        if n != size or abs(a - first) > GRID_TOLERANCE or abs(z - last) > GRID_TOLERANCE:
+            raise ValueError(f"{axis} of {name} has {n} values from {a} to {z}, not {size} from {first} to {last}")
+
+
+def field_time(name: str):
+    """The time step that a file's name stands for."""
     m = FILE_NAME.fullmatch(re.split(r"[/\\]", name)[-1])
     if not m:
         raise ValueError(f"{name} is not the name of a field")
@@ -173,25 +290,37 @@ def flag(value) -> bool:
     return FLAGS[text]
 
 
-def field_batches(data, name: str, variable: str) -> Iterator:
-    """Arrow batches of a data set with variables lat, lon and `variable` (two-dimensional, any axis order)."""
+def field_batches(data, name: str, variable: str, wanted: Wanted | None = None) -> Iterator:
+    """Arrow batches of a data set with variables lat, lon and `variable` (two-dimensional beside axes of one value, in any order).
+
+    Only latitudes with wanted rows are read, neighbours at once.
+    """
     import numpy as np
     import pyarrow as pa
 
     var = data.variables[variable]
     checked_units(getattr(var, "units", None))
     lat, lon = (np.asarray(data.variables[k][:], float) for k in ("lat", "lon"))
-    x = np.ma.filled(np.ma.asarray(var[:], np.float32), np.nan).squeeze()
-    if x.shape == (len(lon), len(lat)) and len(lon) != len(lat):
-        x = x.T
+    shape = [n for n in var.shape if n != 1] or [1]
+    if sorted(shape) != sorted(n for n in (len(lat), len(lon)) if n != 1) and shape != [1]:
+        raise ValueError(f"{variable} of {name} has the shape {var.shape}")
+    turned = len(lat) != len(lon) and tuple(shape) == (len(lon), len(lat))
     if not (np.diff(lat) < 0).all():
         raise ValueError(f"latitudes of {name} do not fall")
     order = np.argsort(lon % 360, kind="stable")
     if not (np.diff((lon % 360)[order]) > 0).all():
         raise ValueError(f"longitudes of {name} repeat")
+    first = (np.rint((89.95 - lat) / 0.1) * 3600).astype(np.int64)
+    columns = np.rint(((lon % 360)[order] - 0.05) / 0.1).astype(np.int64)
+    kept = np.array([wanted is None or wanted.range(r, r + 3599) for r in first.tolist()], bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], kept, [False]])))
     when, marked = field_time(name), flag(getattr(data, "is_interpolated", False))
-    for i in range(len(lat)):
-        rows = np.rint((89.95 - lat[i]) / 0.1) * 3600 + np.rint(((lon % 360)[order] - 0.05) / 0.1)
-        v = x[i, order]
-        n = len(v)
-        yield pa.record_batch([pa.array([when] * n, pa.timestamp("us", "UTC")), pa.array(rows.astype(np.int32)), pa.array(v, pa.float32(), mask=~np.isfinite(v)), pa.array([marked] * n)], ["TIME", "ROW", "PRECIP_3H_MM", "IS_INTERPOLATED"])
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        lead = (0,) * (len(var.shape) - 2)
+        part = var[(*lead, slice(None), slice(a, z)) if turned else (*lead, slice(a, z), slice(None))]
+        x = np.ma.filled(np.ma.asarray(part, np.float32), np.nan)
+        x = x.T if turned else x
+        for i in range(a, z):
+            v = x[i - a, order]
+            n = len(v)
+            yield pa.record_batch([pa.array([when] * n, pa.timestamp("us", "UTC")), pa.array((first[i] + columns).astype(np.int32)), pa.array(v, pa.float32(), mask=~np.isfinite(v)), pa.array([marked] * n)], ["TIME", "ROW", "PRECIP_3H_MM", "IS_INTERPOLATED"])
