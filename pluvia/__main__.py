@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields as dataclass_fields
 
+from .operators.audit import passed
+from .plans.audits import AUDITS, report
 from .plans.workflow import SECTIONS, STAGES, Settings, run
 from .session import session
 
@@ -12,6 +14,9 @@ from .session import session
 def main() -> None:
     p = argparse.ArgumentParser(prog="pluvia", description="Storm-associated rainfall extremes: workflow stages.")
     p.add_argument("--stage", choices=[*STAGES, "all"], default="all")
+    p.add_argument("--audit", choices=AUDITS, help="report on inputs or outputs instead of running a stage; failures end with status 1")
+    p.add_argument("--expected", default="", help="JSON of published numbers, for --audit release")
+    p.add_argument("--intervals", action="store_true", help="make bootstrap intervals anew for --audit release")
     p.add_argument("--work", required=True)
     p.add_argument("--tracks-csv", default="")
     p.add_argument("--fields", default="", help="long Parquet table of fields")
@@ -34,8 +39,14 @@ def main() -> None:
     p.add_argument("--sections", nargs="+", choices=SECTIONS, default=list(SECTIONS))
     p.add_argument("--overwrite", action="store_true")
     a = vars(p.parse_args())
-    stage, a["storms"], a["sections"] = a.pop("stage"), tuple(a["storms"]), tuple(a["sections"])
-    run(session(), Settings(**{f.name: a[f.name] for f in dataclass_fields(Settings)}), stage)
+    a["storms"], a["sections"] = tuple(a["storms"]), tuple(a["sections"])
+    settings = Settings(**{f.name: a[f.name] for f in dataclass_fields(Settings)})
+    if not a["audit"]:
+        run(session(), settings, a["stage"])
+        return
+    found = report(session(), settings, a["audit"])
+    found.show(1000, truncate=False)
+    raise SystemExit(0 if passed(found) else 1)
 
 
 if __name__ == "__main__":

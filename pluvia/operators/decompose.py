@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import ratio
+from .keys import join_by
 from .trend import trends
 
 COMPONENTS = ("ANNUAL_MEAN", "REFERENCE", "REDISTRIBUTION", "WITHIN_BAND", "INTERACTION")
@@ -72,7 +73,8 @@ def band_terms(bands: DataFrame, keys: Sequence[str], n: str = "N_EVENTS", total
     slopes = trends(t.select(*keys, "YEAR", "BAND", F.explode(kinds).alias("_x")).select(*keys, "YEAR", "BAND", "_x.*"), [*keys, "BAND", "kind"], "value")
     wide = slopes.groupBy(*keys, "BAND").agg(*(F.coalesce(F.max(F.when(F.col("kind") == c, F.col("slope"))), F.lit(0.0)).alias(f"s_{c}") for c in ("share", "mean", "part")))
     means = t.groupBy(*keys, "BAND").agg(F.avg("share").alias("share"), F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"))
-    x = wide.join(means, [*keys, "BAND"]).select(*keys, "BAND", (F.col("s_share") * F.col("mean")).alias("migration"), (F.col("share") * F.col("s_mean")).alias("intensity"), F.col("s_part").alias("total"))
+    met = join_by(wide, means, [*keys, "BAND"])
+    x = met.select(*keys, "BAND", (F.col("s_share") * F.col("mean")).alias("migration"), (F.col("share") * F.col("s_mean")).alias("intensity"), F.col("s_part").alias("total"))
     return x.select(*keys, "BAND", "migration", "intensity", (F.col("total") - F.col("migration") - F.col("intensity")).alias("residual"), "total")
 
 
@@ -89,7 +91,15 @@ def masked(bands: DataFrame, counts: DataFrame, on: Sequence[str], values: Seque
 
 
 def significance(trend_rows: DataFrame, intervals: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Trends with their intervals, one to one, and whether those leave out 0."""
+    """Trends with their intervals, and whether those leave out 0; null is a key like others.
+
+    One to one: a key that either side has twice is an error, as such rows would multiply.
+    """
     low, high = F.col("ci_low"), F.col("ci_high")
-    return trend_rows.join(intervals, list(on)).withColumn("significant", (low > 0) | (high < 0))
 
+    def once(df: DataFrame) -> DataFrame:
+        n = F.count(F.lit(1)).over(W.partitionBy(*on))
+        return df.withColumn("_n", F.when(n == 1, n).otherwise(F.raise_error(F.lit("trends and intervals do not match one to one")).cast("long"))).where("_n = 1").drop("_n")
+
+    met = join_by(once(trend_rows), once(intervals.select(*on, "ci_low", "ci_high")), on)
+    return met.withColumn("significant", (low > 0) | (high < 0))

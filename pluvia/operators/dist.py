@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import display_lon
 from . import selection
+from .keys import join_by
 
 LEVELS = (0.1, 0.5, 0.9, 0.99)
 
@@ -24,8 +25,7 @@ def medians_and_counts(df: DataFrame, keys: Sequence[str], value: str, year: str
     """keys, n, median, mean_of_years: pooled count and median, and the mean of annual means; null is a key like others."""
     pooled = selection.quantiles(df, keys, value, [0.5]).select(*keys, "n", F.col("q")[0].alias("median"))
     means = df.groupBy(*keys, year).agg(F.avg(value).alias("_m")).groupBy(*keys).agg(F.avg("_m").alias("mean_of_years"))
-    on = [pooled[k].eqNullSafe(means[k]) for k in keys]
-    return pooled.join(means, on).select(*(pooled[k] for k in keys), "n", "median", "mean_of_years")
+    return join_by(pooled, means, list(keys))
 
 
 def histogram_density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, bins: int = 40) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BASIN_HEMISPHERE, BASIN_NAMES
 from ..operators import bands, bootstrap, decompose, dist, report, trend
+from ..operators.keys import join_by
 
 VALUE = bands.VALUE
 
@@ -17,7 +18,7 @@ def fitted(series: DataFrame, keys: Sequence[str], y: str, **how) -> DataFrame:
     """`series` (keys, YEAR, y, ...) with fit, fit_lower, fit_upper, slope by decade and p_value."""
     keys = list(keys)
     lines = bootstrap.fit_bands(series, keys, y, **how)
-    return series.join(lines, [*keys, "YEAR"]).join(trend.trends(series, keys, y).drop("n"), keys)
+    return join_by(join_by(series, lines, [*keys, "YEAR"]), trend.trends(series, keys, y).drop("n"), keys)
 
 
 def annual_series(events: DataFrame, years: tuple[int, int], **how) -> DataFrame:

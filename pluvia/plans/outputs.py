@@ -244,14 +244,39 @@ def audit_boundary_checks(spark: SparkSession, root: str) -> DataFrame:
     return audit.boundary_checks(features.attributed(*storm_fields(spark, root)), "F0", "SH", cross_180=True)
 
 
+# Latitudes by order, of which every fiftieth goes the wrong way, and longitudes by customer.
+AXES = """ax AS (SELECT 'lat' AS AXIS, o_orderkey AS POS, 89.95::DOUBLE - o_orderkey * 0.1::DOUBLE + CASE WHEN o_orderkey % 50 = 7 THEN 0.25::DOUBLE ELSE 0 END AS VALUE FROM orders
+  UNION ALL SELECT 'lon', c_custkey, -179.95::DOUBLE + c_custkey * 0.1::DOUBLE FROM customer),
+st AS (SELECT *, VALUE - lag(VALUE) OVER (PARTITION BY AXIS ORDER BY POS) AS s FROM ax),
+sm AS (SELECT AXIS, count(*) AS n, count(*) FILTER (CASE AXIS WHEN 'lat' THEN s >= 0 ELSE s <= 0 END) AS wrong, arg_min(VALUE, POS) AS a, arg_max(VALUE, POS) AS z FROM st GROUP BY ALL)"""
+
+
+def axes(spark: SparkSession, root: str) -> DataFrame:
+    lat = table(spark, root, "orders").select(F.lit("lat").alias("AXIS"), F.col("o_orderkey").alias("POS"), (89.95 - F.col("o_orderkey") * 0.1 + F.when(F.col("o_orderkey") % 50 == 7, 0.25).otherwise(0.0)).alias("VALUE"))
+    return lat.unionByName(table(spark, root, "customer").select(F.lit("lon").alias("AXIS"), F.col("c_custkey").alias("POS"), (F.col("c_custkey") * 0.1 - 179.95).alias("VALUE")))
+
+
 @query(
-    """SELECT "check", failures::BIGINT AS failures FROM (VALUES ('lat size', 0), ('lat direction', 0), ('lat ends', 0), ('lon size', 1), ('lon direction', 1), ('lon ends', 1), ('unit', 0)) t("check", failures)"""
+    f"""WITH {AXES}, e(AXIS, size, first, last) AS (VALUES ('lat', 1800, 89.95, -89.95), ('lon', 3600, -179.95, 179.95))
+SELECT AXIS || ' size' AS "check", (n <> size)::BIGINT AS failures FROM sm JOIN e USING (AXIS) UNION ALL SELECT AXIS || ' direction', (wrong > 0)::BIGINT FROM sm
+UNION ALL SELECT AXIS || ' ends', (abs(a - first) > 2e-3 OR abs(z - last) > 2e-3)::BIGINT FROM sm JOIN e USING (AXIS) UNION ALL SELECT 'unit', 0"""
 )
 def audit_grid(spark: SparkSession, root: str) -> DataFrame:
-    """Falling latitudes as they should be; longitudes from 0, with one left out and two the wrong way round."""
-    lat = spark.range(1800).select(F.lit("lat").alias("AXIS"), "id", (89.95 - F.col("id") * 0.1).alias("VALUE"))
-    lon = spark.range(3599).select(F.lit("lon").alias("AXIS"), "id", (0.05 + F.when(F.col("id") == 7, 8).when(F.col("id") == 8, 7).otherwise(F.col("id")) * 0.1).alias("VALUE"))
-    return audit.grid(lat.unionByName(lon).withColumnRenamed("id", "POS"), "mm / 3hr")
+    return audit.grid(axes(spark, root), "mm / 3hr")
+
+
+@query(
+    """WITH x AS (SELECT user_id AS NAME, -event_id::DOUBLE + CASE WHEN event_id % 97 = 0 THEN 5000 ELSE 0 END AS v, event_id AS p FROM events),
+s AS (SELECT *, v - lag(v) OVER (PARTITION BY NAME ORDER BY p) AS s FROM x),
+f AS (SELECT NAME, count(*) AS n, count(*) FILTER (s < 0) AS falling, arg_min(v, p) AS a, arg_max(v, p) AS z FROM s GROUP BY ALL)
+SELECT 'lat size' AS "check", count(*) FILTER (n <> 10)::BIGINT AS failures FROM f UNION ALL SELECT 'lat direction', count(*) FILTER (falling <> n - 1)::BIGINT FROM f
+UNION ALL SELECT 'lat ends', count(*) FILTER (abs(a + 50) > 60 OR abs(z + 950) > 60)::BIGINT FROM f"""
+)
+def audit_archive_grids(spark: SparkSession, root: str) -> DataFrame:
+    """Axes of an archive, one for each user: how many have another size, direction or ends."""
+    v = -F.col("event_id").cast("double") + F.when(F.col("event_id") % 97 == 0, 5000).otherwise(0)
+    axes = table(spark, root, "events").select(F.col("user_id").alias("NAME"), F.lit("lat").alias("AXIS"), F.col("event_id").alias("POS"), v.alias("VALUE"))
+    return audit.archive_grids(audit.axis_summaries(axes), {"lat": (10, -50.0, -950.0)}, 60.0)
 
 
 # --- files ------------------------------------------------------------------------------------------------
@@ -301,12 +326,13 @@ def sink_annual(spark: SparkSession, root: str) -> DataFrame:
     return files.annual(spark, path, 1996, 2000).select("o_orderkey", stamp(), F.col("YEAR").cast("int").alias("YEAR"), "BASIN")
 
 
-@query("SELECT 'a.txt' AS NAME, sha256('region') AS SHA256 UNION ALL SELECT 'b.txt', sha256('é')")
+@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS SHA256 FROM customer GROUP BY c_nationkey")
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
+    """Digests of files that hold the customers of a nation, a line each."""
     path = scratch(spark)
-    for name, text in (("a.txt", "region"), ("b.txt", "é")):
-        put(spark, f"{path}/{name}", text)
-    return files.digests(spark, path)
+    c = table(spark, root, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(path)
+    return files.digests(spark, path, "*.txt").select("SHA256")
 
 
 def put(spark: SparkSession, path: str, text: str) -> None:

@@ -133,9 +133,18 @@ def erfc_values(spark: SparkSession, root: str) -> DataFrame:
 # --- calendar, index, replacement fields ------------------------------------------------------------------
 
 
-@query(f"SELECT {STAMP}, printf('%04d%03d.%02d.nc', year(TIME), dayofyear(TIME), hour(TIME)) AS NAME FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 21:00', INTERVAL 3 HOURS) t(TIME)")
+@query(
+    f"""WITH {CELLS}, y AS (SELECT min(year(TIME)) AS a, max(year(TIME)) AS z FROM ce),
+cal AS (SELECT unnest(generate_series(make_timestamp(a, 1, 1, 0, 0, 0.0), make_timestamp(z, 12, 31, 21, 0, 0.0), INTERVAL 3 HOURS)) AS TIME FROM y),
+n AS (SELECT TIME, count(*)::BIGINT AS samples FROM ce GROUP BY ALL)
+SELECT strftime(cal.TIME, '%Y-%m-%d %H:%M:%S') AS TIME, printf('%04d%03d.%02d.nc', year(cal.TIME), dayofyear(cal.TIME), hour(cal.TIME)) AS NAME, coalesce(samples, 0)::BIGINT AS samples FROM cal LEFT JOIN n ON cal.TIME = n.TIME"""
+)
 def calendar_names(spark: SparkSession, root: str) -> DataFrame:
-    return fields.calendar(spark, 2024, 2024).select(stamp(), "NAME")
+    """The calendar of the samples' years, with the number of samples at each step."""
+    c = wet_samples(spark, root).select(F.col("TIME").cast("timestamp").alias("TIME"))
+    first, last = c.agg(F.min(F.year("TIME")), F.max(F.year("TIME"))).first()
+    n = c.groupBy("TIME").agg(F.count(F.lit(1)).alias("samples"))
+    return fields.calendar(spark, first, last).join(n, "TIME", "left").select(stamp(), "NAME", F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
 @query(
@@ -154,22 +163,19 @@ def index_override(spark: SparkSession, root: str) -> DataFrame:
     return fields.index(old, g.where("s % 2 = 0").select("NAME", F.concat(F.lit("new/"), "k").alias("PATH")))
 
 
-GRID = "fl AS (SELECT TIMESTAMP '2020-12-31' + INTERVAL 3 HOURS * k AS TIME, r::INT AS ROW, CASE WHEN (r + k) % 13 > 0 THEN ((r * 7 + k * 5) % 50 / 8.0)::FLOAT END AS v FROM generate_series(0, 8) t(k), generate_series(0, 399) u(r))"
-
-
 @query(
-    f"""WITH {GRID}, e AS (SELECT a.ROW, a.v AS x, b.v AS y FROM fl a JOIN fl b USING (ROW) WHERE a.TIME = TIMESTAMP '2020-12-31' AND b.TIME = TIMESTAMP '2021-01-01')
-SELECT strftime(TIMESTAMP '2020-12-31' + INTERVAL 3 HOURS * k, '%Y-%m-%d %H:%M:%S') AS TIME, ROW, round(((1 - k / 8.0::DOUBLE) * x + k / 8.0::DOUBLE * y)::FLOAT::DOUBLE, 5) AS PRECIP_3H_MM FROM e, generate_series(1, 7) t(k)"""
+    """WITH e AS (SELECT o_orderkey::INT AS ROW, CASE WHEN o_custkey % 13 > 0 THEN (o_totalprice / 1000)::FLOAT END AS x, ((o_custkey % 50) / 8.0::DOUBLE)::FLOAT AS y FROM orders)
+SELECT strftime(TIMESTAMP '2020-12-31' + INTERVAL 3 HOURS * k, '%Y-%m-%d %H:%M:%S') AS TIME, ROW, round(((1 - k / 8.0::DOUBLE) * x + k / 8.0::DOUBLE * y)::FLOAT::DOUBLE, 3) AS PRECIP_3H_MM FROM e, generate_series(1, 7) t(k)"""
 )
 def blend_fields(spark: SparkSession, root: str) -> DataFrame:
-    k, row = F.col("k"), F.col("ROW")
-    t = F.expr("timestamp'2020-12-31 00:00:00' + make_interval(0, 0, 0, 0, 3 * k, 0, 0)")
-    f = spark.range(9).select(F.col("id").cast("int").alias("k")).crossJoin(spark.range(400).select(F.col("id").cast("int").alias("ROW")))
-    f = f.select(t.alias("TIME"), "ROW", F.when((row + k) % 13 > 0, ((row * 7 + k * 5) % 50 / 8).cast("float")).alias("PRECIP_3H_MM"))
+    """Two fields a day apart, with a cell for each order, and the seven replacements between them."""
+    o = table(spark, root, "orders")
     lo, hi = F.lit("2020-12-31 00:00:00").cast("timestamp"), F.lit("2021-01-01 00:00:00").cast("timestamp")
-    plan = f.select("TIME").distinct().where((F.col("TIME") > lo) & (F.col("TIME") < hi)).select("TIME", lo.alias("BEFORE"), hi.alias("AFTER"))
-    out = fields.replacements(f.where((F.col("TIME") == lo) | (F.col("TIME") == hi)), plan)
-    return out.select(stamp(), "ROW", F.round(F.col("PRECIP_3H_MM").cast("double"), 5).alias("PRECIP_3H_MM"))
+    before = F.when(F.col("o_custkey") % 13 > 0, (F.col("o_totalprice") / 1000).cast("float"))
+    ends = F.array(F.struct(lo.alias("TIME"), before.alias("v")), F.struct(hi.alias("TIME"), (F.col("o_custkey") % 50 / 8).cast("float").alias("v")))
+    f = o.select(F.col("o_orderkey").cast("int").alias("ROW"), F.explode(ends).alias("e")).select("e.TIME", "ROW", F.col("e.v").alias("PRECIP_3H_MM"))
+    plan = fields.calendar(spark, 2020, 2020).where(F.col("TIME") > lo).select("TIME", lo.alias("BEFORE"), hi.alias("AFTER"))
+    return fields.replacements(f, plan).select(stamp(), "ROW", F.round(F.col("PRECIP_3H_MM").cast("double"), 3).alias("PRECIP_3H_MM"))
 
 
 # --- tracks -----------------------------------------------------------------------------------------------

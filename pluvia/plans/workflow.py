@@ -45,6 +45,8 @@ class Settings:
     partial: bool = False  # the archive may lack time steps
     land: str = ""  # a table of the rows on land, for the surface section
     sections: tuple[str, ...] = SECTIONS
+    expected: str = ""  # a JSON document of published numbers, for the release's audit
+    intervals: bool = False  # that audit makes bootstrap intervals anew
 
 
 def _mode(s: Settings) -> str:
@@ -119,7 +121,7 @@ def run_events(spark: SparkSession, s: Settings) -> None:
 def run_analysis(spark: SparkSession, s: Settings) -> None:
     """Annual bands, components, their trends and intervals, band terms by domain, annual series."""
     ev = files.annual(spark, f"{s.work}/events", s.first, s.last)
-    years, how = (s.first, s.last), _how(s)
+    years, how = (s.first, s.last), bootstrap_settings(s)
     hemi = bands.annual_bands(ev, ["HEMISPHERE"], years)
     parts = decompose.components(hemi, ["HEMISPHERE"])
     wide = bands.annual_bands(bands.basin_domains(ev), ["domain"], years, hemi="domain_hemisphere", strict=False)
@@ -138,7 +140,7 @@ def run_analysis(spark: SparkSession, s: Settings) -> None:
         df.write.mode(_mode(s)).parquet(f"{s.work}/analysis/{name}")
 
 
-def _how(s: Settings) -> dict:
+def bootstrap_settings(s: Settings) -> dict:
     return {"block": s.block_years, "repetitions": s.repetitions, "seed": s.seed}
 
 
@@ -159,18 +161,18 @@ def run_figures(spark: SparkSession, s: Settings) -> None:
     x = files.annual(spark, f"{s.work}/extreme_cells", *years)
     out: dict[str, DataFrame] = {}
     if "global" in s.sections:
-        out |= {"annual_series": figures.annual_series(ev, years, **_how(s)), "spatial_trends": figures.spatial_trends(x)}
+        out |= {"annual_series": figures.annual_series(ev, years, **bootstrap_settings(s)), "spatial_trends": figures.spatial_trends(x)}
     if "decomposition" in s.sections:
         out |= {n: _saved(spark, s, f"analysis/{n}") for n in ("band_terms", "domain_fit")}
     if "distributions" in s.sections:
-        out |= {"samples": figures.samples(ev), "band_quantiles": figures.band_quantiles(ev), "latitude_series": figures.latitude_series(_saved(spark, s, "tracks"), ev, years, **_how(s))}
+        out |= {"samples": figures.samples(ev), "band_quantiles": figures.band_quantiles(ev), "latitude_series": figures.latitude_series(_saved(spark, s, "tracks"), ev, years, **bootstrap_settings(s))}
     out["event_counts"] = bands.basin_band_counts(ev)
     for name, df in out.items():
         df.write.mode(_mode(s)).parquet(f"{s.work}/figures/{name}")
     if "surface" in s.sections and s.land:
         cells = bands.with_surface(x, spark.read.parquet(s.land))
         bands.labelled(bands.surface_bands(cells, years, "PRECIP_3H_MM")).write.mode(_mode(s)).parquet(f"{s.work}/figures/surface_bands")
-        for name, df in (("surface_series", figures.surface_series(_surface(spark, s), **_how(s))), ("surface_terms", figures.surface_terms(_surface(spark, s)))):
+        for name, df in (("surface_series", figures.surface_series(_surface(spark, s), **bootstrap_settings(s))), ("surface_terms", figures.surface_terms(_surface(spark, s)))):
             df.write.mode(_mode(s)).parquet(f"{s.work}/figures/{name}")
 
 

@@ -51,9 +51,9 @@ def headers(spark: SparkSession, paths: list[str], variable: str = "precipitatio
 
 
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """NAME, SHA256 of files below a folder; files without content are not listed."""
+    """NAME, PATH, SHA256 of files below a folder; files without content are not listed."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("NAME"), F.sha2("content", 256).alias("SHA256"))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("NAME"), F.col("path").alias("PATH"), F.sha2("content", 256).alias("SHA256"))
 
 
 def annual(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

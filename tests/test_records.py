@@ -1,4 +1,6 @@
 import dataclasses
+import hashlib
+import json
 import math
 from datetime import datetime
 
@@ -292,6 +294,30 @@ def test_workflow_and_streaming(spark, tmp_path):
     assert spark.read.csv(f"{s.work}/tables/S2_csv", header=True).count() == saved("tables/S2").count() > 0
     assert "Northern Hemisphere" in "".join(r.value for r in spark.read.text(f"{s.work}/tables/S1_markdown").collect())
 
+    from pluvia.plans import audits
+
+    told = lambda name, **more: {r["check"]: r["failures"] for r in audits.report(spark, dataclasses.replace(s, **more), name).collect()}
+    assert set(told("cells").values()) == {0} and set(told("events").values()) == {0}
+    assert told("cells", last=2004)["years without cells"] == 2
+    assert told("thresholds")["duplicate keys"] == 0
+    found = told("inputs")
+    assert found.pop("missing files") == 366 * 8 + 2 * 365 * 8 - 3 * 24 and set(found.values()) == {0}
+    named = lambda df, *keys: [{**{k: r[k] for k in keys}, "trend_per_decade": r["slope"], "p_value": r["p_value"]} for r in df.select(*keys, "slope", "p_value").distinct().collect()]
+    maps = saved("figures/spatial_trends")
+    source = next((tmp_path / "w" / "events" / "YEAR=2000").glob("*.parquet"))
+    expected = {
+        "global_and_hemisphere_trends": named(saved("figures/annual_series"), "domain"), "latitude_trends": named(saved("figures/latitude_series"), "record_type", "domain"), "events": 72,
+        "valid_map_cells": maps.count(), "significant_map_cells": maps.where("p_value < 0.05").count(), "sources": [{"path": f"YEAR=2000/{source.name}", "sha256": hashlib.sha256(source.read_bytes()).hexdigest()}],
+    }
+    write = lambda d: (tmp_path / "expected.json").write_text(json.dumps(d))
+    write(expected)
+    how = {"expected": str(tmp_path / "expected.json"), "intervals": True}
+    found = told("release", **how)
+    known = {"empty band", "surface trends are not significant"}  # of the published data alone
+    assert {k for k, n in found.items() if n} <= known and found["component intervals"] == 0 and found[f"sha256 YEAR=2000/{source.name}"] == 0
+    write({**expected, "events": 71, "sources": [{"path": f"YEAR=2000/{source.name}", "sha256": "0" * 64}]})
+    assert {k for k, n in told("release", **how).items() if n} - known == {"event count", f"sha256 YEAR=2000/{source.name}"}
+
     stream = spark.readStream.schema(x.select("SID", "TIME", "BASIN", "TC_LAT", "PRECIP_3H_MM", "IS_INTERPOLATED_TIMESTEP").schema).parquet(f"{s.work}/extreme_cells")
     q = incremental.event_stream(stream).writeStream.format("memory").queryName("ev").outputMode("complete").start()
     q.processAllAvailable()

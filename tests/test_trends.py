@@ -163,3 +163,18 @@ def test_band_intervals_against_numpy(spark):
         assert (got[k]["migration_point"], got[k]["intensity_point"], got[k]["total_point"]) == pytest.approx((mig[k], inten[k], tot[k]))
         assert got[k]["total_ci_low"] == pytest.approx(np.quantile([r[2][k] for r in reps], 0.025))
         assert got[k]["migration_ci_high"] == pytest.approx(np.quantile([r[0][k] for r in reps], 0.975))
+
+
+def test_null_keys_stay_and_repeated_ones_are_errors(spark):
+    df = spark.createDataFrame([(k, 2000 + i, float(i * (2 if k else 1))) for k in ("a", None) for i in range(5)], "k string, YEAR int, y double")
+    t = trend.trends(df, ["k"], "y")
+    ci = bootstrap.trend_intervals(df, ["k"], "y", block=2, repetitions=20)
+    got = {r["k"]: r for r in decompose.significance(t, ci, ["k"]).collect()}
+    assert got["a"]["slope"] == pytest.approx(20) and got[None]["slope"] == pytest.approx(10) and got[None]["significant"]
+    with pytest.raises(Exception, match="one to one"):
+        decompose.significance(t, ci.unionByName(ci.where("k = 'a'")), ["k"]).collect()
+    b = spark.createDataFrame([(None, y, k, 1 + (y + k) % 3, float(y - k)) for y in range(2000, 2006) for k in range(4)], "h string, YEAR int, BAND int, N_EVENTS int, INTENSITY_SUM double")
+    assert decompose.band_terms(b, ["h"]).count() == 4
+    assert bootstrap.band_intervals(b, ["h"], block=2, repetitions=10).count() == 4
+    with pytest.raises(Exception, match="gaps or repeated"):
+        bootstrap.band_intervals(b.where("YEAR > 2000 OR BAND > 0"), ["h"], block=2, repetitions=10).collect()
