@@ -7,13 +7,13 @@ from dataclasses import fields as dataclass_fields
 
 from .operators.audit import passed
 from .plans.audits import AUDITS, report
-from .plans.workflow import SECTIONS, STAGES, Settings, run
+from .plans.workflow import REPLACE, SECTIONS, STAGES, Settings, run
 from .session import session
 
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="pluvia", description="Storm-associated rainfall extremes: workflow stages.")
-    p.add_argument("--stage", choices=[*STAGES, "all"], default="all")
+    p.add_argument("--stage", choices=[REPLACE, *STAGES, "all"], default="all")
     p.add_argument("--audit", choices=AUDITS, help="report on inputs or outputs instead of running a stage; failures end with status 1")
     p.add_argument("--expected", default="", help="JSON of published numbers, for --audit release")
     p.add_argument("--intervals", action="store_true", help="make bootstrap intervals anew for --audit release")

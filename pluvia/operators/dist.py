@@ -41,21 +41,30 @@ def histogram_density(df: DataFrame, keys: Sequence[str], value: str, low: float
     return out.select(*keys, "BIN", (F.lit(low) + F.col("BIN") * width).alias("left"), "n", (F.col("n") / F.col("_t") / width).alias("density"))
 
 
+#: Kernels end where they are below 1e-17 of their height.
+REACH = 9.0
+
+
 def kernel_density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, points: int = 400) -> DataFrame:
-    """keys, x, density: Gaussian kernels of Scott's width (stddev n**-1/5) at `points` places.
+    """keys, x, density: Gaussian kernels of Scott's width (stddev n**-1/5) at `points` places; null is a key like others.
 
-    Each value adds to the places inside its row and sums are combined in the map tasks: a row for each
-    value, not for each value and place, is what meets the shuffle's keys.
+    Equal values weigh together, so that the work follows the distinct values. Each adds to the places within REACH
+    widths alone, and sums are combined in the map tasks. Of fewer than two values, or equal ones, there is no width: density is null.
     """
-    stat = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_s"))
-    stat = stat.withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+    stat = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_s"))
+    stat = stat.select(*keys, "_n", F.when(F.col("_s") > 0, F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
     step = (high - low) / (points - 1)
-    # equal values weigh together, so that the work follows the distinct values
-    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")).join(stat, list(keys))
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (F.lit(low) + F.col("_k") * step - F.col(value)) / F.col("_h")
-    out = rows.groupBy(*keys, "_k").agg(F.sum(F.col("_w") * F.exp(-z * z / 2)).alias("_d"), F.first("_n").alias("_n"), F.first("_h").alias("_h"))
-    return out.select(*keys, (F.lit(low) + F.col("_k") * step).alias("x"), (F.col("_d") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
+    rows = join_by(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")), stat, list(keys)) if keys else known.groupBy("_v").agg(F.count(F.lit(1)).alias("_w")).crossJoin(stat)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_v") - REACH * F.col("_h") - low) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((F.col("_v") + REACH * F.col("_h") - low) / step)).cast("int")
+    near = rows.where(F.col("_h").isNotNull() & (first <= last)).withColumn("_k", F.explode(F.sequence(first, last)))
+    z = (F.lit(low) + F.col("_k") * step - F.col("_v")) / F.col("_h")
+    sums = near.groupBy(*keys, "_k").agg(F.sum(F.col("_w") * F.exp(-z * z / 2)).alias("_d"))
+    places = stat.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    out = join_by(places, sums, [*keys, "_k"], "left")
+    return out.select(*keys, (F.lit(low) + F.col("_k") * step).alias("x"), (F.coalesce("_d", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def zonal_profile(cells: DataFrame, value: str = "trend", lat: str = "lat") -> DataFrame:

@@ -58,6 +58,27 @@ def bracket_weight(before: str, target: str, after: str) -> float:
     return (t - a) / (b - a)
 
 
+def gaps(steps: DataFrame, have: DataFrame) -> DataFrame:
+    """TIME, BEFORE, AFTER for each step of the calendar without a field: the nearest steps that have one, null at an end.
+
+    Both windows go over the calendar, a row for each step, and not over fields.
+    """
+    known = steps.select("TIME").join(have.select("TIME").distinct().withColumn("_has", F.lit(True)), "TIME", "left")
+    w = W.orderBy("TIME")
+    there = F.when(F.col("_has"), F.col("TIME"))
+    found = known.select("TIME", "_has", F.last(there, True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("BEFORE"), F.first(there, True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("AFTER"))
+    return found.where("_has IS NULL").drop("_has")
+
+
+def weights(plan: DataFrame) -> DataFrame:
+    """The plan (TIME, BEFORE, AFTER) with WEIGHT_BEFORE and WEIGHT_AFTER, from the times; a time that is not strictly between the two is an error."""
+    s = lambda c: F.unix_micros(c).cast("double")
+    w = (s("TIME") - s("BEFORE")) / (s("AFTER") - s("BEFORE"))
+    between = F.coalesce((F.col("BEFORE") < F.col("TIME")) & (F.col("TIME") < F.col("AFTER")), F.lit(False))
+    w = F.when(between, w).otherwise(F.raise_error(F.lit("the target must lie between the two fields")).cast("double"))
+    return plan.select("TIME", "BEFORE", "AFTER", w.alias("WEIGHT_AFTER")).select("TIME", "BEFORE", "AFTER", (1 - F.col("WEIGHT_AFTER")).alias("WEIGHT_BEFORE"), "WEIGHT_AFTER")
+
+
 def replacements(fields: DataFrame, plan: DataFrame, value: str = "PRECIP_3H_MM") -> DataFrame:
     """TIME, ROW, value, IS_INTERPOLATED for each row (TIME, BEFORE, AFTER) of a plan.
 
@@ -65,12 +86,8 @@ def replacements(fields: DataFrame, plan: DataFrame, value: str = "PRECIP_3H_MM"
     fields has, or a field that is not there. One equi-join on time for all of them: each plan row asks for
     its two fields, with the weights that follow from the times.
     """
-    s = lambda c: F.unix_micros(c).cast("double")
-    w = (s("TIME") - s("BEFORE")) / (s("AFTER") - s("BEFORE"))
-    between = F.coalesce((F.col("BEFORE") < F.col("TIME")) & (F.col("TIME") < F.col("AFTER")), F.lit(False))
-    w = F.when(between, w).otherwise(F.raise_error(F.lit("the target must lie between the two fields")).cast("double"))
-    ends = F.array(F.struct(F.col("BEFORE").alias("TIME"), (1 - F.col("_w")).alias("_w")), F.struct(F.col("AFTER").alias("TIME"), F.col("_w").alias("_w")))
-    asked = plan.withColumn("_w", w).select(F.col("TIME").alias("_t"), F.explode(ends).alias("_x")).select("_t", "_x.*")
+    ends = F.array(F.struct(F.col("BEFORE").alias("TIME"), F.col("WEIGHT_BEFORE").alias("_w")), F.struct(F.col("AFTER").alias("TIME"), F.col("WEIGHT_AFTER").alias("_w")))
+    asked = weights(plan).select(F.col("TIME").alias("_t"), F.explode(ends).alias("_x")).select("_t", "_x.*")
     f = fields.select("TIME", "ROW", F.col(value).cast("double").alias("_v"))
     found = asked.join(f, "TIME", "left")
     both = found.groupBy("_t", "ROW").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_k"), F.count("ROW").alias("_n"))
@@ -78,6 +95,15 @@ def replacements(fields: DataFrame, plan: DataFrame, value: str = "PRECIP_3H_MM"
     return both.select(F.col("_t").alias("TIME"), "ROW", v.cast("float").alias(value), F.lit(True).alias("IS_INTERPOLATED"))
 
 
+# How a replacement was made.
+METHOD = "linear interpolation in time, cell by cell"
+
+
+def provenance(plan: DataFrame) -> DataFrame:
+    """NAME, TIME, METHOD, SOURCE_BEFORE, SOURCE_AFTER, WEIGHT_BEFORE, WEIGHT_AFTER: where each replacement comes from."""
+    return weights(plan).select(file_key("TIME").alias("NAME"), "TIME", F.lit(METHOD).alias("METHOD"), file_key("BEFORE").alias("SOURCE_BEFORE"), file_key("AFTER").alias("SOURCE_AFTER"), "WEIGHT_BEFORE", "WEIGHT_AFTER")
+
+
 def overridden(fields: DataFrame, new: DataFrame) -> DataFrame:
     """Fields with the time steps of `new` replaced."""
     times = F.broadcast(new.select("TIME").distinct())

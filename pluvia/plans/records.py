@@ -178,6 +178,35 @@ def blend_fields(spark: SparkSession, root: str) -> DataFrame:
     return fields.replacements(f, plan).select(stamp(), "ROW", F.round(F.col("PRECIP_3H_MM").cast("double"), 3).alias("PRECIP_3H_MM"))
 
 
+# Every second step has a field, of ten cells, and so has the first after a longer gap.
+GAPPED = """ga AS (SELECT TIMESTAMP '2020-01-01' + INTERVAL 3 HOURS * (CASE WHEN l_linenumber = 6 THEN 16 ELSE 2 * (l_linenumber - 1) END) AS TIME, (l_partkey % 10)::INT AS ROW, avg(l_extendedprice)::FLOAT AS v FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL),
+st AS (SELECT TIMESTAMP '2020-01-01' + INTERVAL 3 HOURS * k AS TIME FROM generate_series(0, 16) t(k)),
+pl AS (SELECT TIME, (SELECT max(TIME) FROM ga WHERE ga.TIME < st.TIME) AS a, (SELECT min(TIME) FROM ga WHERE ga.TIME > st.TIME) AS z FROM st WHERE TIME NOT IN (SELECT TIME FROM ga)),
+pw AS (SELECT *, epoch(TIME - a) / epoch(z - a) AS w FROM pl)"""
+
+
+def gapped(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    step = F.when(F.col("l_linenumber") == 6, 16).otherwise(2 * (F.col("l_linenumber") - 1))
+    li = table(spark, root, "lineitem").where("l_linenumber <= 6")
+    f = li.groupBy(F.timestamp_seconds(F.lit(1_577_836_800) + step * 10800).alias("TIME"), (F.col("l_partkey") % 10).cast("int").alias("ROW")).agg(F.avg("l_extendedprice").cast("float").alias("PRECIP_3H_MM"))
+    steps = fields.calendar(spark, 2020, 2020).where(F.col("TIME") <= F.timestamp_seconds(F.lit(1_577_836_800 + 16 * 10800)))
+    return f, fields.gaps(steps, f)
+
+
+@query(f"WITH {GAPPED} SELECT strftime(TIME, '%Y-%m-%d %H:%M:%S') AS TIME, x.ROW, round(((1 - w) * x.v + w * y.v)::FLOAT::DOUBLE, 1) AS PRECIP_3H_MM FROM pw JOIN ga x ON x.TIME = a JOIN ga y ON y.TIME = z AND x.ROW = y.ROW".replace("strftime(TIME,", "strftime(pw.TIME,"))
+def replaced_gaps(spark: SparkSession, root: str) -> DataFrame:
+    f, plan = gapped(spark, root)
+    return fields.replacements(f, plan).select(stamp(), "ROW", F.round(F.col("PRECIP_3H_MM").cast("double"), 1).alias("PRECIP_3H_MM"))
+
+
+NAMED = "printf('%04d%03d.%02d.nc', year({0}), dayofyear({0}), hour({0}))"
+
+
+@query(f"WITH {GAPPED} SELECT {NAMED.format('TIME')} AS NAME, {NAMED.format('a')} AS SOURCE_BEFORE, {NAMED.format('z')} AS SOURCE_AFTER, round(1 - w, 9) AS WEIGHT_BEFORE, round(w, 9) AS WEIGHT_AFTER FROM pw")
+def replacement_provenance(spark: SparkSession, root: str) -> DataFrame:
+    return fields.provenance(gapped(spark, root)[1]).select("NAME", "SOURCE_BEFORE", "SOURCE_AFTER", *r("WEIGHT_BEFORE", "WEIGHT_AFTER", digits=9))
+
+
 # --- tracks -----------------------------------------------------------------------------------------------
 
 RAW = """rt AS (

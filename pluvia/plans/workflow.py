@@ -18,6 +18,8 @@ from ..session import ship
 from ..sources import files
 from . import figures
 
+#: A stage of its own, before all others, for an archive with gaps.
+REPLACE = "replace"
 STAGES = ("tracks", "cells", "histograms", "thresholds", "events", "analysis", "figures", "tables")
 SECTIONS = ("global", "decomposition", "distributions", "surface")
 
@@ -80,6 +82,21 @@ def field_table(spark: SparkSession, s: Settings) -> DataFrame:
     return f
 
 
+def run_replace(spark: SparkSession, s: Settings) -> None:
+    """Replacements of all missing time steps, and where they come from, below `replaced`; `--overrides` takes the first.
+
+    The archive is Parquet and is read without its checks: its times once, and the fields around gaps. A gap at an end
+    of the period has no two neighbours and is an error.
+    """
+    if s.netcdf:
+        raise ValueError("replacements are made of long Parquet fields")
+    all_fields = spark.read.parquet(s.fields).select("TIME", "ROW", "PRECIP_3H_MM")
+    plan = fields.gaps(fields.calendar(spark, s.first, s.last), all_fields)
+    fields.provenance(plan).coalesce(1).write.mode(_mode(s)).parquet(f"{s.work}/replaced/provenance")
+    kept = spark.read.parquet(f"{s.work}/replaced/provenance").join(plan, "TIME").select("TIME", "BEFORE", "AFTER")
+    fields.replacements(all_fields, kept).repartition("TIME").sortWithinPartitions("TIME", "ROW").write.mode(_mode(s)).parquet(f"{s.work}/replaced/fields")
+
+
 def run_tracks(spark: SparkSession, s: Settings) -> None:
     tracks.prepare(files.raw_tracks(spark, s.tracks_csv), s.first, s.last).write.mode(_mode(s)).parquet(f"{s.work}/tracks")
 
@@ -200,10 +217,10 @@ def run_tables(spark: SparkSession, s: Settings) -> None:
 
 def run(spark: SparkSession, s: Settings, stage: str = "all") -> None:
     """One stage, or all in order; a stage that fails stops the rest."""
-    if stage not in (*STAGES, "all"):
+    if stage not in (*STAGES, REPLACE, "all"):
         raise ValueError(f"no stage {stage}")
     if s.first > s.last:
         raise ValueError("the first year is after the last")
-    by_name = {"tracks": run_tracks, "cells": run_cells, "histograms": run_histograms, "thresholds": run_thresholds, "events": run_events, "analysis": run_analysis, "figures": run_figures, "tables": run_tables}
+    by_name = {REPLACE: run_replace, "tracks": run_tracks, "cells": run_cells, "histograms": run_histograms, "thresholds": run_thresholds, "events": run_events, "analysis": run_analysis, "figures": run_figures, "tables": run_tables}
     for name in STAGES if stage == "all" else (stage,):
         by_name[name](spark, s)
