@@ -38,6 +38,7 @@ def main() -> None:
     p.add_argument("--land", default="", help="table of the rows on land, for the surface section")
     p.add_argument("--sections", nargs="+", choices=SECTIONS, default=list(SECTIONS))
     p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--resume", action="store_true", help="keep the histograms of years that are there, and add the others in order")
     a = vars(p.parse_args())
     a["storms"], a["sections"] = tuple(a["storms"]), tuple(a["sections"])
     settings = Settings(**{f.name: a[f.name] for f in dataclass_fields(Settings)})

@@ -50,9 +50,9 @@ EVENTS = """ev AS (
   FROM orders)"""
 
 
-def wet_samples(spark: SparkSession, root: str) -> DataFrame:
-    """events as cells of storms: a row by user, a three-hour step, a single-precision value."""
-    e = table(spark, root, "events")
+def wet_samples(spark: SparkSession, root: str, e: DataFrame | None = None) -> DataFrame:
+    """events (`e`, if they are read otherwise) as cells of storms: a row by user, a three-hour step, a single-precision value."""
+    e = table(spark, root, "events") if e is None else e
     tick = F.make_timestamp_ntz(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), (F.floor(F.hour("ts") / 3) * 3).cast("int"), F.lit(0), F.lit(0))
     return e.select(
         "event_id", (F.col("user_id") % 100).cast("int").alias("ROW"), F.concat(F.lit("S"), F.col("user_id") % 25).alias("SID"), tick.alias("TIME"), F.lit("WP").alias("BASIN"),

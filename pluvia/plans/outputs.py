@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import row_lat, row_lon
-from ..operators import audit, bands, bootstrap, decompose, features, report
+from ..operators import audit, bands, bootstrap, decompose, events, features, report
 from ..session import shared_dir
 from ..sources import files
 from ..sources.tables import table
 from . import figures
-from .base import BASINS, EVENTS, ORACLE, YEARS, band_sql, query, storm_events, trend_sql
-from .records import STAMP, STORMS, all_raw_rows, stamp, storm_fields
+from ..streaming import incremental
+from .base import BASINS, EVENTS, ORACLE, YEARS, band_sql, query, storm_events, trend_sql, wet_samples
+from .records import EVENT_SQL, STAMP, STORMS, all_raw_rows, event_columns, local_thresholds, stamp, storm_fields
 from .series import BAND_BOOT, COUNTS, DOMAINS, HOW, SURFACE, _cell_sql, _draws_sql, _terms_sql, domain_bands, hemi_bands, parts, r, surface_bands
 
 LABEL = "CASE WHEN HEMISPHERE = 'NH' THEN ['0-15', '15-25', '25-35', '35-90'][BAND + 1] ELSE ['0-10', '10-15', '15-20', '20-90'][BAND + 1] END AS BAND_LABEL"
@@ -335,6 +336,18 @@ def file_digests(spark: SparkSession, root: str) -> DataFrame:
     return files.digests(spark, path, "*.txt").select("SHA256")
 
 
+@query(EVENT_SQL)
+def event_revisions(spark: SparkSession, root: str) -> DataFrame:
+    """Extreme cells by a file stream, kept by batch, as events: those of one batch over the whole table. The second run finds nothing new."""
+    path = scratch(spark)
+    c = wet_samples(spark, root, spark.readStream.schema(table(spark, root, "events").schema).parquet(f"{root}/events.parquet*"))
+    t = events.checked_thresholds(local_thresholds(wet_samples(spark, root)))
+    x = events.extreme_cells(c, t).withColumn("ROW", F.col("event_id"))  # samples of a user and step stay apart
+    for _ in range(2):
+        incremental.keep_extreme(x, f"{path}/cells", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return event_columns(incremental.events_so_far(spark, f"{path}/cells"))
+
+
 def put(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written by the driver through Hadoop's file systems."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

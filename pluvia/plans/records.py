@@ -417,10 +417,13 @@ xc AS (SELECT ce.*, POT99_MM_3H FROM ce JOIN th USING (ROW) WHERE NOT isnan(POT9
 ne AS (SELECT SID, TIME, min(BASIN) AS BASIN, min(TC_LAT) AS TC_LAT, avg(PRECIP_3H_MM::DOUBLE) AS m, count(*)::BIGINT AS N_EXTREME_CELLS, bool_or(IS_INTERPOLATED_TIMESTEP) AS IS_INTERPOLATED_TIMESTEP FROM xc GROUP BY ALL)"""
 
 
+def local_thresholds(c: DataFrame) -> DataFrame:
+    return c.select("ROW").distinct().where("ROW % 10 > 0").withColumn("POT99_MM_3H", F.when(F.col("ROW") % 9 == 0, float("nan")).otherwise(150 + F.col("ROW")).cast("float"))
+
+
 def extreme(spark: SparkSession, root: str) -> DataFrame:
     c = wet_samples(spark, root)
-    t = c.select("ROW").distinct().where("ROW % 10 > 0").withColumn("POT99_MM_3H", F.when(F.col("ROW") % 9 == 0, float("nan")).otherwise(150 + F.col("ROW")).cast("float"))
-    return events.extreme_cells(c, events.checked_thresholds(t))
+    return events.extreme_cells(c, events.checked_thresholds(local_thresholds(c)))
 
 
 @query(f"WITH {CELLS}, {LOCAL} SELECT event_id, ROW, {STAMP}, round(POT99_MM_3H::DOUBLE, 3) AS POT99_MM_3H FROM xc")

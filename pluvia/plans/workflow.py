@@ -6,7 +6,7 @@ reads and replaces just its own folders.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,7 @@ class Settings:
     land: str = ""  # a table of the rows on land, for the surface section
     sections: tuple[str, ...] = SECTIONS
     expected: str = ""  # a JSON document of published numbers, for the release's audit
+    resume: bool = False  # histograms of years that are there stay
     intervals: bool = False  # that audit makes bootstrap intervals anew
 
 
@@ -107,11 +108,27 @@ def run_cells(spark: SparkSession, s: Settings) -> None:
 
 
 def run_histograms(spark: SparkSession, s: Settings) -> None:
-    """A year's histogram is its own partition: years can be added or made anew one by one."""
+    """A year's histogram is its own partition: years can be added or made anew one by one.
+
+    resume: years that are there stay as they are, and the others follow in order, each in a write of its own, so
+    that a run that ended early goes on where it stopped. What is there must be the first years of the period.
+    """
+    if not s.resume:
+        _write_histograms(spark, s, s.overwrite)
+        return
+    have = files.years(spark, f"{s.work}/histograms")
+    inside = [y for y in have if s.first <= y <= s.last]
+    if inside != list(range(s.first, s.first + len(inside))):
+        raise ValueError(f"histograms of {inside} are not the first years from {s.first} on")
+    for y in range(s.first + len(inside), s.last + 1):
+        _write_histograms(spark, replace(s, first=y, last=y), False)
+
+
+def _write_histograms(spark: SparkSession, s: Settings, overwrite: bool) -> None:
     f = field_table(spark, s).withColumn("YEAR", F.year("TIME"))
     f = f.where(F.col("PRECIP_3H_MM") > 0.3)  # plain, so that dry row groups are skipped; a little less strict than what follows
     h = f.where(is_wet("PRECIP_3H_MM")).groupBy("YEAR", "ROW", thresholds.bin_of(F.col("PRECIP_3H_MM")).alias("BIN")).agg(F.count(F.lit(1)).alias("N"))
-    files.write_annual(h, f"{s.work}/histograms", s.overwrite)
+    files.write_annual(h, f"{s.work}/histograms", overwrite)
 
 
 def run_thresholds(spark: SparkSession, s: Settings) -> None:

@@ -8,6 +8,7 @@ from contextlib import closing
 from datetime import UTC, datetime, timedelta
 from urllib.parse import unquote, urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -56,6 +57,17 @@ def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("NAME"), F.col("path").alias("PATH"), F.sha2("content", 256).alias("SHA256"))
 
 
+def years(spark: SparkSession, path: str) -> list[int]:
+    """The years of a table partitioned by YEAR, in order; none if there is no table."""
+    try:
+        t = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return []
+    return sorted(r["YEAR"] for r in t.select(F.col("YEAR").cast("int").alias("YEAR")).distinct().collect())
+
+
 def annual(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """A table partitioned by YEAR, for the years; a year without rows, or outside its partition, is an error.
 
