@@ -534,7 +534,12 @@ def audit_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT 'monotonic axis' AS \"check\", count(*)::BIGINT AS failures FROM (SELECT s_acctbal - lag(s_acctbal) OVER (ORDER BY s_suppkey) AS d FROM supplier) WHERE d >= 0")
 def audit_axis(spark: SparkSession, root: str) -> DataFrame:
-    return audit.monotonic(table(spark, root, "supplier"), "s_suppkey", "s_acctbal")
+    return audit.monotonic(table(spark, root, "supplier"), "s_suppkey", "s_acctbal", block=16)
+
+
+@query("SELECT 'monotonic axis' AS \"check\", count(*)::BIGINT AS failures FROM (SELECT o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderkey) AS d FROM orders) WHERE d <= 0")
+def audit_long_axis(spark: SparkSession, root: str) -> DataFrame:
+    return audit.monotonic(table(spark, root, "orders"), "o_orderkey", "o_totalprice", down=False, block=1000)
 
 
 @query("SELECT p_brand, round(avg(p_retailprice), 6) AS value, round(avg(p_retailprice), 6) + 1 AS anchor FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 0) GROUP BY p_brand")

@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        own = sc.getConf().get("spark.checkpoint.dir")
+        own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not own and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="pluvia-"))
