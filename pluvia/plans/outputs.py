@@ -158,7 +158,7 @@ def _near_sql(keys: str, label: str, source: str, y: str) -> str:
 
 
 #: Published numbers are rounded, here so that some are within the tolerance and some are not.
-DIGITS = 10
+DIGITS = 9
 RELEASE_SQL = f"""
 {_near_sql("domain", "series", f"{EVENTS}, g AS (SELECT HEMISPHERE AS domain, YEAR, avg(EVENT_INTENSITY_MM_3H) AS mean FROM ev WHERE YEAR BETWEEN {YEARS[0]} AND {YEARS[1]} GROUP BY ALL)", "mean")}
 UNION ALL SELECT * FROM ({_near_sql("record_type, domain", "latitude", f"{EVENTS}, g AS (SELECT 'event' AS record_type, HEMISPHERE AS domain, YEAR, avg(abs(TC_LAT)) AS mean FROM ev GROUP BY ALL UNION ALL SELECT 'track', HEMISPHERE, YEAR, avg(abs(TC_LAT / 2)) FROM ev GROUP BY ALL)", "mean")})
@@ -284,14 +284,14 @@ def audit_grid(spark: SparkSession, root: str) -> DataFrame:
     """WITH x AS (SELECT user_id AS NAME, -event_id::DOUBLE + CASE WHEN event_id % 97 = 0 THEN 5000 ELSE 0 END AS v, event_id AS p FROM events),
 s AS (SELECT *, v - lag(v) OVER (PARTITION BY NAME ORDER BY p) AS s FROM x),
 f AS (SELECT NAME, count(*) AS n, count(*) FILTER (s < 0) AS falling, arg_min(v, p) AS a, arg_max(v, p) AS z FROM s GROUP BY ALL)
-SELECT 'lat size' AS "check", count(*) FILTER (n <> 10)::BIGINT AS failures FROM f UNION ALL SELECT 'lat direction', count(*) FILTER (falling <> n - 1)::BIGINT FROM f
-UNION ALL SELECT 'lat ends', count(*) FILTER (abs(a + 50) > 60 OR abs(z + 950) > 60)::BIGINT FROM f"""
+SELECT 'lat size' AS "check", count(*) FILTER (n <> 67)::BIGINT AS failures FROM f UNION ALL SELECT 'lat direction', count(*) FILTER (falling <> n - 1)::BIGINT FROM f
+UNION ALL SELECT 'lat ends', count(*) FILTER (abs(a + 75) > 75 OR abs(z + 9900) > 75)::BIGINT FROM f"""
 )
 def audit_archive_grids(spark: SparkSession, root: str) -> DataFrame:
     """Axes of an archive, one for each user: how many have another size, direction or ends."""
     v = -F.col("event_id").cast("double") + F.when(F.col("event_id") % 97 == 0, 5000).otherwise(0)
     axes = table(spark, root, "events").select(F.col("user_id").alias("NAME"), F.lit("lat").alias("AXIS"), F.col("event_id").alias("POS"), v.alias("VALUE"))
-    return audit.archive_grids(audit.axis_summaries(axes), {"lat": (10, -50.0, -950.0)}, 60.0)
+    return audit.archive_grids(audit.axis_summaries(axes), {"lat": (67, -75.0, -9900.0)}, 75.0)
 
 
 # --- files ------------------------------------------------------------------------------------------------
