@@ -76,13 +76,22 @@ def exact(cells: DataFrame, value: str, key: str = "ROW") -> DataFrame:
     return selection.nearest_rank(wet, [key], "v", QUANTILE, "POT99").select(key, F.col("n").alias("N_WET"), "POT99")
 
 
+#: Cells left unresolved that are named to the files, so that only their row groups or latitudes are read.
+FEW = 2000
+
+
 def refined(cells: DataFrame, value: str, key: str = "ROW", hist: DataFrame | None = None) -> DataFrame:
     """key, N_WET, POT99, THRESHOLD_METHOD: by histogram (`hist` if it is kept), and exactly for the cells it leaves unresolved.
 
-    Only cells left unresolved are read again, by a semi-join; their counts must agree with the histogram.
+    Only cells left unresolved are read again: by a semi-join, and with a histogram that is kept also by their numbers,
+    if they are FEW at most. Their counts must agree with the histogram.
     """
     first = from_histogram(histogram(cells, value, key) if hist is None else hist, key)
     rest = first.where("THRESHOLD_METHOD = 'unresolved'").select(key, F.col("N_WET").alias("_n"))
+    if hist is not None:
+        named = [r[0] for r in rest.select(key).limit(FEW + 1).collect()]
+        if len(named) <= FEW:
+            cells = cells.where(F.col(key).isin(named))
     again = exact(cells.join(rest, key, "left_semi"), value, key).join(rest, key)
     again = again.withColumn("POT99", F.when(F.col("_n") == F.col("N_WET"), F.col("POT99")).otherwise(F.raise_error(F.lit("counts of an exact cell differ from the histogram")).cast("float")))
     done = first.where("THRESHOLD_METHOD = 'histogram'")

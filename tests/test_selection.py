@@ -119,3 +119,21 @@ def test_empty_tables(spark):
     assert selection.nearest_rank(df, ["k"], "x", 0.99).collect() == []
     assert thresholds.exact(df, "x").collect() == []
     assert trend.trends(df.withColumn("YEAR", F.col("ROW")), ["k"], "x").collect() == []
+
+
+@pytest.mark.parametrize("few", [thresholds.FEW, 2])
+def test_cells_that_are_read_again(spark, tmp_path, monkeypatch, few):
+    """Named to the files while they are few, and by a join alone beyond that: the same thresholds."""
+    monkeypatch.setattr(thresholds, "FEW", few)
+    rng = np.random.default_rng(6)
+    rows = [(r, float(np.float32(v))) for r in range(20) for v in rng.gamma(2, 60 if r % 4 == 0 else 5, 150)]
+    spark.createDataFrame(rows, "ROW int, x float").repartition(1).sortWithinPartitions("ROW").write.parquet(str(tmp_path / "f"))
+    cells = spark.read.parquet(str(tmp_path / "f"))
+    hist = thresholds.histogram(cells, "x")
+    plain = {tuple(r) for r in thresholds.refined(cells, "x").collect()}
+    kept = thresholds.refined(cells, "x", hist=hist)
+    assert {tuple(r) for r in kept.collect()} == plain and {r[3] for r in plain} == {"histogram", "exact"}
+    scans = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("PushedFilters: [In(ROW" in scans) == (few > 2)
+    exact = {r: np.sort([v for k, v in rows if k == r and v > np.float32(0.3)]) for r in range(0, 20, 4)}
+    assert {r: p for r, _, p, how in plain if how == "exact"}.items() <= {r: v[math.ceil(0.99 * len(v)) - 1] for r, v in exact.items()}.items()
