@@ -161,7 +161,7 @@ def _near_sql(keys: str, label: str, source: str, y: str) -> str:
 DIGITS = 9
 RELEASE_SQL = f"""
 {_near_sql("domain", "series", f"{EVENTS}, g AS (SELECT HEMISPHERE AS domain, YEAR, avg(EVENT_INTENSITY_MM_3H) AS mean FROM ev WHERE YEAR BETWEEN {YEARS[0]} AND {YEARS[1]} GROUP BY ALL)", "mean")}
-UNION ALL SELECT * FROM ({_near_sql("record_type, domain", "latitude", f"{EVENTS}, g AS (SELECT 'event' AS record_type, HEMISPHERE AS domain, YEAR, avg(abs(TC_LAT)) AS mean FROM ev GROUP BY ALL UNION ALL SELECT 'track', HEMISPHERE, YEAR, avg(abs(TC_LAT / 2)) FROM ev GROUP BY ALL)", "mean")})
+UNION ALL SELECT * FROM ({_near_sql("record_type, domain", "latitude", f"{EVENTS}, h AS (SELECT CASE WHEN TC_LAT >= 0 THEN 'NH' ELSE 'SH' END AS domain, YEAR, TC_LAT FROM ev), g AS (SELECT 'event' AS record_type, domain, YEAR, avg(abs(TC_LAT)) AS mean FROM h GROUP BY ALL UNION ALL SELECT 'track', domain, YEAR, avg(abs(TC_LAT / 2)) FROM h GROUP BY ALL)", "mean")})
 UNION ALL SELECT 'annual closure', true UNION ALL SELECT 'component slopes', true
 UNION ALL SELECT 'event count', (SELECT count(*) FROM orders) = (SELECT 2 * count(*) FILTER (o_orderkey % 2 = 0) FROM orders)
 UNION ALL SELECT 'band medians', true UNION ALL SELECT 'band counts', true

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import row_lat, row_lon
 from ..functions.scalars import is_wet
-from ..operators import bands, bootstrap, decompose, events, features, fields, report, thresholds, tracks, trend
+from ..operators import audit, bands, bootstrap, decompose, events, features, fields, report, thresholds, tracks, trend
 from ..session import ship
 from ..sources import files
 from . import figures
@@ -76,13 +76,18 @@ def field_table(spark: SparkSession, s: Settings) -> DataFrame:
     if s.overrides:
         f = fields.overridden(f, spark.read.parquet(s.overrides).where(inside))
     if not s.partial:
-        gone = calendar.select("TIME", "NAME").join(f.select("TIME").distinct(), "TIME", "left_anti")
-        names = [r["NAME"] for r in gone.orderBy("NAME").limit(5).collect()]
-        if names:
-            raise FileNotFoundError(f"fields are missing, such as {names}")
+        complete(calendar, f)
     return f
 
 
+def complete(calendar: DataFrame, f: DataFrame) -> None:
+    """An error if a step of the calendar has no field."""
+    gone = calendar.select("TIME", "NAME").join(f.select("TIME").distinct(), "TIME", "left_anti")
+    names = [r["NAME"] for r in gone.orderBy("NAME").limit(5).collect()]
+    if names:
+        raise FileNotFoundError(f"fields are missing, such as {names}")
+
+
 def run_replace(spark: SparkSession, s: Settings) -> None:
     """Replacements of all missing time steps, and where they come from, below `replaced`; `--overrides` takes the first.
 
@@ -99,7 +104,10 @@ def run_replace(spark: SparkSession, s: Settings) -> None:
 
 
 def run_tracks(spark: SparkSession, s: Settings) -> None:
-    tracks.prepare(files.raw_tracks(spark, s.tracks_csv), s.first, s.last).write.mode(_mode(s)).parquet(f"{s.work}/tracks")
+    raw = files.raw_tracks(spark, s.tracks_csv)
+    if gone := audit.columns_missing(raw, list(audit.REQUIRED)):
+        raise ValueError(f"the track archive has no columns {gone}")
+    tracks.prepare(raw, s.first, s.last).write.mode(_mode(s)).parquet(f"{s.work}/tracks")
 
 
 def run_cells(spark: SparkSession, s: Settings) -> None:
@@ -239,5 +247,8 @@ def run(spark: SparkSession, s: Settings, stage: str = "all") -> None:
     if s.first > s.last:
         raise ValueError("the first year is after the last")
     by_name = {REPLACE: run_replace, "tracks": run_tracks, "cells": run_cells, "histograms": run_histograms, "thresholds": run_thresholds, "events": run_events, "analysis": run_analysis, "figures": run_figures, "tables": run_tables}
+    if stage == "all" and not s.partial and not s.netcdf:
+        field_table(spark, s)  # the archive's times are read once, and before anything is written
+        s = replace(s, partial=True)
     for name in STAGES if stage == "all" else (stage,):
         by_name[name](spark, s)

@@ -70,3 +70,18 @@ def test_histograms_go_on(spark, tmp_path):
     run(spark, gap, "histograms")
     with pytest.raises(ValueError, match="not the first years"):
         run(spark, dataclasses.replace(gap, first=2000), "histograms")
+
+
+def test_an_archive_with_gaps_stops_before_anything_is_written(spark, tmp_path):
+    spark.createDataFrame([(datetime(2000, 1, 1), 1, 1.0, False)], "TIME timestamp, ROW int, PRECIP_3H_MM float, IS_INTERPOLATED boolean").write.parquet(str(tmp_path / "fields"))
+    s = Settings(work=str(tmp_path / "w"), tracks_csv=str(tmp_path / "none.csv"), fields=str(tmp_path / "fields"), first=2000, last=2000)
+    for stage in ("all", "histograms"):
+        with pytest.raises(FileNotFoundError, match="2000001.03.nc"):
+            run(spark, s, stage)
+    assert not (tmp_path / "w").exists()
+
+
+def test_a_track_archive_without_its_columns(spark, tmp_path):
+    (tmp_path / "tracks.csv").write_text("SID,SEASON,BASIN,NAME,ISO_TIME,LAT\n , , , , ,\nS,2000,NA,N,2000-01-01 00:00:00,1\n")
+    with pytest.raises(ValueError, match="LON.*TRACK_TYPE"):
+        run(spark, Settings(work=str(tmp_path / "w"), tracks_csv=str(tmp_path / "tracks.csv"), first=2000, last=2000), "tracks")
