@@ -12,9 +12,8 @@ is measured, by one rule at every size: PROBES queries are compared with all vec
 number of entries within which RECALL of their true neighbours lie. On vectors without any structure that is
 near a sixth of all entries at 50,000 vectors of 64 parts, and falls as they become more.
 
-What the index saves is pieces, not products inside one: a piece that a query reaches is multiplied whole, which a
-matrix product does faster than slices of it, and entries beyond the reach are left out after that. On small tables, and on vectors
-without structure, a query reaches nearly all pieces.
+Only entries of cells within a query's reach are multiplied with it; a cell beyond it costs one sum. On small tables, and on
+vectors without structure, a query reaches nearly all pieces, but not all of their cells.
 
 Entries are kept in pieces, by first centroids that lie near one another; a first centroid with many entries has pieces
 of its own. Every entry goes to one task, once. A query goes to the pieces in which it reaches a cell, and a task
@@ -136,15 +135,13 @@ class Index:
             wanted = held + held // 3 + 1
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int, out_of_reach=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, entry's place, score) of the best `top` entries for each query; not the query's own id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, _CELLS // max(1, len(x)))
     for lo in range(0, len(q), step):
         part = q[lo : lo + step]
         rough = part @ x.T
-        if out_of_reach is not None:
-            rough[out_of_reach(lo, lo + step)] = -np.inf
         rough[q_ids[lo : lo + step][:, None] == ids[None, :]] = -np.inf
         if rough.shape[1] > top:
             cut = np.partition(rough, rough.shape[1] - top, axis=1)[:, -top]
@@ -160,6 +157,29 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+class Piece:
+    """The entries of a piece, those of a cell together."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray):
+        order = np.lexsort((j, i))
+        self.ids, self.x, i, j = ids[order], x[order], i[order], j[order]
+        starts = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(j) != 0)])
+        self.i, self.j, self.n = i[starts], j[starts], np.diff(np.r_[starts, len(i)])
+
+    def within(self, d1: np.ndarray, d2: np.ndarray, reach: float) -> np.ndarray:
+        """Places of the entries whose cells a query reaches."""
+        return np.flatnonzero(np.repeat(d1[self.i] + d2[self.j] <= reach, self.n))
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, d1: np.ndarray, d2: np.ndarray, reach: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, vec_id, score) of the best `top` entries within each query's reach."""
+        out = []
+        for k in range(len(q)):
+            at = self.within(d1[k], d2[k], reach[k])
+            r, e, s = _best(q_ids[k : k + 1], q[k : k + 1], self.ids[at], self.x[at], top)
+            out.append((r + k, self.ids[at[e]], s))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(_NONE)).to_numpy(zero_copy_only=False)
 
@@ -286,11 +306,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, recall: float
         now, held, entry = None, [], None
 
         def answered(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, x, i, j = entry
             q_ids, q, reach = b.column(1).to_numpy(), matrix(b.column(3), dims)[1], b.column(2).to_numpy()
-            d1, d2 = own.distances(q)
-            r, e, s = _best(q_ids, q, ids, x, top, lambda lo, hi: d1[lo:hi][:, i] + d2[lo:hi][:, j] > reach[lo:hi, None])
-            named = ids[e]
+            r, named, s = entry.best(q_ids, q, *own.distances(q), reach, top)
             return pa.record_batch([pa.array(q_ids[r]), pa.array(named, mask=named == _NONE), pa.array(s)], ["query_id", "vec_id", "score"])
 
         for b in batches:  # of each piece: its entries, then the queries
@@ -308,7 +325,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, recall: float
                     continue
                 if entry is None and held:
                     ids, x, c = (np.concatenate(y) for y in zip(*held, strict=True))
-                    entry, held = (ids, x, c // len(own.c2), c % len(own.c2)), []
+                    entry, held = Piece(ids, x, c // len(own.c2), c % len(own.c2)), []
                 if entry is not None:
                     yield answered(part)
         give_back()

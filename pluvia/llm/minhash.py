@@ -15,7 +15,8 @@ number that holds this below MISS at the similarity asked for (8 at 0.85, 11 at
    the task. A large component is dealt into pieces of BLOCK classes. Each piece also gets PIVOTS classes,
    those that agree with the most others of their own pieces, which as a rule joins copies of one text in
    a pass over them. What is not in the component's largest part then is compared with all the rest,
-   by pairs of pieces, so that no link is lost where pivots do not do.
+   by pairs of pieces, so that no link is lost where pivots do not do. Texts leave the documents once:
+   the texts of that pass are written, and the pairs of pieces take theirs from there.
 4. Components of confirmed links, over classes, give component_id: the least doc_id of their rows.
 
 Defined results: a null text, or one without a word, has an empty set and is linked with nothing. A text
@@ -269,17 +270,17 @@ class Texts:
     k: int
     link: int
 
-    def located(self, rows: DataFrame) -> DataFrame:
-        """Rows (id, ...) with the doc_id and h of their texts."""
-        return rows.join(self.classes.select("id", "doc_id", "h"), "id")
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, ...) with their texts, by a shuffle of texts by doc_id at every size."""
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        located = rows.join(self.classes.select("id", "doc_id", "h"), "id").hint("merge")
+        found = texts.join(located, ["doc_id", "h"]).select(*rows.columns, "text")
+        return found.groupBy(*rows.columns).agg(F.first("text").alias("text")) if self.again else found
 
     def compared(self, rows: DataFrame) -> DataFrame:
-        """Links of rows (task, id, known, piece, doc_id, h)."""
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-        found = texts.join(rows, ["doc_id", "h"]).select("task", "id", "known", "piece", "text")
-        if self.again:
-            found = found.groupBy("task", "id", "known", "piece").agg(F.first("text").alias("text"))
-        return found.repartition("task").sortWithinPartitions("task").mapInArrow(_tasks(self.k, self.link), "u long, v long")
+        """Links of rows (task, id, known, piece, text)."""
+        rows = rows.select("task", "id", "known", "piece", "text")
+        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_tasks(self.k, self.link), "u long, v long")
 
 
 def _elected(t: pa.Table) -> pa.Table:
@@ -298,18 +299,18 @@ def links(texts: Texts, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = stored(attach(clusters, "component", sizes, "id").withColumn("piece", piece(F.col("pieces"), 3)), "dealt")
     large = dealt.where("pieces > 1")
     some = not large.isEmpty()
-    own = dealt.select("component", "id", "piece")
+    own = dealt.select("component", "id", "piece", (F.col("pieces") > 1).alias("home"))
     if some:
         best = large.join(texts.classes.select("id", "sub"), "id").groupBy("component", "piece").applyInArrow(_elected, "component long, id long, score long")
         rank = F.row_number().over(W.partitionBy("component").orderBy(F.desc("score"), "id"))
         guests = best.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).join(sizes.where("pieces > 1"), "component")
-        guests = guests.select("component", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-        own = own.unionByName(guests).distinct()
-    own = own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece"))
-    # texts meet their tasks in the same way at every size, in a shuffle by doc_id
-    part = components(texts.compared(texts.located(own).hint("merge")))
+        others = F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), piece(F.col("pieces"), 3))
+        own = own.unionByName(guests.select("component", "id", F.explode(others).alias("piece"), F.lit(False).alias("home")))
+    own = texts.of(own.select(F.concat_ws(":", "component", "piece").alias("task"), "id", F.col("id").alias("known"), F.lit(0).alias("piece"), "home"))
     if not some:
-        return part
+        return components(texts.compared(own))
+    own = stored(own, "members")
+    part = components(texts.compared(own))
     part = stored(part, "parts").withColumnRenamed("component", "known")
     rows = large.select("component", "id").join(part, "id", "left").withColumn("known", F.coalesce("known", "id"))
     counts = rows.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
@@ -322,8 +323,8 @@ def links(texts: Texts, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda o: F.when(F.col("piece") < 0, name(o, "piece")).otherwise(name(F.least("piece", o), F.greatest("piece", o))))
     with_main = F.when(F.col("piece") >= 0, F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: name("piece", -1 - o))).otherwise(F.array().cast("array<string>"))
     rows = rows.select(F.explode(F.concat(others, with_main)).alias("task"), "id", "known", "piece")
-    rows = stored(texts.located(rows), "rest")  # as a rule few: by the table's size Spark decides whether texts need a shuffle
-    more = components(texts.compared(rows)).withColumnRenamed("id", "known")
+    rows = stored(rows, "rest")
+    more = components(texts.compared(own.where("home").select("id", "text").join(rows, "id"))).withColumnRenamed("id", "known")
     # what pairs of pieces have joined are parts; a part alone in a cluster is new as such
     alone = rows.select("known").distinct().select(F.col("known").alias("id"), "known")
     named = part.unionByName(alone.join(part.select("id"), "id", "left_anti"))

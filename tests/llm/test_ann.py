@@ -90,6 +90,36 @@ def test_reach_is_that_of_the_cells_in_order():
             assert own.reach(d1, d2, depth) == sums[order[min(np.searchsorted(held, depth), len(order) - 1)]]
 
 
+@pytest.mark.parametrize("kind", ["sphere", "clusters"])
+def test_only_entries_in_reach_are_multiplied(kind):
+    rng = np.random.default_rng(5)
+    n, half = 10_000, 32
+    x = rng.normal(size=(n, 64)) if kind == "sphere" else clustered(n, 64, rng)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    k = int(ann.PER_ROOT * n**0.5)
+    own = ann.Index(ann.kmeans(x[:, :half], k, 2), ann.kmeans(x[:, half:], k, 2), *np.zeros((3, 0), np.int64))
+    i, j = own.codes(x)
+    cells, own.n = np.unique(i * k + j, return_counts=True)
+    own.i, own.j = cells // k, cells % k
+    ids = rng.permutation(n)
+    piece = ann.Piece(ids, x, i, j)
+    q = x[:40]
+    d1, d2 = own.distances(q)
+    reach = np.array([own.reach(a, b, n // 5) for a, b in zip(d1, d2, strict=True)]) + 1e-9
+    r, named, s = piece.best(ids[:40], q, d1, d2, reach, 20)
+    products = 0
+    for a in range(40):
+        near = d1[a, i] + d2[a, j] <= reach[a]
+        products += len(piece.within(d1[a], d2[a], reach[a]))
+        assert sorted(piece.ids[piece.within(d1[a], d2[a], reach[a])]) == sorted(ids[near])
+        score = np.where(near & (ids != ids[a]), np.cumsum(x * q[a], axis=1)[:, -1], -np.inf)
+        best = np.lexsort((ids, -score))[:20]
+        assert named[r == a].tolist() == ids[best].tolist() and s[r == a].tolist() == score[best].tolist()
+    assert n // 5 * 40 <= products <= n * 40 // 2
+    none = piece.best(ids[:1], q[:1], d1[:1], d2[:1], np.array([-np.inf]), 20)
+    assert [len(c) for c in none] == [0, 0, 0]
+
+
 def test_matrix_of_a_sliced_column():
     c = pa.array([[9.0, 9.0], None, [1.0, 2.0], [1.0, None], [0.0, 0.0], [float("nan"), 1.0], [3.0], [4.0, 5.0]], pa.list_(pa.float32())).slice(1)
     rows, x = matrix(c, 2)
