@@ -5,6 +5,8 @@ distinct phrases' hashes are the text's set, and its fingerprint is the K least
 fewer). Two sets' similarity (intersection over union) is estimated from the K least hashes of their union,
 all of which the two fingerprints hold. Texts that compress one another share phrases.
 
+An edited text begins like its own one, whose parse is taken back to the end of what both share and goes on from there.
+
 A text is parsed in pieces of PIECE characters that begin where a phrase begins. The dictionary starts anew
 after DICTIONARY phrases, so that a task's memory is bounded for texts of any length; what was found before stays
 in the set. Both are fixed, so that a fingerprint depends on the text alone.
@@ -25,6 +27,7 @@ import bisect
 import gc
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +47,11 @@ RANGES = 20_000
 Sketch = np.ndarray
 
 
-def phrase_ends(text: str, root: dict, left: int, last: bool) -> tuple[list[int], dict, int]:
+def phrase_ends(text: str, root: dict, left: int, last: bool, log: list[tuple[dict, str]] | None = None) -> tuple[list[int], dict, int]:
     """(ends of the phrases, the dictionary, how many more phrases it takes), from a phrase's beginning on.
 
-    Without `last` the text goes on, and a phrase that it breaks is left for the next piece.
+    Without `last` the text goes on, and a phrase that it breaks is left for the next piece. log: takes what the
+    dictionary gets, so that it can be taken back.
     """
     node, ends = root, []
     add = ends.append
@@ -57,6 +61,8 @@ def phrase_ends(text: str, root: dict, left: int, last: bool) -> tuple[list[int]
             node = deeper
             continue
         node[ch] = {}
+        if log is not None:
+            log.append((node, ch))
         add(i)
         left -= 1
         if not left:
@@ -85,17 +91,68 @@ def sketch(text: str, k: int = K) -> Sketch:
         part = text[at : at + PIECE]
         last = at + len(part) == len(text)
         ends, root, left = phrase_ends(part, root, left, last)
-        out = np.unique(np.concatenate([out, _hashes(part, ends)]))[:k]
+        out = _least(np.concatenate([out, _hashes(part, ends)]), k)
         at += ends[-1]
     return out
 
 
+def _least(hashes: np.ndarray, k: int) -> Sketch:
+    """The k least of the hashes, each once, in order."""
+    h = np.sort(hashes)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new][:k]
+
+
+@dataclass
+class Parsed:
+    """A text's sketch, and what a text with the same beginning need not parse again; without `root` that is nothing."""
+
+    sketch: Sketch
+    root: dict | None = None
+    left: int = 0
+    at: int = 0  # where the first phrase that is not in `root` begins
+    hashes: np.ndarray | None = None  # of the phrases before
+
+
+def parsed(text: str, begin: int, k: int = K) -> Parsed:
+    """The text's sketch, with its phrases within the first `begin` characters kept.
+
+    A text that may fill a dictionary, or that has several pieces, keeps none.
+    """
+    if not text or len(text) > min(PIECE, DICTIONARY - 1):
+        return Parsed(sketch(text, k))
+    ends, root, left = phrase_ends(text[:begin], {}, DICTIONARY, False)
+    at = ends[-1] if ends else 0
+    log: list[tuple[dict, str]] = []
+    more = phrase_ends(text[at:], root, left, True, log)[0]
+    hashes = _hashes(text, ends + [at + e for e in more])
+    for node, ch in reversed(log):
+        del node[ch]
+    return Parsed(_least(hashes, k), root, left, at, hashes[: len(ends)])
+
+
+def sketch_from(p: Parsed, text: str, k: int = K) -> Sketch:
+    """The sketch of a text that begins like that of `p`, which is used up."""
+    if p.root is None or len(text) > min(PIECE, DICTIONARY - 1):
+        return sketch(text, k)
+    rest = text[p.at :]
+    ends = phrase_ends(rest, p.root, p.left, True)[0]
+    p.root = None
+    return _least(np.concatenate([p.hashes, _hashes(rest, ends)]) if rest else p.hashes, k)
+
+
 def likeness(a: Sketch, b: Sketch, k: int = K) -> float:
-    """Estimated similarity of two sets of phrases."""
-    union = np.union1d(a, b)[:k]
-    if not len(union):
+    """Estimated similarity of two sets of phrases: of the k least hashes of their union, the share that both have."""
+    h = np.sort(np.concatenate([a, b]))
+    if not len(h):
         return 1.0
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum()) / len(union)
+    both = h[1:] == h[:-1]  # a sketch has each hash once
+    union = min(k, len(h) - int(both.sum()))
+    # the union's i-th hash stands i places and as many as have come twice before it from the start
+    rank = np.arange(len(h) - 1) - np.cumsum(both) + both
+    return float((both & (rank < union)).sum()) / union
 
 
 def written(s: Sketch) -> str:
@@ -136,8 +193,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 def spliced(text: str, following: str) -> str:
     """The text with its last half replaced by the beginning of the following one, as many characters or all there are."""
-    half = len(text) // 2
-    return text[: len(text) - half] + following[:half]
+    return text[: _kept(text)] + following[: len(text) // 2]
+
+
+def _kept(text: str) -> int:
+    """Characters at the beginning of a text that `spliced` keeps."""
+    return len(text) - len(text) // 2
 
 
 def _bounds(rows: DataFrame, parallel: int, range_chars: int) -> list[tuple[bool, int, int]]:
@@ -190,8 +251,8 @@ def neighbours(docs: DataFrame, k: int = K, range_chars: int = RANGE_CHARS) -> D
     meet = dealt.repartitionById(len(bounds), "range").sortWithinPartitions("range", "ahead", F.col("doc_id").desc_nulls_last(), "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, str, Sketch] | None = None
-        now = None
+        held: tuple[int | None, str, Parsed] | None = None
+        now = copies = None
         for b in batches:
             out: list[tuple] = []
             for r, ahead, doc_id, text in zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True):
@@ -199,12 +260,21 @@ def neighbours(docs: DataFrame, k: int = K, range_chars: int = RANGE_CHARS) -> D
                     now, held = r, None
                 elif held is None:  # a further copy of the look ahead
                     continue
-                new = held[2] if held and held[1] == text else sketch(text, k)
+                same = held is not None and held[1] == text
+                new = held[2] if same else parsed(text, _kept(text), k)
                 if held:
                     mine, whole, own = held
-                    edited = spliced(whole, text)
-                    other = own if edited == whole else sketch(edited, k)
-                    out.append((mine, len(whole), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(other), likeness(own, other, k), likeness(own, new, k)))
+                    if not same:
+                        copies = None
+                    if copies is None:
+                        edited = spliced(whole, text)
+                        # what a copy was parsed for may be used up; the sketch is there
+                        other = own.sketch if edited == whole else sketch_from(own, edited, k)
+                        result = (len(whole), hashlib.sha256(edited.encode()).hexdigest(), written(own.sketch), written(other), likeness(own.sketch, other, k), likeness(own.sketch, new.sketch, k))
+                        copies = result if same else None
+                    else:
+                        result = copies
+                    out.append((mine, *result))
                 held = None if ahead else (doc_id, text, new)
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], _NAMES)

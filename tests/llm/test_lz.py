@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,6 +71,30 @@ def test_long_texts(monkeypatch):
     assert abs(len(lz.sketch(text, 10**6)) - len(found)) <= 1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("abé ", max_size=90), st.text("abé ", max_size=90))
+def test_shared_beginning(text, following):
+    """Going on from a shared beginning gives what parsing anew does, and parses no more than the rest."""
+    edited, read = lz.spliced(text, following), []
+    p = lz.parsed(text, lz._kept(text), 1000)
+    assert (p.sketch == lz.sketch(text, 1000)).all()
+    assert p.root is None or p.at <= lz._kept(text) == len(text) - len(text) // 2
+    with pytest.MonkeyPatch.context() as m:
+        whole = lz.phrase_ends
+        m.setattr(lz, "phrase_ends", lambda t, *a: read.append(len(t)) or whole(t, *a))
+        got = lz.sketch_from(p, edited, 1000)
+    assert sum(read) == len(edited) - p.at
+    assert (got == lz.sketch(edited, 1000)).all()
+
+
+@given(st.sets(st.integers(0, 40)), st.sets(st.integers(0, 40)), st.integers(1, 50))
+def test_likeness_of_least_hashes(a, b, k):
+    x, y = (np.array(sorted(s)[:k], np.uint32) for s in (a, b))
+    union = sorted({*x.tolist(), *y.tolist()})[:k]
+    want = len(set(union) & set(x.tolist()) & set(y.tolist())) / len(union) if union else 1.0
+    assert lz.likeness(x, y, k) == want
+
+
 def expected(rows):
     """(doc_id, text, hash of the text) in order, each with the next one."""
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
