@@ -83,16 +83,25 @@ def replacements(fields: DataFrame, plan: DataFrame, value: str = "PRECIP_3H_MM"
     """TIME, ROW, value, IS_INTERPOLATED for each row (TIME, BEFORE, AFTER) of a plan.
 
     A plan whose time is not strictly between the two is an error, as is a cell that only one of the two
-    fields has, or a field that is not there. One equi-join on time for all of them: each plan row asks for
-    its two fields, with the weights that follow from the times.
+    fields has or that one has twice, a field that is not there, or a time that the plan has twice. Cells
+    meet once for each two fields, by a shuffle of cells, and are then blended for all times between the two.
+    Only the plan, a row for each step, is broadcast: a join by time would put a whole field into one task.
     """
-    ends = F.array(F.struct(F.col("BEFORE").alias("TIME"), F.col("WEIGHT_BEFORE").alias("_w")), F.struct(F.col("AFTER").alias("TIME"), F.col("WEIGHT_AFTER").alias("_w")))
-    asked = weights(plan).select(F.col("TIME").alias("_t"), F.explode(ends).alias("_x")).select("_t", "_x.*")
-    f = fields.select("TIME", "ROW", F.col(value).cast("double").alias("_v"))
-    found = asked.join(f, "TIME", "left")
-    both = found.groupBy("_t", "ROW").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_k"), F.count("ROW").alias("_n"))
-    v = F.when(F.col("_n") != 2, F.raise_error(F.lit("fields of different cells")).cast("double")).when(F.col("_k") == 2, F.col("_s"))
-    return both.select(F.col("_t").alias("TIME"), "ROW", v.cast("float").alias(value), F.lit(True).alias("IS_INTERPOLATED"))
+    twice = F.count(F.lit(1)).over(W.partitionBy("TIME")) > 1
+    steps = weights(plan).withColumn("_t", F.when(twice, F.raise_error(F.lit("a time is to be replaced twice")).cast("timestamp")).otherwise(F.col("TIME"))).drop("TIME")
+    ends = F.array(F.struct(F.col("BEFORE").alias("TIME"), F.lit(True).alias("_first")), F.struct(F.col("AFTER").alias("TIME"), F.lit(False).alias("_first")))
+    asked = plan.select("BEFORE", "AFTER").distinct().select("BEFORE", "AFTER", F.explode(ends).alias("_x")).select("BEFORE", "AFTER", "_x.*")
+    have = fields.select("TIME").distinct().withColumn("_has", F.lit(True))
+    first = F.when(F.col("_has"), F.col("_first")).otherwise(F.raise_error(F.lit("no field for a time of the plan")).cast("boolean"))
+    asked = asked.join(have, "TIME", "left").select("TIME", "BEFORE", "AFTER", first.alias("_first"))
+    found = fields.select("TIME", "ROW", F.col(value).cast("double").alias("_v")).join(F.broadcast(asked), "TIME")
+    side = lambda x, f: f(F.when(F.col("_first") == x, F.col("_v")))
+    n = lambda x: F.count(F.when(F.col("_first") == x, F.col("ROW")))
+    both = found.groupBy("BEFORE", "AFTER", "ROW").agg(side(True, F.sum).alias("_a"), side(False, F.sum).alias("_b"), n(True).alias("_m"), n(False).alias("_n"))
+    out = both.join(F.broadcast(steps), ["BEFORE", "AFTER"])
+    whole = (F.col("_m") == 1) & (F.col("_n") == 1)
+    v = F.when(whole, F.col("WEIGHT_BEFORE") * F.col("_a") + F.col("WEIGHT_AFTER") * F.col("_b")).otherwise(F.raise_error(F.lit("fields of different cells")).cast("double"))
+    return out.select(F.col("_t").alias("TIME"), "ROW", v.cast("float").alias(value), F.lit(True).alias("IS_INTERPOLATED"))
 
 
 # How a replacement was made.

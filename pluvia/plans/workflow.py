@@ -91,7 +91,7 @@ def complete(calendar: DataFrame, f: DataFrame) -> None:
 def run_replace(spark: SparkSession, s: Settings) -> None:
     """Replacements of all missing time steps, and where they come from, below `replaced`; `--overrides` takes the first.
 
-    The archive is Parquet and is read without its checks: its times once, and the fields around gaps. A gap at an end
+    The archive is Parquet and is read without its checks: its times, and the fields around gaps. A gap at an end
     of the period has no two neighbours and is an error.
     """
     if s.netcdf:
