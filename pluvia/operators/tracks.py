@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -35,18 +37,26 @@ def unwrapped(rows: DataFrame, out: str = "_u") -> DataFrame:
     return rows.withColumn("_step", step).withColumn(out, F.first("LON").over(run) + F.sum("_step").over(run)).drop("_step")
 
 
-def bracketed(value: str, before: W, after: W) -> Column:
-    """Linear in time between the nearest values before and after; null outside them."""
+def bracketed(value: str, at: Column, upto: W, after: W) -> tuple[Column, Callable[[str], Column]]:
+    """The nearest values up to a row and after it, each with its time, and what makes of the two, by name, the value at `at`.
+
+    Linear in time between them; null outside.
+    """
     s = F.unix_micros("TIME").cast("double")
     mark = F.when(F.col(value).isNotNull(), F.struct(s.alias("s"), F.col(value).alias("v")))
-    a, b = F.last(mark, ignorenulls=True).over(before), F.first(mark, ignorenulls=True).over(after)
-    # multiplied first, so that whole numbers between whole numbers come out whole
-    return F.when(a["s"] == b["s"], a["v"]).otherwise(a["v"] + F.try_divide((b["v"] - a["v"]) * (s - a["s"]), b["s"] - a["s"]))
+    ends = F.struct(F.last(mark, ignorenulls=True).over(upto).alias("a"), F.first(mark, ignorenulls=True).over(after).alias("b"))
+
+    def value_at(name: str) -> Column:
+        a, b = F.col(f"{name}.a"), F.col(f"{name}.b")
+        # multiplied first, so that whole numbers between whole numbers come out whole
+        return F.when(a["s"] == at, a["v"]).otherwise(a["v"] + F.try_divide((b["v"] - a["v"]) * (at - a["s"]), b["s"] - a["s"]))
 
+    return ends, value_at
 
-def filled(value: str, before: W, after: W) -> Column:
-    """The last value before, else the first one after."""
-    return F.coalesce(F.last(value, ignorenulls=True).over(before), F.first(value, ignorenulls=True).over(after))
+
+def filled(value: str, upto: W, after: W) -> Column:
+    """The last value up to a row, else the first one after."""
+    return F.coalesce(F.last(value, ignorenulls=True).over(upto), F.first(value, ignorenulls=True).over(after))
 
 
 def interpolated(anchors: DataFrame) -> DataFrame:
@@ -61,27 +71,29 @@ def interpolated(anchors: DataFrame) -> DataFrame:
 def _ticked(rows: DataFrame) -> DataFrame:
     """`interpolated` of rows that are one for each storm and time, with their unwrapped longitude _u.
 
-    Each storm's first row lists its ticks, so that rows are read once; an anchor and the tick at its time
-    become one row.
+    Each row has the nearest values on either side, and gives the ticks from its time to before the next row's: windows and
+    their sort see the rows, never the ticks.
     """
     hour3 = 3 * 3600
-    storm = W.partitionBy("SID")
-    second = lambda f: F.unix_micros(f("TIME").over(storm)) / 1_000_000 / hour3
-    first, last = (F.ceil(second(F.min)) * hour3).cast("long"), (F.floor(second(F.max)) * hour3).cast("long")
-    lead = F.row_number().over(storm.orderBy("TIME")) == 1
-    ticks = F.when(lead & (F.col("_i") <= F.col("_j")), F.transform(F.sequence("_i", "_j", F.lit(hour3).cast("long")), F.timestamp_seconds))
-    own = [c for c in rows.columns if c not in ("SID", "TIME")]
-    own_row = F.struct(F.col("TIME").cast("timestamp").alias("TIME"), F.lit(None).cast("boolean").alias("_tick"), F.struct(*own).alias("_row"))
-    empty = F.lit(None).cast(rows.select(F.struct(*own)).schema[0].dataType)
-    others = F.transform(F.coalesce("_ticks", F.array().cast("array<timestamp>")), lambda t: F.struct(t.alias("TIME"), F.lit(True).alias("_tick"), empty.alias("_row")))
-    both = rows.withColumns({"_i": first, "_j": last}).withColumn("_ticks", ticks).select("SID", F.explode(F.concat(F.array(own_row), others)).alias("_x")).select("SID", "_x.*")
-    all_ = both.groupBy("SID", "TIME").agg(F.max("_tick").alias("_tick"), F.first("_row", ignorenulls=True).alias("_row")).select("SID", "TIME", "_tick", "_row.*")
-    w = storm.orderBy("TIME")
-    before, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.currentRow, W.unboundedFollowing)
-    new = {"LAT": bracketed("LAT", before, after), "LON": F.pmod(bracketed("_u", before, after), F.lit(360.0))}
-    new |= {c: bracketed(c, before, after) for c in ("USA_WIND", "USA_PRES") if c in rows.columns}
-    new |= {c: filled(c, before, after) for c in CARRIED if c in rows.columns}
-    return all_.withColumns(new).where("_tick").drop("_tick", "_u").select("SID", "TIME", *(c for c in own if c != "_u"))
+    own = [c for c in rows.columns if c not in ("SID", "TIME", "_u")]
+    rows = rows.withColumn("TIME", F.col("TIME").cast("timestamp"))
+    w = W.partitionBy("SID").orderBy("TIME")
+    upto, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(1, W.unboundedFollowing)
+    tick = lambda t: F.unix_micros(t) / 1_000_000 / hour3
+    following = F.lead("TIME").over(w)
+    first, stop = F.ceil(tick("TIME")), F.when(following.isNull(), F.floor(tick("TIME")) + 1).otherwise(F.ceil(tick(following)))
+    at = (F.col("_t") * (hour3 * 1_000_000)).cast("double")
+    here = F.unix_micros("TIME").cast("double") == at
+    linear = {"LAT": "LAT", "LON": "_u"} | {c: c for c in ("USA_WIND", "USA_PRES") if c in own}
+    ends = {c: bracketed(v, at, upto, after) for c, v in linear.items()}
+    held = {f"_at_{c}": e for c, (e, _) in ends.items()} | {f"_at_{c}": filled(c, upto, after) for c in CARRIED if c in own}
+    rows = rows.withColumns(held | {"_i": first.cast("long"), "_j": stop.cast("long")})
+    rows = rows.withColumn("_t", F.explode(F.when(F.col("_i") < F.col("_j"), F.sequence("_i", F.col("_j") - 1, F.lit(1).cast("long")))))
+    new = {c: value_at(f"_at_{c}") for c, (_, value_at) in ends.items()}
+    new["LON"] = F.pmod(new["LON"], F.lit(360.0))
+    new |= {c: F.col(f"_at_{c}") for c in CARRIED if c in own}
+    others = {c: F.when(here, F.col(c)) for c in own if c not in new}
+    return rows.select("SID", F.timestamp_seconds(F.col("_t") * hour3).alias("TIME"), *((new | others)[c].alias(c) for c in own))
 
 
 def prepare(raw: DataFrame, first: int, last: int) -> DataFrame:
@@ -90,8 +102,10 @@ def prepare(raw: DataFrame, first: int, last: int) -> DataFrame:
     Storms with positions at 0, 6, 12 or 18 UTC are interpolated from those alone; storms without any keep
     their own positions at whole three hours. No storm is too weak. The period is cut last.
     """
-    # one shuffle by storm serves the choice of rows, the flags and the windows
-    rows = one_per_time(cleaned(raw).repartition("SID"))
+    # one shuffle by storm serves the choice of rows, the flags and the windows; dealt by number, since partitions joined by their
+    # packed size are few, and large in memory
+    n = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = one_per_time(cleaned(raw).repartition(n, "SID"))
     storm = W.partitionBy("SID")
     rows = rows.withColumns({"_near": F.max(F.year("TIME").between(first, last)).over(storm), "_six": F.max(on_hours("TIME", 6)).over(storm)}).where("_near").drop("_near")
     rows = rows.where(F.when(F.col("_six"), on_hours("TIME", 6)).otherwise(on_hours("TIME", 3)))
