@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
 from ..session import ship
 
 #: Salts that a hot key is dealt over: a key with a third of all rows leaves 1/192 of them to a task.
 SALTS = 64
 
+#: Edges, of 16 bytes, up to which a round of `components` need not spread those of a node.
+FEW_EDGES = 1 << 18
+
 _written: list[tuple[object, str]] = []
 
 
@@ -173,17 +177,19 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 6
     """(id, component): for each end of an edge, the least id that it reaches.
 
     Large-star and small-star steps alternate until no edge changes. A step is a salted `group_min`, so that
-    a node with a third of all edges stays spread. Every round is written to the shared folder, and only its
+    a node with a third of all edges stays spread; with FEW_EDGES at most, which one task can hold, it is a
+    window, since there a round costs its stages and not its rows. Every round is written to the shared folder, and only its
     row count and a checksum come to the driver. The number of rounds is logarithmic in practice; if
     `rounds` should not do, it raises and returns nothing wrong.
     """
     e = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
     state = _digest(e)
     for _ in range(rounds if state[0] else 0):
+        few = state[0] <= FEW_EDGES
+        least = lambda df, out, few=few: df.withColumn(out, F.min("v").over(W.partitionBy("u"))) if few else group_min(df, "u", "v", "v", out)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = group_min(both, "u", "v", "v", "_n").where("v > u")
-        big = big.select(F.col("v").alias("u"), F.least("u", "_n").alias("v")).where("u <> v").distinct()
-        small = group_min(big, "u", "v", "v", "_m")
+        big = least(both, "_n").where("v > u").select(F.col("v").alias("u"), F.least("u", "_n").alias("v")).where("u <> v")
+        small = least(big if few else big.distinct(), "_m")
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))
         small = small.select(F.explode(ends).alias("x")).select("x.*")
         e = stored(small.where("u <> v").distinct(), "edges")

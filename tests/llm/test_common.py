@@ -48,3 +48,15 @@ def test_shared_folder(spark):
 def test_runs():
     assert list(common.runs([5, 5, 20, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(common.runs([], 10)) == [] and list(common.runs([99], 10)) == [(0, 1)]
+
+
+def test_components_of_few_edges_are_not_salted(spark, monkeypatch):
+    """A round on few edges is two windows; with more edges the salted form gives the same."""
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 130)] + [(200, 200), (301, 300)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    monkeypatch.setattr(common, "FEW_EDGES", 0)
+    salted = sorted(map(tuple, common.components(e).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(common, "group_min", None)
+    assert sorted(map(tuple, common.components(e).collect())) == salted
+    assert salted == [(k, 0) for k in range(60)] + [(k, 100) for k in range(100, 131)] + [(300, 300), (301, 300)]
