@@ -23,6 +23,26 @@ def test_one_place(spark):
     assert pairs.distances(a, b, "a", "b", "g", 4).agg(F.count("*"), F.countDistinct("a", "b"), F.max("km")).first() == (6000, 6000, 0.0)
 
 
+def test_first_row_leaves_before_other_lists(spark):
+    """A task holds the pairs of two lists, not those of a list with its whole group, which grow with the tables."""
+    a = spark.range(500).select("id", F.lit(0).alias("g"), (F.col("id") / 10).alias("a_lat"), F.lit(3.0).alias("a_lon"))
+    b = spark.range(60).select(F.col("id").alias("k"), F.lit(0).alias("g"), F.lit(5.0).alias("b_lat"), F.lit(7.0).alias("b_lon"))
+    got = pairs.distances(a, b, "id", "k", "g", 4)
+    first = got.limit(1)
+    assert len(first.collect()) == 1
+    assert made(first._jdf.queryExecution().executedPlan()) == 60
+    assert got.agg(F.count("*"), F.countDistinct("id", "k")).first() == (30000, 30000)
+
+
+def made(plan) -> int:
+    """Rows of the uppermost Generate."""
+    name = plan.getClass().getSimpleName()
+    if name == "GenerateExec":
+        return plan.metrics().apply("numOutputRows").value()
+    below = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else plan.children().head()
+    return made(below)
+
+
 def test_query_deals_a_group_over_tasks(spark, data):
     from pluvia.plans import records
 
